@@ -11,8 +11,17 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from tessera.llm import bpe
+
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
