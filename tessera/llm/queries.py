@@ -19,9 +19,30 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from tessera.llm import token_files
+
+    return token_files.digest(token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op10_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.held_out()
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=out)
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
