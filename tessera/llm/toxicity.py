@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on what sets toxic text apart
-from it. A window (a word and its delimiters) is compressed with each; the bytes saved by the toxic
-dictionary are its distance. A document is scored by a logistic function of how many windows reach
-each distance, fitted by cross-fitting, so that 0.7 is a calibrated threshold.
+from it. A window (a word with its delimiters, in a carrier that both dictionaries hold, which lifts
+it over the frame's fixed cost) is compressed with each; the bytes saved by the toxic dictionary are
+its distance. A document is scored by a logistic function of how many windows reach each distance,
+fitted by cross-fitting, so that 0.7 is a calibrated threshold.
 
 Training takes a bounded sample of labelled rows (``MAX_TOXIC``, ``MAX_ORDINARY``, chosen by a hash
 of their ids); every document is scored whole. Copies would make chance words look telling, so
@@ -34,9 +35,13 @@ from tessera.llm.common import arrow_map, in_fold, texts
 MAX_TOXIC, MAX_ORDINARY = 2500, 6000
 #: A word tells if it is in so many groups of toxic copies and its log odds are so high.
 LEAST_GROUPS, LEAST_ODDS = 4, 3.0
-DICTIONARY_BYTES = 1 << 16
-#: Saved bytes from which a window counts, one feature each.
-STEPS = (2, 3, 4, 5, 6)
+DICTIONARY_BYTES = 1 << 14
+#: Windows are counted by the bytes saved (up to the first) and by the bytes left over what the
+#: carrier alone takes (up to the second): a word that the toxic dictionary holds whole leaves few.
+SAVED, LEFT = 6, 6
+#: What stands before and after a word in its window; the end of either dictionary.
+CARRIER = b"zq0 xj1 kv2 wf3 zx4 jq5 vk6 fw7 qz8 "
+FOLDS = 5
 THRESHOLD = 0.7
 #: Distances of words that a worker keeps; it bounds memory, not results.
 CACHE = 400_000
@@ -88,7 +93,7 @@ def _content(counts: dict[bytes, int]) -> bytes:
             break
         out.append(w)
         size += len(w) + 1
-    return b" " + b" ".join(reversed(out)) + b" " if out else b""
+    return b" " + b" ".join(reversed(out)) + b" "
 
 
 def train_dictionaries(toxic: list, toxic_groups: list, plain: list, plain_groups: list) -> tuple[bytes, bytes]:
@@ -106,20 +111,24 @@ class Distance:
         shape = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTULTRA2, compression_level=19, min_match=3, window_log=18, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
 
         def using(content):
-            if len(content) < 8:
-                return zstandard.ZstdCompressor(compression_params=shape).compress
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=shape)
             return zstandard.ZstdCompressor(dict_data=d, compression_params=shape).compress
 
         self.plain, self.toxic, self.cache = using(plain), using(toxic), {}
 
+        self.base = len(self.toxic(CARRIER + CARRIER))
+
     def of(self, word: bytes) -> int:
-        window = b" " + word + b" "
-        return min(max(len(self.plain(window)) - len(self.toxic(window)), 0), STEPS[-1])
+        """The cell of a word: 0 if nothing is saved, else saved bytes by left bytes."""
+        window = CARRIER + word + b" " + CARRIER
+        now = len(self.toxic(window))
+        saved = min(len(self.plain(window)) - now, SAVED)
+        left = min(max(now - self.base, 1), LEFT)
+        return (left - 1) * SAVED + saved if saved > 0 else 0
 
     def features(self, words: list[bytes]) -> np.ndarray:
-        """For each step the (log) number of windows that reach it."""
+        """The (log) numbers of windows with at least so many saved and at most so many left."""
         if len(self.cache) > CACHE:
             self.cache.clear()
         got = list(map(self.cache.get, words))
@@ -127,9 +136,8 @@ class Distance:
             for w in {w for w, g in zip(words, got) if g is None}:
                 self.cache[w] = self.of(w)
             got = list(map(self.cache.get, words))
-        held = np.bincount(got, minlength=STEPS[-1] + 1) if got else np.zeros(STEPS[-1] + 1)
-        reach = held[::-1].cumsum()[::-1]
-        return np.log1p(reach[list(STEPS)])
+        held = np.bincount(np.array(got, np.int64), minlength=SAVED * LEFT + 1)[1:].reshape(LEFT, SAVED)
+        return np.log1p(held[:, ::-1].cumsum(1)[:, ::-1].cumsum(0)).ravel()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -172,16 +180,20 @@ def train(sample: list[tuple[str, int]]) -> Model:
     if not split[0] or not split[1]:
         return Model(constant=float(bool(split[1])))
     groups = [_groups(s) for s in split]
-    # each half is measured by dictionaries of the other half, whole groups apart
+    # each fold is measured by dictionaries of the others, whole groups apart
     xs, ys = [], []
-    for half in (0, 1):
-        part = [[(w, g) for w, g in zip(s, gs) if g % 2 != half] for s, gs in zip(split, groups)]
-        held = [[w for w, g in zip(s, gs) if g % 2 == half] for s, gs in zip(split, groups)]
+    for fold in range(FOLDS):
+        part = [[(w, g) for w, g in zip(s, gs) if g % FOLDS != fold] for s, gs in zip(split, groups)]
+        held = [[w for w, g in zip(s, gs) if g % FOLDS == fold] for s, gs in zip(split, groups)]
+        if not all(part):
+            continue
         (plain, toxic) = part
         d = Distance(*train_dictionaries([w for w, _ in toxic], [g for _, g in toxic], [w for w, _ in plain], [g for _, g in plain]))
         for y, docs in enumerate(held):
             xs += [d.features(w) for w in docs]
             ys += [y] * len(docs)
+    if not xs:
+        return Model(constant=len(split[1]) / len(sample))
     plain, toxic = train_dictionaries(split[1], groups[1], split[0], groups[0])
     return Model(plain, toxic, _logistic(np.array(xs), np.array(ys, float)))
 
