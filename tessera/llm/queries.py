@@ -19,6 +19,12 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op1_near_dup(spark, sf_dir):
+    from tessera.llm import near_dup
+
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark, sf_dir):
     import public_tokenizers
 
@@ -39,6 +45,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_near_dup": op1_near_dup,
     "op2_token_files": op2_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
