@@ -5,6 +5,12 @@ from __future__ import annotations
 from tessera.llm.common import table
 
 
+def op3_secrets(spark, sf_dir):
+    from tessera.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark, sf_dir):
     from tessera.llm import decontaminate
 
@@ -47,6 +53,7 @@ def op10_toxicity(spark, sf_dir):
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_token_files": op2_token_files,
+    "op3_secrets": op3_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,

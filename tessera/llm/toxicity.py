@@ -236,3 +236,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def held_out():
     """Column: rows from which no label is learnt."""
     return in_fold(3, 1)
+
+
+def reject(docs: DataFrame, labels: DataFrame, fold=None) -> DataFrame:
+    """docs, with their columns, without the rows that score THRESHOLD or more."""
+    scored = score(docs, fit(docs, labels, fold))
+    return scored.where(F.col("toxic_score") < THRESHOLD).drop("toxic_score")
