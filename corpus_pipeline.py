@@ -1,14 +1,49 @@
-"""The corpus pipeline: documents through five stages, each written and read back."""
+"""The corpus pipeline: documents through five stages, each written and read back.
+
+Toxic documents go; one document of each near-duplicate class stays; documents that hold benchmark
+windows go; secrets are masked in the texts; what is left is encoded to token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import bpe, decontaminate, near_dup, secrets, toxicity
 from tessera.llm.common import shared_dir, table, written
 
-STAGES: list = []
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"), fold=toxicity.held_out())
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digest(docs, VOCABULARY)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("byte_bpe", encode),
+]
 
-#: No stage but the last has an SQL form (trained models, near-duplicate groups).
+#: Trained models and near-duplicate classes have no SQL form; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
