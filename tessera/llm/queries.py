@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm import url_filter as _urls
 from tessera.llm.common import table
 
 
@@ -17,6 +18,18 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_filter(spark, sf_dir):
+    from tessera.llm import url_filter
+
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_vector_dup(spark, sf_dir):
+    from tessera.llm import vector_dup
+
+    return vector_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -55,8 +68,10 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_secrets": op3_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op6_url_filter": op6_url_filter,
+    "op7_vector_dup": op7_vector_dup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_filter": _urls.ORACLE}
