@@ -30,6 +30,12 @@ def op7_vector_dup(spark, sf_dir):
     return vector_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_pii(spark, sf_dir):
+    from tessera.llm import pii
+
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_vector_dup": op7_vector_dup,
+    "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
