@@ -52,13 +52,25 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+def _bind(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _running(g: Column) -> Column:
-    """Running sums of an array of longs, block by block."""
+    """Running sums of an array of longs (a lambda's variable), block by block."""
     last = F.floor((F.size(g) - 1) / _SUM_BLOCK).cast("int")
-    block = lambda b: F.slice(g, b * _SUM_BLOCK + 1, F.lit(_SUM_BLOCK))
-    sums = F.transform(F.sequence(F.lit(0), last), lambda b: _total(block(b)))
-    inner = lambda b: F.transform(F.sequence(F.lit(1), F.size(block(b))), lambda i: _total(F.slice(sums, F.lit(1), b)) + _total(F.slice(g, b * _SUM_BLOCK + 1, i)))
-    return F.flatten(F.transform(F.sequence(F.lit(0), last), inner))
+
+    def part(b):
+        return F.slice(g, b * _SUM_BLOCK + 1, F.lit(_SUM_BLOCK))
+
+    def inner(sums):
+        def of_block(b):
+            return _bind(part(b), lambda x: _bind(_total(F.slice(sums, F.lit(1), b)), lambda s: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: s + _total(F.slice(x, F.lit(1), i)))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), of_block))
+
+    return _bind(F.transform(F.sequence(F.lit(0), last), lambda b: _total(part(b))), inner)
 
 
 def _digits(m: Column) -> Column:
@@ -257,14 +269,17 @@ def candidates(text: Column, kind: int) -> Column:
 
     def build(both: Column) -> Column:
         found, between = both["m"], both["g"]
-        lead = F.transform(found, lambda x, i: (F.length(F.get(between, i)) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0))).cast("long"))
-        start = _running(lead)
-        return F.transform(
-            found,
-            lambda x, i: F.struct(
-                F.get(start, i).alias("s"), F.lit(kind).alias("kind"), (F.get(start, i) + F.length(x)).alias("e"), x.alias("m"), F.right(F.get(between, i), F.lit(BEFORE)).alias("before"), F.left(F.get(between, i + 1), F.lit(AFTER)).alias("after")
-            ),
-        )
+        lead: Column = F.transform(found, lambda x, i: (F.length(F.get(between, i)) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0))).cast("long"))
+
+        def placed(start):
+            return F.transform(
+                found,
+                lambda x, i: F.struct(
+                    F.get(start, i).alias("s"), F.lit(kind).alias("kind"), (F.get(start, i) + F.length(x)).alias("e"), x.alias("m"), F.right(F.get(between, i), F.lit(BEFORE)).alias("before"), F.left(F.get(between, i + 1), F.lit(AFTER)).alias("after")
+                ),
+            )
+
+        return _bind(lead, lambda g: _bind(_running(g), placed))
 
     none = F.array().cast("array<struct<s:bigint,kind:int,e:bigint,m:string,before:string,after:string>>")
     # bound once each by a lambda, so that neither pattern runs again for every use
