@@ -12,6 +12,12 @@ def op3_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark, sf_dir):
+    from tessera.llm import language_model
+
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark, sf_dir):
     from tessera.llm import decontaminate
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_token_files": op2_token_files,
     "op3_secrets": op3_secrets,
+    "op4_language_model": op4_language_model,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_vector_dup": op7_vector_dup,
