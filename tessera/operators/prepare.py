@@ -46,7 +46,7 @@ def explode_list(df: DataFrame, column: str, separator: str, out: str) -> DataFr
 
 def characters(rows: DataFrame, base: str) -> DataFrame:
     """Characters of credits: a name list becomes one row for each name, with a minted IRI."""
-    named = explode_list(rows.where(~is_null(F.col("role_names"))), "role_names", ",", "character_name")
+    named = explode_list(rows.where(~is_null(F.col("role_names").cast("string"))), "role_names", ",", "character_name")
     return named.select("title_id", "talent_id", F.concat_ws("_", "title_id", "talent_id").alias("join_key"), "character_name", F.concat(F.lit(base), "title_id", F.lit("/"), encode(F.col("character_name"))).alias("character_iri"))
 
 
@@ -58,7 +58,7 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def missing_keys(rows: DataFrame, lookup: DataFrame, key: str, exclude: list[str] | None = None) -> DataFrame:
     """Keys that occur in rows but not in lookup, but for intended exclusions."""
-    keys = rows.select(key).where(~is_null(F.col(key))).distinct()
+    keys = rows.select(key).where(~is_null(F.col(key).cast("string"))).distinct()
     if exclude:
         keys = keys.where(~F.col(key).isin(exclude))
     return keys.join(lookup.select(key).distinct(), key, "left_anti")

@@ -107,6 +107,9 @@ class Engine:
     # patterns --------------------------------------------------------------
 
     def pattern(self, data: DataFrame, t: Pattern) -> DataFrame:
+        if isinstance(t.p, Path) and t.p.kind == "seq":  # a join over a variable of its own; ends may be literals
+            mid = Var(f"_mid{abs(hash(t)) % 10**9}")
+            return compatible_join(self.pattern(data, Pattern(t.s, t.p.args[0], mid)), self.pattern(data, Pattern(mid, t.p.args[1], t.o))).drop(mid.name)
         if isinstance(t.p, Path):
             pairs = self.path(data, t.p)
             own = [x for x in (t.s, t.o) if isinstance(x, Term)]

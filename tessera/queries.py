@@ -1,6 +1,510 @@
-"""Queries by name and the SQL that checks them."""
+"""Queries over the driver's tables, one for each operator family, and the SQL that checks them.
+
+The relational tables stand for a knowledge graph: customers and suppliers are people, parts are
+works, line items are contributions (of a supplier to a part), orders give them dates, brands and
+types are vocabularies, and regions, nations and customers form a hierarchy.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import terms as T
+from tessera.functions import scalar
+from tessera.operators import entity, facets, federation, mapping, prepare, reason
+from tessera.operators.mapping import Join, Rule, TripleMap
+from tessera.plans import sparql
+from tessera.plans.algebra import Engine
+from tessera.sources.files import Catalog, format_ntriples, parse_ntriples
+
+EX = "http://example.org/"
+O = EX + "onto#"  # noqa: E741
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, table) -> DataFrame under its name, with its oracle."""
+
+    def add(fn):
+        name = fn.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+# ------------------------------------------------------------------ the graph
+
+PART = TripleMap(
+    "part", "part", EX + "part/{p_partkey}", (O + "Part",),
+    rules=(Rule(T.LABEL, column="p_name"), Rule(O + "brand", iri=EX + "brand/{p_brand}"), Rule(O + "type", iri=EX + "type/{p_type}"), Rule(O + "size", column="p_size", datatype=T.XSD + "integer"), Rule(O + "big", column="p_big", datatype=T.XSD + "boolean")),
+)
+CREDIT = TripleMap(
+    "credit", "lineitem", EX + "credit/{l_orderkey}/{l_linenumber}/{l_partkey}/{l_suppkey}", (O + "Credit",),
+    rules=(Rule(O + "by", iri=EX + "supplier/{l_suppkey}"), Rule(O + "involves", iri=EX + "part/{l_partkey}"), Rule(O + "order", column="l_linenumber", datatype=T.XSD + "integer")),
+)
+PERSON = TripleMap("person", "supplier", EX + "supplier/{s_suppkey}", (O + "Person",), rules=(Rule(O + "name", column="s_name"),), joins=(Join(O + "from", "nation", (("s_nationkey", "n_nationkey"),)),))
+BUYER = TripleMap("buyer", "customer", EX + "customer/{c_custkey}", (O + "Person",), rules=(Rule(O + "name", column="c_name"),))
+PURCHASE = TripleMap("purchase", "orders", EX + "order/{o_orderkey}", (O + "Order",), rules=(Rule(O + "buyer", iri=EX + "customer/{o_custkey}"), Rule(O + "year", column="o_year", datatype=T.XSD + "gYear")))
+NATION = TripleMap("nation", "nation", EX + "nation/{n_nationkey}", (O + "Nation",), rules=(Rule(T.LABEL, column="n_name"),), joins=(Join(O + "partOf", "region", (("n_regionkey", "r_regionkey"),)),))
+REGION = TripleMap("region", "region", EX + "region/{r_regionkey}", (O + "Region",), rules=(Rule(T.LABEL, column="r_name"),))
+MAPS = {m.name: m for m in (PART, CREDIT, PERSON, BUYER, PURCHASE, NATION, REGION)}
+
+
+def _sources(table, names) -> dict[str, DataFrame]:
+    out = {n: table(n) for n in names}
+    if "orders" in out:
+        out["orders"] = out["orders"].withColumn("o_year", F.year("o_orderdate").cast("string"))
+    if "part" in out:
+        out["part"] = out["part"].withColumn("p_big", F.when(F.col("p_size") > 25, "1").otherwise("false"))
+    return out
+
+
+def graph(table, *maps: str) -> DataFrame:
+    """The triples of some maps."""
+    need = {MAPS[m].source for m in maps} | {MAPS[j.parent].source for m in maps for j in MAPS[m].joins}
+    made = [mapping.apply(MAPS[m], _sources(table, need), MAPS) for m in maps]
+    out = made[0]
+    for d in made[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def ask(data: DataFrame | dict, text: str) -> DataFrame:
+    sets = data if isinstance(data, dict) else {"": data}
+    return sparql.query(Engine(sets), text, prefixes={"o": O, "rdfs": T.RDFS, "rdf": T.RDF, "owl": T.OWL, "xsd": T.XSD})
+
+
+def ontology(spark) -> DataFrame:
+    """A small schema for the graph."""
+    rows = []
+    add = lambda s, p, o: rows.append((s, p, o, "bnode" if o.startswith("_:") else "uri", "", ""))
+    for c, sup in (("Supplier", "Person"), ("Person", "Agent"), ("Organisation", "Agent"), ("Part", "Work"), ("BigPart", "Part"), ("Credit", "Event"), ("Order", "Event")):
+        add(O + c, T.SUB_CLASS, O + sup)
+    for p, d, r in (("by", "Credit", "Supplier"), ("involves", "Credit", "Part"), ("name", None, "string"), ("brand", "Part", "Brand"), ("type", "Part", "Type"), ("size", "Part", "integer"), ("from", "Person", "Nation"), ("title", "Work", "string")):
+        xsd = r in ("string", "integer")
+        add(O + p, T.RANGE, (T.XSD if xsd else O) + r)
+        add(O + p, T.TYPE, T.OWL + ("DatatypeProperty" if xsd else "ObjectProperty"))
+        if d:
+            add(O + p, T.DOMAIN, O + d)
+    add(O + "name", T.SUB_PROPERTY, T.LABEL)
+    add(O + "title", T.SUB_PROPERTY, O + "name")
+    add(O + "by", T.INVERSE, O + "did")
+    add(O + "name", T.DOMAIN, "_:u")
+    add("_:u", T.OWL + "unionOf", "_:l1")
+    for cell, member, rest in (("_:l1", "Person", "_:l2"), ("_:l2", "Work", "_:l3"), ("_:l3", "Organisation", None)):
+        add(cell, T.RDF + "first", O + member)
+        add(cell, T.RDF + "rest", rest or T.RDF + "nil")
+    add(O + "partOf", T.TYPE, T.TRANSITIVE)
+    add(O + "Person", T.DISJOINT, O + "Organisation")
+    return spark.createDataFrame(rows, T.SCHEMA)
+
+
+# ------------------------------------------------------------------ patterns and joins
+
+
+@query("""SELECT s_name AS name, count(*) AS credits FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) l JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name ORDER BY credits DESC, name""")
+def q01_credits_per_person(spark, table):
+    """Contributions counted by name over reified triples."""
+    return ask(graph(table, "credit", "person"), "SELECT ?name (COUNT(?c) AS ?credits) WHERE { ?c a o:Credit ; o:by ?p . ?p o:name ?name } GROUP BY ?name ORDER BY DESC(?credits) ?name")
+
+
+@query("""SELECT DISTINCT c_name AS buyer, s_name AS supplier FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey JOIN orders ON o_custkey = c_custkey""")
+def q02_flagship_bridge(spark, table):
+    """Two datasets of people joined through same-as links."""
+    same = table("customer").join(table("supplier"), (F.col("c_custkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    links = same.select(F.concat(F.lit(EX + "customer/"), "c_custkey").alias("s"), F.lit(T.SAME_AS).alias("p"), F.concat(F.lit(EX + "supplier/"), "s_suppkey").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+    data = graph(table, "buyer", "person", "purchase").unionByName(links)
+    return ask(data, "SELECT DISTINCT ?buyer ?supplier WHERE { ?c owl:sameAs ?s . ?s o:name ?supplier . ?c o:name ?buyer . ?x o:buyer ?c }")
+
+
+@query(f"""SELECT '{EX}part/' || p_partkey AS s, '{T.LABEL}' AS p, p_name AS o FROM part UNION SELECT '{EX}part/' || p_partkey, '{O}brand', '{EX}brand/' || replace(p_brand,'#','%23') FROM part
+UNION SELECT '{EX}part/' || p_partkey, '{O}type', '{EX}type/' || replace(p_type,' ','%20') FROM part UNION SELECT '{EX}part/' || p_partkey, '{O}size', p_size::varchar FROM part
+UNION SELECT '{EX}part/' || p_partkey, '{O}big', CASE WHEN p_size>25 THEN '1' ELSE 'false' END FROM part UNION SELECT '{EX}part/' || p_partkey, '{T.TYPE}', '{O}Part' FROM part""")
+def q03_map_part_triples(spark, table):
+    return graph(table, "part").select("s", "p", "o")
+
+
+@query(f"""SELECT p, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) l, (VALUES ('{T.TYPE}'),('{O}by'),('{O}involves'),('{O}order')) v(p) GROUP BY p""")
+def q04_map_lineitem_reified(spark, table):
+    return graph(table, "credit").groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT '{EX}o/' || o_orderkey AS s, '{O}late' AS p, o_orderpriority AS o FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW' UNION SELECT '{EX}o/' || o_orderkey, '{T.TYPE}', '{O}Open' FROM orders WHERE o_orderstatus <> 'F'""")
+def q05_conditional_emit(spark, table):
+    """A condition on the subject and another on one rule."""
+    m = TripleMap("open", "orders", EX + "o/{o_orderkey}", (O + "Open",), when="o_orderstatus <> 'F'", rules=(Rule(O + "late", column="o_orderpriority", when="o_orderpriority <> '5-LOW'"),))
+    return mapping.apply(m, {"orders": table("orders")}).select("s", "p", "o")
+
+
+@query("""WITH k AS (SELECT p_brand AS b, min(p_type) AS t FROM part GROUP BY 1), l AS (SELECT b, t, 'exact-' || b AS r FROM k UNION ALL SELECT b, '', 'general-' || b FROM k WHERE b < 'Brand#4')
+SELECT p_partkey, coalesce(nullif(e.r,''), g.r, '') AS resolved FROM part LEFT JOIN l e ON p_brand=e.b AND p_type=e.t LEFT JOIN l g ON p_brand=g.b AND g.t=''""")
+def q06_composite_fallback_lookup(spark, table):
+    k = table("part").groupBy("p_brand").agg(F.min("p_type").alias("p_type"))
+    look = k.withColumn("r", F.concat(F.lit("exact-"), "p_brand")).unionByName(k.where("p_brand < 'Brand#4'").select("p_brand", F.lit("").alias("p_type"), F.concat(F.lit("general-"), "p_brand").alias("r")))
+    return prepare.resolve_roles(table("part"), look, "p_brand", "p_type", "r").select("p_partkey", "resolved")
+
+
+@query(f"""SELECT n_nationkey, coalesce(CASE WHEN n_nationkey < 3 THEN '{EX}x/' || n_nationkey END, '{EX}iso/' || replace(n_name,' ','%20')) AS iri FROM nation""")
+def q07_lookup_or_mint(spark, table):
+    n = table("nation")
+    look = n.where("n_nationkey < 3").select("n_nationkey", F.concat(F.lit(EX + "x/"), F.col("n_nationkey").cast("string")).alias("known"))
+    return n.join(F.broadcast(look), "n_nationkey", "left").select("n_nationkey", F.coalesce("known", F.concat(F.lit(EX + "iso/"), T.encode(F.col("n_name")))).alias("iri"))
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def q08_anti_join(spark, table):
+    return prepare.missing_keys(table("customer").select(F.col("c_custkey").alias("o_custkey")), table("orders"), "o_custkey").select(F.col("o_custkey").cast("long").alias("c_custkey"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+def q09_semi_join(spark, table):
+    return table("supplier").join(table("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi").select("s_suppkey")
+
+
+@query("SELECT c_name AS name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def q10_not_exists(spark, table):
+    return ask(graph(table, "buyer", "purchase"), "SELECT ?name WHERE { ?c a o:Person ; o:name ?name FILTER NOT EXISTS { ?x o:buyer ?c } }")
+
+
+@query("SELECT p_partkey, w AS token FROM (SELECT p_partkey, unnest(string_split(p_name,' ')) AS w FROM part) WHERE trim(w) <> ''")
+def q11_explode_tokens(spark, table):
+    return prepare.explode_list(table("part"), "p_name", " ", "token").select("p_partkey", "token")
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name,' '), lambda x: upper(trim(x))), '; ') AS names FROM part")
+def q12_split_transform(spark, table):
+    return table("part").select("p_partkey", F.array_join(F.transform(F.split("p_name", " "), lambda x: F.upper(F.trim(x))), "; ").alias("names"))
+
+
+@query("""SELECT class, count(*) AS n FROM (SELECT CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'WorkSeries' WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'WorkUnit' WHEN n_regionkey::varchar IN ('4','7') THEN 'WorkSeries' ELSE 'CreativeWork' END AS class FROM nation) GROUP BY class""")
+def q13_structure_case(spark, table):
+    n = table("nation")
+    s = table("supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(True).alias("a")).distinct()
+    c = table("customer").select(F.col("c_nationkey").alias("n_nationkey"), F.lit(True).alias("b")).distinct()
+    flags = n.join(s, "n_nationkey", "left").join(c, "n_nationkey", "left")
+    kind = prepare.structure_class(F.col("n_regionkey").cast("string"), F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False)))
+    return flags.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ paths and inference
+
+_SUB = "(VALUES ('Supplier','Person'),('Person','Agent'),('Organisation','Agent'),('Part','Work'),('BigPart','Part'),('Credit','Event'),('Order','Event'))"
+
+
+@query(f"""WITH RECURSIVE e(a,b) AS (SELECT * FROM {_SUB} v), n(x) AS (SELECT a FROM e UNION SELECT b FROM e), r(a,b) AS (SELECT x, x FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b=e.a) SELECT '{O}' || a AS c, '{O}' || b AS d FROM r""")
+def q14_path_star(spark, table):
+    data = ontology(spark).where(F.col("p") == T.SUB_CLASS)
+    return ask(data, "SELECT DISTINCT ?c ?d WHERE { ?c rdfs:subClassOf* ?d }")
+
+
+@query("""WITH RECURSIVE e(a,b) AS (SELECT DISTINCT n_nationkey, (n_nationkey*7+3)%25 FROM nation), r(a,b) AS (SELECT a,b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b=e.a) SELECT a::bigint AS a, b::bigint AS b FROM r""")
+def q15_path_plus_cyclic(spark, table):
+    e = table("nation").select(F.col("n_nationkey").cast("long").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("long").alias("b"))
+    return reason.closure(e).select("a", "b")
+
+
+@query(f"""SELECT '{O}' || m AS member FROM (VALUES ('Person'),('Work'),('Organisation')) v(m)""")
+def q16_union_list_walk(spark, table):
+    return ask(ontology(spark), "SELECT DISTINCT ?member WHERE { o:name rdfs:domain ?d . ?d owl:unionOf/rdf:rest*/rdf:first ?member }")
+
+
+@query(f"""SELECT '{O}' || c AS class, count(DISTINCT s) AS n FROM (SELECT s_suppkey AS s, c FROM supplier, (VALUES ('Person'),('Agent')) v(c) WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem) UNION ALL SELECT s_suppkey, c FROM supplier, (VALUES ('Person'),('Agent'),('Supplier'),('_')) v(c) WHERE c<>'_' AND s_suppkey IN (SELECT l_suppkey FROM lineitem)) GROUP BY c""")
+def q17_type_inference(spark, table):
+    """Super-classes and ranges: who is a person, an agent, a supplier."""
+    out = reason.infer(graph(table, "credit", "person").where(F.col("p").isin(T.TYPE, O + "by")), ontology(spark))
+    kinds = out.where((F.col("p") == T.TYPE) & F.col("o").isin(O + "Person", O + "Agent", O + "Supplier"))
+    return kinds.groupBy(F.col("o").alias("class")).agg(F.countDistinct("s").alias("n"))
+
+
+@query(f"""SELECT '{EX}supplier/' || s_suppkey AS s, s_name AS label FROM supplier""")
+def q18_subproperty_label(spark, table):
+    out = reason.infer(graph(table, "person"), ontology(spark))
+    return out.where(F.col("p") == T.LABEL).join(table("supplier").select(F.col("s_name").alias("o")), "o", "left_semi").select("s", F.col("o").alias("label"))
+
+
+@query(f"""SELECT DISTINCT '{EX}part/' || l_partkey AS s FROM lineitem""")
+def q19_domain_range(spark, table):
+    """Parts known only from the range of a property."""
+    out = reason.infer(graph(table, "credit").where(F.col("p") == O + "involves"), ontology(spark))
+    return out.where((F.col("p") == T.TYPE) & (F.col("o") == O + "Part")).select("s")
+
+
+@query(f"""SELECT '{EX}supplier/' || l_suppkey AS s, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) GROUP BY 1""")
+def q20_inverse(spark, table):
+    out = reason.infer(graph(table, "credit").where(F.col("p") == O + "by"), ontology(spark))
+    return out.where(F.col("p") == O + "did").groupBy("s").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE e(a,b) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey <= 200 UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), r(a,b) AS (SELECT * FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b=e.a) SELECT a, b FROM r""")
+def q21_transitive(spark, table):
+    n = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = table("customer").where("c_custkey <= 200").select(n("c_custkey", "c").alias("a"), n("c_nationkey", "n").alias("b")).union(table("nation").select(n("n_nationkey", "n"), n("n_regionkey", "r")))
+    return reason.closure(e).select("a", "b")
+
+
+@query("""WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier WHERE s_nationkey < 12), g(a,b) AS (SELECT a,b FROM e UNION SELECT b,a FROM e), r(a,b) AS (SELECT a,a FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b=g.a) SELECT a AS id, min(b) AS canonical FROM r GROUP BY a""")
+def q22_sameas_components(spark, table):
+    e = table("supplier").where("s_nationkey < 12").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("b"))
+    return reason.components(e)
+
+
+@query(f"""SELECT 'disjoint' AS rule, '{EX}supplier/' || s_suppkey AS s, '{O}Person {O}Organisation' AS detail FROM supplier WHERE s_acctbal < 0""")
+def q23_consistency_disjoint(spark, table):
+    bad = table("supplier").where("s_acctbal < 0").select(F.concat(F.lit(EX + "supplier/"), F.col("s_suppkey").cast("string")).alias("s"), F.lit(T.TYPE).alias("p"), F.lit(O + "Organisation").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+    return reason.violations(graph(table, "person").unionByName(bad), ontology(spark))
+
+
+# ------------------------------------------------------------------ faceted search
+
+BRANDS = ("Brand#11", "Brand#12", "Brand#23")
+_BRAND_IRIS = tuple(EX + "brand/" + b.replace("#", "%23") for b in BRANDS)
+STATE = facets.State(O + "Part", facets=(facets.Facet(O + "brand", "enum", _BRAND_IRIS), facets.Facet(O + "size", "integer", low=5, high=40)))
+_HIT = "p_brand IN ('Brand#11','Brand#12','Brand#23') AND p_size BETWEEN 5 AND 40"
+
+
+@query(f"SELECT '{EX}part/' || p_partkey AS work, p_name AS label FROM part WHERE {_HIT} ORDER BY label, work LIMIT 50")
+def q24_facet_page(spark, table):
+    return facets.page(graph(table, "part"), STATE, [T.LABEL])
+
+
+@query(f"SELECT count(*) AS total, count(*) > 1000 AS capped FROM part WHERE {_HIT}")
+def q25_facet_total(spark, table):
+    return facets.total(graph(table, "part"), STATE, [T.LABEL])
+
+
+@query(f"""SELECT '{O}brand' AS prop, '{EX}brand/' || replace(p_brand,'#','%23') AS value, count(*) AS n FROM part WHERE p_size BETWEEN 5 AND 40 GROUP BY 2
+UNION ALL SELECT '{O}type', '{EX}type/' || replace(p_type,' ','%20'), count(*) FROM part WHERE {_HIT} GROUP BY 2""")
+def q26_facet_counts_selfexcl(spark, table):
+    return facets.counts(graph(table, "part"), STATE, [O + "brand", O + "type"], [T.LABEL])
+
+
+@query(f"""SELECT b AS label, count(p_partkey) AS n FROM (SELECT DISTINCT p_brand AS b FROM part) LEFT JOIN (SELECT * FROM part WHERE p_size > 49 AND p_type IN (SELECT min(p_type) FROM part)) p ON b = p_brand GROUP BY b""")
+def q27_facet_counts_zero(spark, table):
+    least = table("part").agg(F.min("p_type")).first()[0]
+    state = facets.State(O + "Part", facets=(facets.Facet(O + "size", "integer", low=50), facets.Facet(O + "type", "enum", (EX + "type/" + (least or "").replace(" ", "%20"),))))
+    values = table("part").select(F.lit(O + "brand").alias("prop"), F.concat(F.lit(EX + "brand/"), T.encode(F.col("p_brand"))).alias("value"), F.col("p_brand").alias("label")).distinct()
+    return facets.counts_with_zero(values, facets.counts(graph(table, "part"), state, [O + "brand"], [T.LABEL])).select("label", "n")
+
+
+@query("SELECT min(year(o_orderdate)) AS low, max(year(o_orderdate)) AS high FROM orders")
+def q28_year_bounds(spark, table):
+    g = graph(table, "purchase")
+    return facets.bounds(g, facets.instances(g, O + "Order"), O + "year")
+
+
+@query(f"SELECT '{EX}part/' || p_partkey AS work FROM part WHERE contains(lower(p_name), 'gre') AND p_brand = 'Brand#11'")
+def q29_text_search(spark, table):
+    state = facets.State(O + "Part", q=" GRE ", facets=(facets.Facet(O + "brand", "enum", (_BRAND_IRIS[0],)),))
+    return facets.matches(graph(table, "part"), state, [T.LABEL])
+
+
+@query(f"SELECT '{EX}part/' || p_partkey AS work FROM part WHERE p_size > 25")
+def q30_bool_filter(spark, table):
+    return facets.matches(graph(table, "part"), facets.State(O + "Part", facets=(facets.Facet(O + "big", "boolean", value="true"),)), [T.LABEL])
+
+
+@query(f"""SELECT '{O}from' AS prop, true AS is_object, n_name AS shown FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE s_suppkey = 1""")
+def q31_card(spark, table):
+    g = graph(table, "person", "nation")
+    out = facets.card(g, EX + "supplier/1", [T.LABEL, O + "name"])
+    return out.select("prop", "is_object", F.array_join("vals", "; ").alias("shown"))
+
+
+@query(f"""SELECT '{O}' || p AS prop, r AS range, o AS is_object FROM (VALUES ('brand','{O}Brand',true),('type','{O}Type',true),('size','{T.XSD}integer',false),('title','{T.XSD}string',false),('name','{T.XSD}string',false)) v(p,r,o)""")
+def q32_discover_properties(spark, table):
+    return facets.properties(ontology(spark), O + "Part")
+
+
+@query(f"""SELECT * FROM (VALUES ('{O}name',1),('{O}title',2),('{T.LABEL}',1048576)) v(prop, depth)""")
+def q33_label_props(spark, table):
+    return facets.label_properties(ontology(spark), O + "Part")
+
+
+@query(f"SELECT '{EX}region/' || r_regionkey AS value, r_name AS label FROM region")
+def q34_enum_values(spark, table):
+    return facets.enum_values(graph(table, "region"), O + "Region")
+
+
+# ------------------------------------------------------------------ entities and scalars
+
+_RAW = "CASE o_orderkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'fl. ' || y WHEN 2 THEN '19th century' WHEN 3 THEN 'active 1900s' WHEN 4 THEN 'unknown' WHEN 5 THEN y WHEN 6 THEN 'ca. ' || y WHEN 7 THEN y || '?' WHEN 8 THEN '26 February ' || y ELSE '2150' END"
+
+
+@query(f"""SELECT outcome, year, count(*) AS n FROM (SELECT outcome, CASE WHEN outcome IN ('clean','uncertain','extracted') THEN regexp_extract(raw,'(1[0-9]{{3}}|2[01][0-9]{{2}})',1)::int END AS year FROM
+(SELECT raw, CASE WHEN raw='' THEN 'absent' WHEN raw LIKE 'fl.%' THEN 'floruit' WHEN raw LIKE '%century' THEN 'century' WHEN raw LIKE '%1900s' THEN 'decade' WHEN raw='unknown' THEN 'unparseable' WHEN regexp_full_match(raw,'[0-9]{{4}}') THEN 'clean' WHEN raw LIKE 'ca.%' OR raw LIKE '%?' THEN 'uncertain' ELSE 'extracted' END AS outcome
+FROM (SELECT {_RAW} AS raw FROM (SELECT o_orderkey, year(o_orderdate)::varchar AS y FROM orders)))) GROUP BY 1, 2""")
+def q35_parse_year_outcomes(spark, table):
+    raw = table("orders").select("o_orderkey", F.year("o_orderdate").cast("string").alias("y")).select(F.expr(_RAW).alias("raw"))
+    year, outcome = scalar.parse_year(F.col("raw"))
+    return raw.select(outcome.alias("outcome"), year.alias("year")).groupBy("outcome", "year").agg(F.count("*").alias("n"))
+
+
+def _people(table):
+    """Two lists of people: parts' names stand for names, sizes for years."""
+    toks = scalar.tokens(scalar.squeeze(F.col("p_name")))
+    birth = (F.lit(1800) + F.col("p_size")).cast("int")
+    base = table("part").where("p_partkey <= 200").select(F.col("p_partkey").alias("id"), toks.alias("tokens"), "p_size", birth.alias("b"))
+    left = base.where("id % 2 = 0").select("id", "tokens", F.when(F.col("p_size") % 5 != 0, F.col("b")).alias("birth"), F.lit(None).cast("int").alias("death"))
+    right = base.where("id % 2 = 1").select("id", "tokens", F.array().cast("array<array<string>>").alias("alternates"), F.when(F.col("p_size") % 7 != 0, F.col("b")).alias("birth"), F.lit(None).cast("int").alias("death"), F.when(F.col("p_size") % 3 == 0, "clean").otherwise("uncertain").alias("birth_outcome"))
+    return left, right
+
+
+_ER = """b AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name),' ')) AS t, p_size AS z, 1800+p_size AS y FROM part WHERE p_partkey <= 200), c AS (SELECT l.id AS left_id, r.id AS right_id, l.t AS lt, r.t AS rt, CASE WHEN l.z%5<>0 THEN l.y END AS ly, CASE WHEN r.z%7<>0 THEN r.y END AS ry, r.z%3=0 AS clean
+FROM b l JOIN b r ON l.id%2=0 AND r.id%2=1 AND len(list_filter(list_intersect(l.t,r.t), lambda x: len(x)>=4))>0),
+j AS (SELECT left_id, right_id, abs(ly-ry)<=3 AS d, clean, (len(list_intersect(lt,rt))>=2 OR len(list_intersect(lt,rt))=len(lt) OR len(list_intersect(lt,rt))=len(rt)) AS m FROM c)"""
+
+
+@query(f"WITH {_ER} SELECT left_id, right_id FROM c")
+def q36_er_blocking(spark, table):
+    return entity.block(*_people(table))
+
+
+@query(f"WITH {_ER} SELECT left_id, right_id, CASE WHEN m AND d AND clean THEN 'high' WHEN m AND d THEN 'medium' WHEN m AND d IS NULL THEN 'low' END AS confidence FROM j")
+def q37_er_confidence(spark, table):
+    left, right = _people(table)
+    return entity.judge(entity.block(left, right), left, right).select("left_id", "right_id", "confidence")
+
+
+@query(f"WITH {_ER} SELECT count(*) AS candidates, count(*) FILTER (d) AS confirmed, count(*) FILTER (d IS NULL) AS inconclusive, count(*) FILTER (NOT d) AS rejected, count(*) FILTER (d IS NULL OR d) AS asserted FROM j WHERE m")
+def q38_er_metrics(spark, table):
+    left, right = _people(table)
+    return entity.funnel(entity.judge(entity.block(left, right), left, right))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props,'$.k'),'') AS k FROM events")
+def q39_json_extract(spark, table):
+    return table("events").select("event_id", F.coalesce(F.from_json("props", "k string")["k"], F.lit("")).alias("k"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+def q40_first_wins_dedup(spark, table):
+    return prepare.first_wins(table("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("""SELECT t AS work_type, count(*) AS n FROM (SELECT CASE WHEN contains(x,'short stor') THEN 'ShortStory' WHEN contains(x,'essay') THEN 'Essay' WHEN contains(x,'poetry') OR contains(x,'poesia') OR contains(x,'poems') OR contains(x,'poésie') THEN 'Poetry' WHEN contains(x,'drama') OR contains(x,'play') OR contains(x,'theater') OR contains(x,'theatre') THEN 'Play' WHEN contains(x,'fiction') OR contains(x,'novel') OR contains(x,'roman') THEN 'Novel' ELSE 'NonFiction' END AS t
+FROM (SELECT lower(CASE o_orderkey%6 WHEN 0 THEN 'Nonfiction' WHEN 1 THEN 'A display' WHEN 2 THEN 'Short Stories' WHEN 3 THEN 'Essays' WHEN 4 THEN 'Poésie' ELSE 'History' END) AS x FROM orders)) GROUP BY t""")
+def q41_worktype_classify(spark, table):
+    x = F.expr("CASE o_orderkey%6 WHEN 0 THEN 'Nonfiction' WHEN 1 THEN 'A display' WHEN 2 THEN 'Short Stories' WHEN 3 THEN 'Essays' WHEN 4 THEN 'Poésie' ELSE 'History' END")
+    return table("orders").groupBy(scalar.work_type(x).alias("work_type")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c, CASE WHEN len(c)=2 THEN 'i1/'||c WHEN len(c)=3 THEN 'i3/'||c END AS by_length, CASE WHEN substr(c,1,2)=c THEN 'i1/'||c ELSE 'i3/'||c END AS by_branch FROM (SELECT DISTINCT substr(n_name,1,1+n_nationkey%4) AS c FROM nation)""")
+def q42_language_branch(spark, table):
+    c = table("nation").select(F.expr("substr(n_name, 1, 1 + n_nationkey % 4)").alias("c")).distinct()
+    return c.select("c", scalar.language_iri(F.col("c"), "i1/", "i3/").alias("by_length"), scalar.language_branch(F.col("c"), "i1/", "i3/").alias("by_branch"))
+
+
+# ------------------------------------------------------------------ optional, union, federation
+
+
+@query(f"""SELECT '{EX}supplier/' || s_suppkey AS s, CASE WHEN contains(n_name,'A') THEN n_name END AS label FROM supplier LEFT JOIN nation ON s_nationkey=n_nationkey""")
+def q43_optional_filter_inside(spark, table):
+    return ask(graph(table, "person", "nation"), 'SELECT ?s ?label WHERE { ?s o:name ?n OPTIONAL { ?s o:from ?c . ?c rdfs:label ?label FILTER(CONTAINS(STR(?label), "A")) } }')
+
+
+@query(f"""SELECT '{EX}nation/' || n_nationkey AS x, n_name AS a, NULL AS b FROM nation UNION ALL SELECT '{EX}supplier/' || s_suppkey, NULL, s_name FROM supplier""")
+def q44_union_missing_vars(spark, table):
+    return ask(graph(table, "person", "nation"), "SELECT ?x ?a ?b WHERE { { ?x a o:Nation . ?x rdfs:label ?a } UNION { ?x o:name ?b } }")
+
+
+@query(f"""SELECT s_name AS name, '{EX}supplier/' || s_suppkey AS p FROM supplier WHERE s_suppkey IN (1,3,5)""")
+def q45_values_bindjoin(spark, table):
+    ids = " ".join(f"<{EX}supplier/{k}>" for k in (1, 3, 5))
+    return ask(graph(table, "person"), f"SELECT ?name ?p WHERE {{ VALUES ?p {{ {ids} }} ?p o:name ?name }}")
+
+
+@query("""SELECT DISTINCT s_name AS name, n_name AS label FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE n_name LIKE 'I%'""")
+def q46_service_two_datasets(spark, table):
+    sets = {"": graph(table, "person"), EX + "nations": graph(table, "nation")}
+    return ask(sets, f'SELECT DISTINCT ?name ?label WHERE {{ ?p o:name ?name ; o:from ?n . SERVICE <{EX}nations> {{ ?n rdfs:label ?label FILTER(STRSTARTS(STR(?label), "I")) }} }}')
+
+
+@query("""SELECT s_name AS name, count(*) AS credits FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey=s_suppkey GROUP BY 1""")
+def q47_blind_optional(spark, table):
+    """An optional service block that matches nothing leaves bag counts as they are."""
+    sets = {"": graph(table, "credit", "person"), EX + "books": graph(table, "region")}
+    return ask(sets, f"SELECT ?name (COUNT(?c) AS ?credits) WHERE {{ ?c o:by ?p . ?p o:name ?name OPTIONAL {{ SERVICE <{EX}books> {{ ?p a o:Book }} }} }} GROUP BY ?name")
+
+
+@query("""SELECT 'orders' AS "check", count(*) AS missing, min(k) AS example FROM (SELECT DISTINCT c_custkey::varchar AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))
+UNION ALL SELECT 'nations', count(*), min(k) FROM (SELECT DISTINCT s_nationkey::varchar AS k FROM supplier WHERE s_nationkey <> 3 AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 1))""")
+def q48_coverage_report(spark, table):
+    text = lambda c: F.col(c).cast("string").alias("k")
+    return prepare.coverage_report({"orders": (table("customer").select(text("c_custkey")), table("orders").select(text("o_custkey")), "k", []), "nations": (table("supplier").select(text("s_nationkey")), table("nation").where("n_regionkey > 1").select(text("n_nationkey")), "k", ["3"])})
+
+
+@query("SELECT true AS equal")
+def q49_set_equality_oracle_check(spark, table):
+    """Two strategies give the same rows: a declared join and a bind join."""
+    s, n = table("supplier").select("s_name", F.col("s_nationkey").alias("k")), table("nation").select("n_name", F.col("n_nationkey").alias("k"))
+    return prepare.same_rows(s.join(n, "k").select("s_name", "n_name"), federation.bind_join(s, n, "k").select("s_name", "n_name"))
+
+
+@query(f"""SELECT 'bridge' AS part, count(*) AS n FROM supplier UNION ALL SELECT 'rest', (SELECT count(*) FROM supplier)*0 + (SELECT count(*)*3 FROM nation)""")
+def q50_graph_split(spark, table):
+    g = graph(table, "person", "nation")
+    touch, rest = prepare.split_graph(g, EX + "supplier/")
+    return touch.where(F.col("p") == O + "name").agg(F.lit("bridge").alias("part"), F.count("*").alias("n")).unionByName(rest.agg(F.lit("rest").alias("part"), F.count("*").alias("n")))
+
+
+@query("SELECT count(*)*6 AS written, count(*)*6 AS reread FROM part")
+def q51_ntriples_round_trip(spark, table):
+    g = graph(table, "part")
+    back = parse_ntriples(format_ntriples(g))
+    cat = Catalog()
+    cat.load("a", g)
+    cat.load("a", back)
+    return g.agg(F.count("*").alias("written")).crossJoin(cat["a"].agg(F.count("*").alias("reread")))
+
+
+@query('SELECT column_name AS "column", n FROM (SELECT count(*) FILTER (o_orderstatus = \'F\') AS o_orderstatus, 0::bigint AS o_orderpriority FROM orders) UNPIVOT (n FOR column_name IN (o_orderstatus, o_orderpriority))')
+def q52_null_counts(spark, table):
+    df = table("orders").select(F.when(F.col("o_orderstatus") == "F", T.NULL_MARK).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
+    return prepare.null_counts(df)
+
+
+@query(f"""SELECT '{O}' || c AS iri, c AS label FROM (VALUES ('Work'),('Part'),('BigPart')) v(c)""")
+def q53_discover_classes(spark, table):
+    return facets.classes(ontology(spark), O + "Work")
+
+
+@query("SELECT count(*) > 0 AS answer FROM region")
+def q54_ask(spark, table):
+    return ask(graph(table, "region"), "ASK { ?x a o:Region }")
+
+
+@query("SELECT count(DISTINCT l_suppkey) AS n, min(l_linenumber)::bigint AS low, max(l_linenumber)::bigint AS high FROM lineitem")
+def q55_aggregates(spark, table):
+    return ask(graph(table, "credit"), "SELECT (COUNT(DISTINCT ?p) AS ?n) (MIN(?o) AS ?low) (MAX(?o) AS ?high) WHERE { ?c o:by ?p ; o:order ?o }")
+
+
+@query("SELECT p_name AS name, p_size::varchar AS size FROM part WHERE p_size >= 45 AND p_size <> 47 ORDER BY name, p_partkey")
+def q56_filter_numeric(spark, table):
+    return ask(graph(table, "part"), "SELECT ?name ?size WHERE { ?x rdfs:label ?name ; o:size ?size FILTER(?size >= 45 && !(?size = 47)) } ORDER BY ?name")
+
+
+@query("""SELECT n_name AS work FROM nation WHERE false UNION ALL SELECT DISTINCT n_name FROM nation JOIN supplier ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey WHERE r_name IN ('ASIA','EUROPE')""")
+def q57_path_sequence(spark, table):
+    data = graph(table, "person", "nation", "region")
+    return ask(data, 'SELECT DISTINCT ?work WHERE { ?s o:from ?n . ?n rdfs:label ?work ; o:partOf/rdfs:label ?r FILTER(?r IN ("ASIA", "EUROPE")) }')
+
+
+@query("""SELECT s_nationkey AS k, count(*) AS n FROM (SELECT DISTINCT least(s_suppkey, coalesce(c_custkey, s_suppkey)) AS i, s_nationkey FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey) GROUP BY 1""")
+def q58_canonicalise(spark, table):
+    """Same-as members counted once: persons by nation after canonical ids replace theirs."""
+    n = lambda p, c: F.concat(F.lit(EX + p), F.col(c).cast("string"))
+    links = table("supplier").join(table("customer"), F.col("s_suppkey") == F.col("c_custkey")).select(n("supplier/", "s_suppkey").alias("a"), n("customer/", "c_custkey").alias("b"))
+    facts = table("supplier").select(n("supplier/", "s_suppkey").alias("s"), F.lit(O + "k").alias("p"), F.col("s_nationkey").cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+    out = reason.canonicalise(facts, reason.components(links))
+    return out.groupBy(F.col("o").cast("int").alias("k")).agg(F.countDistinct("s").alias("n"))
