@@ -56,7 +56,10 @@ class State:
             out.append(("page", str(self.page)))
         for f in self.facets:
             key = f"{f.kind}:{f.prop}"
-            out += [(key, v) for v in f.values] + [(key + "_from", f"{f.low:g}")] * (f.low is not None) + [(key + "_to", f"{f.high:g}")] * (f.high is not None) + [(key, f.value)] * (f.value != "")
+            out += [(key, v) for v in f.values]
+            out += [(key + end, f"{bound:g}") for end, bound in (("_from", f.low), ("_to", f.high)) if bound is not None]
+            if f.value:
+                out.append((key, f.value))
         return urlencode(out)
 
     @classmethod

@@ -30,8 +30,8 @@ def read_dump(spark: SparkSession, path: str, kind: str = "/type/author", schema
     Short lines and malformed JSON are skipped. gzip can't be split, so rows are dealt out anew.
     """
     part = F.split("value", "\t", 5)
-    lines = spark.read.text(path).select(part.alias("f")).where((F.size("f") == 5) & (F.col("f")[0] == kind))
-    rows = lines.repartition(spark.sparkContext.defaultParallelism).select(F.col("f")[1].alias("key"), F.from_json(F.col("f")[4], f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
+    lines = spark.read.text(path).select(part.alias("f")).where((F.size("f") == 5) & (F.get("f", F.lit(0)) == kind))
+    rows = lines.repartition(spark.sparkContext.defaultParallelism).select(F.get("f", F.lit(1)).alias("key"), F.from_json(F.get("f", F.lit(4)), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
     return rows.where("j IS NOT NULL AND j._bad IS NULL").select("key", "j.*").drop("_bad")
 
 
