@@ -15,21 +15,26 @@ an empty table gives files without blocks; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, shared_dir, ship, texts, written
+from tessera.llm.common import arrow_map, discard, shared_dir, ship
 
 END_ID = 2
 #: Ids in a block, unless one document holds more.
 BLOCK_IDS = 1 << 18
 #: Chunks that a worker keeps the ids of; at twice as many the older half goes.
-CACHE = 250_000
+CACHE = 400_000
+
+#: Texts that are encoded together: more share more chunks.
+BATCH = 4000
+#: Marks that may end a chunk; after a letter they are a piece of their own (no apostrophe here).
+TAIL = ".,;:!?%*#&$|"
 
 #: 4-bit groups: the number of data bytes of four ids, and their sum, by control byte.
 WIDTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -76,38 +81,86 @@ class Encoder:
         self.lengths = lengths
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.split = re.compile(r" (?=\S)").split
+        self.tails: dict[str, bytes] = {}
+        self.width = np.dtype(np.uint16 if len(lengths) <= 1 << 16 else np.uint32)
 
     def fresh(self, chunks: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum([len(c.encode()) for c in chunks])
-        cut = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1
-        packed, at, out = ids.tobytes(), 0, []
-        for c in cut.tolist():
-            out.append(packed[4 * at : 4 * c])
-            at = c
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        first, *rest = self.split(text)
+        """The ids of chunks that begin at piece boundaries, from one call for all."""
+        joined = "".join(chunks)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = np.fromiter(map(len, chunks) if joined.isascii() else (len(c.encode()) for c in chunks), np.int64, len(chunks))
+        cut = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), "left") + 1
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in itertools.pairwise([0, *(4 * cut).tolist()])]
+
+    def tail(self, marks: str) -> bytes:
+        """The ids of marks after a letter, always a piece of their own."""
+        if marks not in self.tails:
+            self.tails[marks] = np.array(self.tokenizer.encode_batch_fast([marks], add_special_tokens=False)[0].ids, np.uint32).tobytes()
+        return self.tails[marks]
+
+    def look_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, each with a space before it."""
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        young = self.young
-        got = list(map(young.get, rest))
-        if None in got:
-            new = []
-            for c in {c for c, g in zip(rest, got) if g is None}:
-                if (g := self.old.get(c)) is not None:
-                    young[c] = g
-                else:
-                    new.append(c)
-            if new:
-                young.update(zip(new, self.fresh([" " + c for c in new])))
-            got = list(map(young.get, rest))
-        head = self.tokenizer.encode_batch_fast([first], add_special_tokens=False)[0].ids if first else []
-        return np.frombuffer(np.array(head, np.uint32).tobytes() + b"".join(got), np.uint32)
+        young, old = self.young, self.old
+        new, tailed = set(), []
+        for c in chunks:
+            if c in young:
+                continue
+            if (g := old.get(c)) is not None:
+                young[c] = g
+                continue
+            word = c.rstrip(TAIL)
+            if len(word) < len(c) <= len(word) + 4 and word[-1:].isalpha():
+                tailed.append((c, word))
+                if word in young:
+                    continue
+                if (g := old.get(word)) is not None:
+                    young[word] = g
+                    continue
+                c = word
+            new.add(c)
+        if new:
+            order = list(new)
+            young.update(zip(order, self.fresh([" " + c for c in order])))
+        for c, word in tailed:
+            young[c] = young[word] + self.tail(c[len(word) :])
+        return list(map(young.__getitem__, chunks))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a column, the number of ids of each)."""
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        n = len(column)
+        lists = pc.split_pattern(column, " ")
+        flat, ends = lists.flatten(), np.asarray(lists.offsets, np.int64)
+        ends = ends - ends[0]
+        coded = flat.dictionary_encode()
+        index = np.asarray(coded.indices, np.int64)
+        # where a space meets other white space, it may not begin a piece: such texts go whole
+        whole = np.asarray(pc.match_substring_regex(column, r" [\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
+        chunk = np.ones(len(index), bool)
+        chunk[ends[:-1]] = False
+        chunk &= ~np.repeat(whole, np.diff(ends))
+        head = flat.take(pa.array(ends[:-1])).to_pylist()
+        for k in np.flatnonzero(whole).tolist():
+            head[k] = column[k].as_py()
+        wanted = np.zeros(len(coded.dictionary), bool)
+        wanted[index[chunk]] = True
+        got = self.look_up(coded.dictionary.filter(pa.array(wanted)).to_pylist())
+        sizes = np.zeros(len(wanted), np.int64)
+        sizes[wanted] = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        first = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(got), np.uint32)
+        heads = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(head, add_special_tokens=False)]
+        # heads follow the chunks' ids in one pool, so that all is gathered in one step
+        pool = np.concatenate([ids, *heads])
+        size = np.where(chunk, sizes[index], 0)
+        begin = first[index]
+        head_sizes = np.array([len(h) for h in heads], np.int64)
+        size[ends[:-1]], begin[ends[:-1]] = head_sizes, len(ids) + np.cumsum(head_sizes) - head_sizes
+        out = pool[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        return out, np.add.reduceat(size, ends[:-1]) if n else np.zeros(0, np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -120,27 +173,29 @@ def encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (binary: little-endian 32-bit ids, the end id last)."""
+    """doc_id, ids: binary, little-endian ids (16 bits if the vocabulary allows), the end id last."""
 
     def over(batch):
         enc = encoder(path)
-        end = np.array([end_id], np.uint32).tobytes()
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([enc.encode(t).tobytes() + end for t in texts(batch)], pa.binary())], names=["doc_id", "ids"])
+        ids, sizes = enc.encode(batch.column("text"))
+        ends = np.cumsum(sizes)
+        packed = np.insert(ids, ends, end_id).astype(enc.width).tobytes()
+        cut = (enc.width.itemsize * (ends + np.arange(1, len(ends) + 1))).tolist()
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([packed[a:b] for a, b in itertools.pairwise([0, *cut])], pa.binary())], names=["doc_id", "ids"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), over, "doc_id long, ids binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), over, "doc_id long, ids binary", rows=BATCH)
 
 
-def ranking(encoded: DataFrame) -> DataFrame:
+def ranking(encoded: DataFrame, width: np.dtype) -> DataFrame:
     """id, n, rank: ids by falling frequency; as many rows as distinct ids, whatever the corpus."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                c = np.bincount(np.frombuffer(x, np.uint32))
-                if len(c) > len(total):
-                    total, c = c, total
-                total[: len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), width))
+            if len(c) > len(total):
+                total, c = c, total
+            total[: len(c)] += c
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
@@ -150,10 +205,10 @@ def ranking(encoded: DataFrame) -> DataFrame:
     return encoded.sparkSession.createDataFrame([(r.id, r.n, k) for k, r in enumerate(rows)], "id long, n long, rank long")
 
 
-def write(encoded: DataFrame, path: str) -> None:
-    """Write the files of encoded documents (doc_id, ids) below path: ranking and blocks."""
+def write(encoded: DataFrame, path: str, width: np.dtype) -> None:
+    """Write the files of documents from encode() below path: ranking and blocks."""
     spark = encoded.sparkSession
-    ranking(encoded).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranking")
+    ranking(encoded, width).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranking")
     ranked = spark.read.parquet(f"{path}/ranking").collect()
     rank = np.zeros(max((r.id for r in ranked), default=0) + 1, np.uint32)
     for r in ranked:
@@ -168,7 +223,7 @@ def write(encoded: DataFrame, path: str) -> None:
 
         def out():
             nonlocal block, done, docs, sizes, chunks, size
-            control, data = pack(held.value[np.frombuffer(b"".join(chunks), np.uint32)])
+            control, data = pack(held.value[np.frombuffer(b"".join(chunks), width)])
             row = [[part], [block], [done], [docs], [sizes], [control], [data]]
             block, done = block + 1, done + size
             docs, sizes, chunks, size = [], [], [], 0
@@ -178,9 +233,9 @@ def write(encoded: DataFrame, path: str) -> None:
         for b in batches:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
                 docs.append(d)
-                sizes.append(len(x) // 4)
+                sizes.append(len(x) // width.itemsize)
                 chunks.append(x)
-                size += len(x) // 4
+                size += sizes[-1]
                 if size >= BLOCK_IDS:
                     yield out()
         if docs:
@@ -190,7 +245,7 @@ def write(encoded: DataFrame, path: str) -> None:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
     schema = "part int, block int, start_in_part long, doc_ids array<long>, lengths array<long>, control binary, data binary"
-    ordered.mapInArrow(blocks, schema).write.mode("overwrite").parquet(f"{path}/blocks")
+    ordered.mapInArrow(blocks, schema).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read(spark, path: str) -> DataFrame:
@@ -227,7 +282,10 @@ def digest(decoded: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encode, write, read back: read()'s rows, from files in the shared folder."""
     spark = docs.sparkSession
-    encoded = written(encode(docs, tokenizer_path))
+    width = Encoder(tokenizer_path).width
+    coded = shared_dir(spark)
+    encode(docs, tokenizer_path).write.option("compression", "zstd").parquet(coded)
     path = shared_dir(spark)
-    write(encoded, path)
+    write(spark.read.parquet(coded), path, width)
+    discard(spark, coded)
     return read(spark, path)
