@@ -11,46 +11,44 @@ from tessera.llm.common import discard, shared_dir, written
 HOT = 1 / 2000
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, key: str, n: str, total: int, hot: float = HOT) -> DataFrame:
     """rows joined (inner) with found on key, where key is unique in found and n counts its rows.
 
-    Keys with a large share of all rows are broadcast (at most 1 / HOT of them, whatever the data),
-    so no task gets all rows of a hot key; the others are shuffled.
+    Keys with a large share of all rows are collected and broadcast (at most 1 / hot of them, whatever
+    the data), so no task gets all rows of a hot key; the others are shuffled.
     """
-    hot = F.broadcast(found.where(F.col(n) >= max(2.0, HOT * total)))
-    cold = found.where(F.col(n) < max(2.0, HOT * total)).hint("merge")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    least = max(2.0, hot * total)
+    often = found.where(F.col(n) >= least).collect()
+    cold = found.where(F.col(n) < least).hint("merge")
+    if not often:
+        return rows.join(cold, key)
+    keys = [r[key] for r in often]
+    few = F.broadcast(rows.sparkSession.createDataFrame(often, found.schema))
+    return rows.where(F.col(key).isin(keys)).join(few, key).unionByName(rows.where(~F.col(key).isin(keys)).join(cold, key))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for each end of the edges (a, b) the smallest id reachable.
 
     Minimum labels move along the edges, then each label is replaced by its own label, until none
-    changes. Every round is written to the shared folder, which cuts the lineage.
+    changes. Every round is written to the shared folder, which cuts the lineage. Joins with hot
+    vertices are plain sort-merge joins, which adaptive execution splits.
     """
     spark = edges.sparkSession
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = written(both)
-    degrees = both.groupBy("b").agg(F.count("*").alias("n"))
-    total = both.count()
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
-    if not total:
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    path = shared_dir(spark)
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), path)
+    if not labels.limit(1).count():
         return labels
-    last = None
     while True:
-        near = lookup(both, labels.join(degrees.withColumnRenamed("b", "id"), "id").select(F.col("id").alias("b"), F.col("component").alias("c"), "n"), "b", "n", total)
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")).hint("merge"), "b")
         best = near.groupBy("a").agg(F.min("c").alias("c")).withColumnRenamed("a", "id")
-        moved = labels.join(best, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        target = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        sizes = moved.groupBy("component").agg(F.count("*").alias("n"))
-        path = shared_dir(spark)
-        moved = written(moved, path)
-        sizes = moved.groupBy("component").agg(F.count("*").alias("n"))
-        jumped = lookup(moved, target.join(sizes, "component"), "component", "n", total)
-        new_path = shared_dir(spark)
-        new = written(jumped.select("id", "was", F.least("component", "jump").alias("component")), new_path)
+        moved_path, new_path = shared_dir(spark), shared_dir(spark)
+        moved = written(labels.join(best.hint("merge"), "id").select("id", F.col("component").alias("was"), F.least("component", "c").alias("component")), moved_path)
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
+        new = written(moved.join(jump.hint("merge"), "component").select("id", "was", F.least("component", "jump").alias("component")), new_path)
         changed = new.where("was <> component").limit(1).count()
-        discard(spark, path, *([last] if last else []))
-        labels, last = new.select("id", "component"), new_path
+        discard(spark, path, moved_path)
+        labels, path = new.select("id", "component"), new_path
         if not changed:
             return labels
