@@ -7,8 +7,9 @@ some register. Two registers agree with the probability Jaccard similarity of th
 
 Registers are banded; documents that agree in a band share a bucket. Buckets are not expanded into
 pairs: each bucket's members are compared with one leader, first the most central one (which shares
-the largest buckets), then in each round another, and links merge components. If the members of
-different components that are left in common buckets make few pairs, all are compared. A comparison first counts equal registers,
+the largest buckets), then in each round another, and links merge components. After these rounds all
+members of different components that are left in common buckets are compared: as pairs in small
+buckets, as blocks of members in large ones. A comparison first counts equal registers,
 then takes the exact similarity from the shingles: a link has probability Jaccard (of weights) or
 plain Jaccard (of sets) of at least ``SIMILARITY``.
 
@@ -38,8 +39,10 @@ REGISTERS = BANDS * ROWS
 #: Pairs with fewer equal registers are not compared exactly: 4.5 standard deviations at 0.8.
 LEAST_EQUAL = 48
 #: Most rounds of leaders. They end when no bucket holds two components, when the pairs left are
-#: so few that all are compared, or when a round of new leaders has found nothing more.
+#: few, or when a round has found nothing more. Whatever is left then is compared in full.
 ROUNDS = 6
+#: Members of a bucket whose pairs become rows; members of a block of a larger bucket.
+SMALL, BLOCK = 24, 2048
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _POWERS = np.array([pow(0x5851F42D4C957F2D, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -187,6 +190,42 @@ def _verify(pairs: DataFrame, sketch: DataFrame, shingle_table: DataFrame) -> Da
     return arrow_map(full.select("a", "ca", "b", "cb", "sh_a", "w_a", "sh_b", "w_b"), over, "a long, ca long, b long, cb long")
 
 
+def _within(table: pa.Table) -> pa.Table:
+    """Links that join the components of one pair of blocks (or of one block): a spanning forest."""
+    ids, comps = table["id"].to_numpy(), table["c"].to_numpy()
+    sig = np.array(table["sig"].to_pylist(), np.int32)
+    sh = [np.frombuffer(x, np.uint32) for x in table["sh"].to_pylist()]
+    weights = [np.frombuffer(x, np.uint32) if x else np.ones(len(s), np.uint32) for x, s in zip(table["w"].to_pylist(), sh)]
+    block = table["block"].to_numpy()
+    one = block.min() == block.max() and table["i"][0] == table["j"][0]
+    order = np.arange(len(ids))
+    rows, cols = (order, order) if one else (np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py()))
+    roots = comps.copy()
+    found = []
+    across = sig[cols]
+    for r in rows:
+        near = (across == sig[r]).sum(1) >= LEAST_EQUAL
+        for k in cols[near & (cols > r if one else True) & (roots[cols] != roots[r])]:
+            if roots[k] != roots[r] and similarity(sh[r], weights[r], sh[k], weights[k]) >= SIMILARITY:
+                found.append((ids[r], comps[r], ids[k], comps[k]))
+                roots[roots == roots[k]] = roots[r]
+    return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("a", "ca", "b", "cb"))})
+
+
+def _blocks(now: DataFrame, large: DataFrame, total: int, sketch: DataFrame, shingle_table: DataFrame) -> DataFrame:
+    """Links (a, ca, b, cb) that join the components in large buckets (key, n, members).
+
+    Every two members meet in the group of their blocks, in Python, so no rows of pairs are made and
+    no task holds a bucket. Of buckets with the same members one is taken.
+    """
+    taken = large.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = lookup(now.select("key", "id", "c"), taken, "key", "n", total).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = met.join(sketch.join(shingle_table.hint("merge"), "id").hint("merge"), "id")
+    return full.groupBy("key", "i", "j").applyInArrow(_within, "a long, ca long, b long, cb long")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, copy_of (smallest id with the same text), class_id (smallest id of the class), kept.
 
@@ -217,31 +256,32 @@ def classes(docs: DataFrame) -> DataFrame:
         shingle_table = keep(_shingle_table(docs, middle.select("id")).dropDuplicates(["id"]))
         now = members.withColumn("c", F.col("id"))
         quiet = 0
-        for t in range(ROUNDS):
+        for t in range(ROUNDS + 1):
             # a component's share of a bucket, and the most central member outside the largest share
-            per = now.groupBy("key", "c").agg(F.count("*").alias("m"), F.max(F.struct("weight", F.xxhash64("id"), F.col("id").alias("b"))).alias("top"))
+            per = now.groupBy("key", "c").agg(F.count("*").alias("m"), F.max(F.struct("weight", F.xxhash64("id"), F.col("id").alias("b"))).alias("top"), F.bit_xor(F.xxhash64("id")).alias("members"))
             ranked = per.groupBy("key").agg(
-                F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("cs"), F.max(F.struct("m", "c")).alias("largest"),
+                F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("cs"), F.bit_xor("members").alias("members"),
                 F.max(F.struct("top.weight", F.col("top.b").alias("b"), "c")).alias("first"),
                 *([F.max_by(F.struct(F.col("top.b").alias("b"), "c"), F.xxhash64("top.b", F.lit(t))).alias("other")] if t else []),
             ).where("cs > 1")
             leader = F.col("other") if t else F.struct("first.b", "first.c")
-            open_ = keep(ranked.select("key", "n", leader["b"].alias("b"), leader["c"].alias("cb"), ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")))
+            open_ = keep(ranked.select("key", "n", "members", leader["b"].alias("b"), leader["c"].alias("cb"), ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")))
             left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
             if not left:
                 break
-            last = t > 0 and left <= 2 * n_members + 10_000
-            if quiet and not last:
-                break
+            last = t == ROUNDS or quiet or t > 0 and left <= 2 * n_members + 10_000
             rest = now.select(F.col("id").alias("a"), F.col("c").alias("ca"), "key")
             if last:
-                # few pairs of different components are left in common buckets: all are compared
-                wanted = rest.join(open_.select("key"), "key", "left_semi")
+                # all pairs of different components that are left in common buckets are compared
+                wanted = rest.join(open_.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
                 other = wanted.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
                 pairs = wanted.join(other, "key").where("ca < cb").select("a", "ca", "b", "cb").distinct()
             else:
                 pairs = lookup(rest, open_.select("key", "n", "b", "cb"), "key", "n", n_members).where("ca <> cb").select("a", "ca", "b", "cb").distinct()
             new = keep(_verify(keep(pairs), sketch, shingle_table))
+            large = open_.where(F.col("n") > SMALL)
+            if last and large.limit(1).count():
+                new = new.unionByName(keep(_blocks(now, large, n_members, sketch, shingle_table)))
             found = new.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
             merged = components(found)
             linked = merged.limit(1).count()

@@ -88,6 +88,30 @@ def test_near_duplicates_by_brute_force(spark):
     assert near_dup.classes(frame(spark, [])).count() == 0
 
 
+def brute_force_classes(texts):
+    s, parent = [near_dup.shingles(t.encode()) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if parent[i] != parent[j] and near_dup.similarity(*s[i], *s[j]) >= 0.8:
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    return dict(enumerate(parent))
+
+
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 40])
+def test_links_in_large_buckets_that_no_leader_meets(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    # 0.783 alike by one passage; two and two share three more words and are 0.802 alike
+    passage, tails = prose(700, 220), [prose(800 + k, 30).split() for k in range(120)]
+    for k in range(0, 60, 2):
+        tails[k + 1][:3] = tails[k][:3]
+    texts = [passage + " " + " ".join(t) for t in tails]
+    want = brute_force_classes(texts)
+    assert len(set(want.values())) == 90
+    got = {r.doc_id: r.class_id for r in near_dup.classes(frame(spark, texts)).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- 2 and 9
 
 
