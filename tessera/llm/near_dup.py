@@ -10,7 +10,8 @@ pairs: each bucket's members are compared with one leader, first the most centra
 the largest buckets), then in each round another, and links merge components. After these rounds all
 members of different components that are left in common buckets are compared: as pairs in small
 buckets, as blocks of members in large ones. A comparison first counts equal registers,
-then takes the exact similarity from the shingles: a link has probability Jaccard (of weights) or
+then takes the exact similarity from the shingles. Documents that repeat a shingle have a second
+signature of unit weights, with bands of its own, for plain Jaccard. A link has probability Jaccard (of weights) or
 plain Jaccard (of sets) of at least ``SIMILARITY``.
 
 Copies of one text are grouped beforehand, so large groups of copies cost one comparison.
@@ -134,17 +135,21 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, text_hash, has_words, sig for each row with an id and a text."""
+    """id, text_hash, sig, unit for each row with an id and a text.
+
+    unit is the signature of unit weights, null where it is the same as sig.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL").withColumn("text_hash", F.md5("text"))
 
     def over(batch):
-        sig = []
+        sig, unit = [], []
         for t in utf8(batch):
             e, w = shingles(t)
             sig.append(signature(e, w).astype(np.int32) if len(e) else None)
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(sig, pa.list_(pa.int32()))], names=["id", "text_hash", "sig"])
+            unit.append(signature(e, np.ones_like(w)).astype(np.int32) if w.sum() > len(w) else None)
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(sig, pa.list_(pa.int32())), pa.array(unit, pa.list_(pa.int32()))], names=["id", "text_hash", "sig", "unit"])
 
-    return arrow_map(rows, over, "id long, text_hash string, sig array<int>")
+    return arrow_map(rows, over, "id long, text_hash string, sig array<int>, unit array<int>")
 
 
 def _shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -176,8 +181,11 @@ def _verify(pairs: DataFrame, sketch: DataFrame, shingle_table: DataFrame) -> Da
         with_a = pairs.join(of(table, columns, "a").hint("merge"), "a")
         return lookup(with_a, of(table, columns, "b").join(uses, "b"), "b", "uses", pairs.count(), hot).drop("uses")
 
-    equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda p, q: p == q), lambda e: e))
-    near = written(met(pairs, sketch, ["sig"], 1 / 1000).where(equal >= LEAST_EQUAL).select("a", "ca", "b", "cb"))
+    def equal(p, q):
+        return F.size(F.filter(F.zip_with(p, q, lambda p, q: p == q), lambda e: e))
+
+    plain = equal(F.coalesce("unit_a", "sig_a"), F.coalesce("unit_b", "sig_b"))
+    near = written(met(pairs, sketch, ["sig", "unit"], 1 / 1000).where((equal("sig_a", "sig_b") >= LEAST_EQUAL) | (plain >= LEAST_EQUAL)).select("a", "ca", "b", "cb"))
 
     def over(batch):
         cols = [batch.column(c).to_pylist() for c in ("sh_a", "w_a", "sh_b", "w_b")]
@@ -193,7 +201,9 @@ def _verify(pairs: DataFrame, sketch: DataFrame, shingle_table: DataFrame) -> Da
 def _within(table: pa.Table) -> pa.Table:
     """Links that join the components of one pair of blocks (or of one block): a spanning forest."""
     ids, comps = table["id"].to_numpy(), table["c"].to_numpy()
-    sig = np.array(table["sig"].to_pylist(), np.int32)
+    sigs = table["sig"].to_pylist()
+    sig, unit = np.array(sigs, np.int32), np.array([u or s for u, s in zip(table["unit"].to_pylist(), sigs)], np.int32)
+    plain_too = (sig != unit).any()
     sh = [np.frombuffer(x, np.uint32) for x in table["sh"].to_pylist()]
     weights = [np.frombuffer(x, np.uint32) if x else np.ones(len(s), np.uint32) for x, s in zip(table["w"].to_pylist(), sh)]
     block = table["block"].to_numpy()
@@ -202,9 +212,11 @@ def _within(table: pa.Table) -> pa.Table:
     rows, cols = (order, order) if one else (np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py()))
     roots = comps.copy()
     found = []
-    across = sig[cols]
+    across, across_unit = sig[cols], unit[cols]
     for r in rows:
         near = (across == sig[r]).sum(1) >= LEAST_EQUAL
+        if plain_too:
+            near |= (across_unit == unit[r]).sum(1) >= LEAST_EQUAL
         for k in cols[near & (cols > r if one else True) & (roots[cols] != roots[r])]:
             if roots[k] != roots[r] and similarity(sh[r], weights[r], sh[k], weights[k]) >= SIMILARITY:
                 found.append((ids[r], comps[r], ids[k], comps[k]))
@@ -240,12 +252,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
     signed = keep(signatures(docs))
     total = signed.count()
-    groups = keep(signed.groupBy("text_hash").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("sig").alias("sig")))
-    reps = groups.where("sig IS NOT NULL").groupBy(F.col("rep").alias("id")).agg(F.min("sig").alias("sig"))
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)))
+    groups = keep(signed.groupBy("text_hash").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("sig").alias("sig"), F.min("unit").alias("unit")))
+    reps = groups.where("sig IS NOT NULL").groupBy(F.col("rep").alias("id")).agg(F.min(F.struct("sig", "unit")).alias("s")).select("id", "s.sig", "s.unit")
+    bands = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice(c, i * ROWS + 1, ROWS)))
+    band = F.when(F.col("unit").isNull(), bands("sig")).otherwise(F.array_union(bands("sig"), bands("unit")))
     banded = reps.select("id", F.explode(band).alias("key"))
     shared = keep(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    buckets = keep(lookup(banded, shared, "key", "n", total * BANDS).select("key", "id", "n"))
+    buckets = keep(lookup(banded, shared, "key", "n", 2 * total * BANDS).select("key", "id", "n"))
     # documents that share large buckets are in the middle of their group: good leaders
     middle = keep(buckets.groupBy("id").agg(F.sum("n").alias("weight")))
     n_members = buckets.count()

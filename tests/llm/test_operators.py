@@ -112,6 +112,18 @@ def test_links_in_large_buckets_that_no_leader_meets(spark, monkeypatch, block):
     assert got == want
 
 
+def test_plain_jaccard_links_texts_that_differ_in_repetition(spark):
+    many = [f"z{k}" for k in range(2000)]
+    texts = []
+    for k in range(4):
+        words = random.Random(k).sample(many, 300)
+        texts += [" ".join(words), " ".join(words + many[:10] * 60)]
+    s = [near_dup.shingles(t.encode()) for t in texts]
+    assert near_dup.similarity(*s[0], *s[1]) > 0.9 and near_dup.similarity(*s[0], *s[2]) < 0.1
+    got = {r.doc_id: r.class_id for r in near_dup.classes(frame(spark, texts)).collect()}
+    assert got == {k: k // 2 * 2 for k in range(8)} == brute_force_classes(texts)
+
+
 # ---------------------------------------------------------------- 2 and 9
 
 
