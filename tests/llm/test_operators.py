@@ -245,6 +245,18 @@ def test_language_model(spark):
     assert language_model.score(frame(spark, [])).count() == 0
 
 
+def test_network_learns_from_every_training_document(spark):
+    texts = [prose(k, 20) for k in range(400)]
+    hashed = {r.id: r.h for r in spark.range(400).selectExpr("id", "xxhash64(id) AS h").collect()}
+    late = [k for k in sorted(hashed, key=hashed.get)[language_model.WARM :] if hashed[k] % 8]
+    assert len(late) > 50
+    turned = [" ".join(reversed(t.split())) if k in late else t for k, t in enumerate(texts)]
+    docs = frame(spark, texts)
+    stats = language_model.statistics(language_model.word_counts(docs))
+    a, b = (language_model.train(d, stats).flat() for d in (docs, frame(spark, turned)))
+    assert np.abs(a - b).max() > 1e-5
+
+
 def test_state_is_carried_and_outputs_sum_to_one():
     known = {f"k{i}".encode(): 100 - i for i in range(50)}
     stats = language_model.Statistics(5000, 80, known, np.full(64, 2.0), np.full(64, 1.0))
