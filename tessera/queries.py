@@ -350,11 +350,11 @@ def q35_parse_year_outcomes(spark, table):
     return raw.select(outcome.alias("outcome"), year.alias("year")).groupBy("outcome", "year").agg(F.count("*").alias("n"))
 
 
-def _people(table):
+def _people(table, chosen="p_partkey <= 200"):
     """Two lists of people: parts' names stand for names, sizes for years."""
     toks = scalar.tokens(scalar.squeeze(F.col("p_name")))
     birth = (F.lit(1800) + F.col("p_size")).cast("int")
-    base = table("part").where("p_partkey <= 200").select(F.col("p_partkey").alias("id"), toks.alias("tokens"), "p_size", birth.alias("b"))
+    base = table("part").where(chosen).select(F.col("p_partkey").alias("id"), toks.alias("tokens"), "p_size", birth.alias("b"))
     left = base.where("id % 2 = 0").select("id", "tokens", F.when(F.col("p_size") % 5 != 0, F.col("b")).alias("birth"), F.lit(None).cast("int").alias("death"))
     right = base.where("id % 2 = 1").select("id", "tokens", F.array().cast("array<array<string>>").alias("alternates"), F.when(F.col("p_size") % 7 != 0, F.col("b")).alias("birth"), F.lit(None).cast("int").alias("death"), F.when(F.col("p_size") % 3 == 0, "clean").otherwise("uncertain").alias("birth_outcome"))
     return left, right
@@ -508,3 +508,25 @@ def q58_canonicalise(spark, table):
     facts = table("supplier").select(n("supplier/", "s_suppkey").alias("s"), F.lit(O + "k").alias("p"), F.col("s_nationkey").cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
     out = reason.canonicalise(facts, reason.components(links))
     return out.groupBy(F.col("o").cast("int").alias("k")).agg(F.countDistinct("s").alias("n"))
+
+
+# ------------------------------------------------------------------ whole tables
+
+_ER_WHOLE = _ER.replace(" WHERE p_partkey <= 200", "")
+
+
+@query(f"WITH {_ER_WHOLE} SELECT left_id, right_id FROM c")
+def q59_er_blocking_whole(spark, table):
+    return entity.block(*_people(table, "true"))
+
+
+@query(f"WITH {_ER_WHOLE} SELECT left_id, right_id, CASE WHEN m AND d AND clean THEN 'high' WHEN m AND d THEN 'medium' WHEN m AND d IS NULL THEN 'low' END AS confidence FROM j")
+def q60_er_confidence_whole(spark, table):
+    left, right = _people(table, "true")
+    return entity.judge(entity.block(left, right), left, right).select("left_id", "right_id", "confidence")
+
+
+@query(f"WITH {_ER_WHOLE} SELECT count(*) AS candidates, count(*) FILTER (d) AS confirmed, count(*) FILTER (d IS NULL) AS inconclusive, count(*) FILTER (NOT d) AS rejected, count(*) FILTER (d IS NULL OR d) AS asserted FROM j WHERE m")
+def q61_er_metrics_whole(spark, table):
+    left, right = _people(table, "true")
+    return entity.funnel(entity.judge(entity.block(left, right), left, right))
