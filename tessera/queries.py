@@ -530,3 +530,16 @@ def q60_er_confidence_whole(spark, table):
 def q61_er_metrics_whole(spark, table):
     left, right = _people(table, "true")
     return entity.funnel(entity.judge(entity.block(left, right), left, right))
+
+
+@query("""WITH RECURSIVE e(a,b) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), r(a,b) AS (SELECT * FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b=e.a) SELECT a, b FROM r""")
+def q62_transitive_whole(spark, table):
+    n = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = table("customer").select(n("c_custkey", "c").alias("a"), n("c_nationkey", "n").alias("b")).union(table("nation").select(n("n_nationkey", "n"), n("n_regionkey", "r")))
+    return reason.closure(e).select("a", "b")
+
+
+@query("""WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier), g(a,b) AS (SELECT a,b FROM e UNION SELECT b,a FROM e), r(a,b) AS (SELECT a,a FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b=g.a) SELECT a AS id, min(b) AS canonical FROM r GROUP BY a""")
+def q63_sameas_components_whole(spark, table):
+    e = table("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("b"))
+    return reason.components(e)
