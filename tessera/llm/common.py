@@ -70,6 +70,14 @@ def discard(spark: SparkSession, *paths: str) -> None:
         hp.getFileSystem(conf).delete(hp, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones equals, whatever their case."""
+    used = {t.lower() for t in taken}
+    while name in used:
+        name += "_"
+    return name
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str, rows: int = TEXT_ROWS_PER_BATCH) -> DataFrame:
     """mapInArrow over slices of at most ``rows`` rows; fn(batch) returns one batch or None."""
     ship(df.sparkSession)

@@ -7,12 +7,13 @@ some register. Two registers agree with the probability Jaccard similarity of th
 
 Registers are banded; documents that agree in a band share a bucket. Buckets are not expanded into
 pairs: each bucket's members are compared with one leader, first the most central one (which shares
-the largest buckets), then in each round another, and links merge components. After these rounds all
-members of different components that are left in common buckets are compared: as pairs in small
-buckets, as blocks of members in large ones. A comparison first counts equal registers,
-then takes the exact similarity from the shingles. Documents that repeat a shingle have a second
-signature of unit weights, with bands of its own, for plain Jaccard. A link has probability Jaccard (of weights) or
-plain Jaccard (of sets) of at least ``SIMILARITY``.
+the largest buckets), then another of those outside the largest component, and links merge
+components. Only buckets that still hold two components go on. What is open after ``LEADERS`` rounds
+is settled in full: each member outside its bucket's largest component meets all other members, as
+blocks of bounded size. A comparison first counts equal registers, then takes the exact similarity
+from the shingles. Documents that repeat a shingle have a second signature of unit weights, with
+bands of its own, for plain Jaccard. A link has probability Jaccard (of weights) or plain Jaccard
+(of sets) of at least ``SIMILARITY``.
 
 Copies of one text are grouped beforehand, so large groups of copies cost one comparison.
 
@@ -29,21 +30,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, discard, shared_dir, utf8, written
+from tessera.llm.common import arrow_map, discard, fresh, shared_dir, utf8, written
 from tessera.llm.decontaminate import words
 from tessera.llm.graph import components, lookup
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 20 bands of 4: at similarity 0.8 a pair shares no bucket in 2 of 100 million cases.
+#: 20 bands of 4: at similarity 0.8 a pair shares no bucket in 3 of 100,000 cases.
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: Pairs with fewer equal registers are not compared exactly: 4.5 standard deviations at 0.8.
 LEAST_EQUAL = 48
-#: Most rounds of leaders. They end when no bucket holds two components, when the pairs left are
-#: few, or when a round has found nothing more. Whatever is left then is compared in full.
-ROUNDS = 6
-#: Members of a bucket whose pairs become rows; members of a block of a larger bucket.
-SMALL, BLOCK = 24, 2048
+#: Rounds of leaders before the members left outside are settled in full; it changes no result.
+LEADERS = 2
+#: Members of a block.
+BLOCK = 128
+#: Distinct texts whose signatures a worker keeps for copies; it bounds memory, not results.
+KEPT = 2000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _POWERS = np.array([pow(0x5851F42D4C957F2D, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -68,6 +70,8 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+#: Signatures by text hash, of texts seen lately.
+_signed: dict = {}
 
 
 def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +147,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def over(batch):
         sig, unit = [], []
-        for t in utf8(batch):
-            e, w = shingles(t)
-            sig.append(signature(e, w).astype(np.int32) if len(e) else None)
-            unit.append(signature(e, np.ones_like(w)).astype(np.int32) if w.sum() > len(w) else None)
+        for t, h in zip(utf8(batch), batch.column("text_hash").to_pylist()):
+            if h not in _signed:
+                if len(_signed) >= KEPT:
+                    _signed.clear()
+                e, w = shingles(t)
+                _signed[h] = (signature(e, w).astype(np.int32) if len(e) else None, signature(e, np.ones_like(w)).astype(np.int32) if w.sum() > len(w) else None)
+            sig.append(_signed[h][0])
+            unit.append(_signed[h][1])
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(sig, pa.list_(pa.int32())), pa.array(unit, pa.list_(pa.int32()))], names=["id", "text_hash", "sig", "unit"])
 
     return arrow_map(rows, over, "id long, text_hash string, sig array<int>, unit array<int>")
@@ -199,43 +207,48 @@ def _verify(pairs: DataFrame, sketch: DataFrame, shingle_table: DataFrame) -> Da
 
 
 def _within(table: pa.Table) -> pa.Table:
-    """Links that join the components of one pair of blocks (or of one block): a spanning forest."""
-    ids, comps = table["id"].to_numpy(), table["c"].to_numpy()
+    """Links that join the components of a block of outsiders and a block of members: a forest.
+
+    A pair that shares several buckets is compared in the one with the least key.
+    """
+    key, comps = table["key"][0].as_py(), table["c"].to_numpy()
+    ids, outer, inner = table["id"].to_numpy(), table["outer"].to_numpy(zero_copy_only=False), table["inner"].to_numpy(zero_copy_only=False)
     sigs = table["sig"].to_pylist()
     sig, unit = np.array(sigs, np.int32), np.array([u or s for u, s in zip(table["unit"].to_pylist(), sigs)], np.int32)
     plain_too = (sig != unit).any()
+    keys = [set(k) for k in table["keys"].to_pylist()]
     sh = [np.frombuffer(x, np.uint32) for x in table["sh"].to_pylist()]
     weights = [np.frombuffer(x, np.uint32) if x else np.ones(len(s), np.uint32) for x, s in zip(table["w"].to_pylist(), sh)]
-    block = table["block"].to_numpy()
-    one = block.min() == block.max() and table["i"][0] == table["j"][0]
-    order = np.arange(len(ids))
-    rows, cols = (order, order) if one else (np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py()))
-    roots = comps.copy()
-    found = []
-    across, across_unit = sig[cols], unit[cols]
-    for r in rows:
+    cols = np.flatnonzero(inner)
+    across, across_unit, roots, found = sig[cols], unit[cols], comps.copy(), []
+    for r in np.flatnonzero(outer):
         near = (across == sig[r]).sum(1) >= LEAST_EQUAL
         if plain_too:
             near |= (across_unit == unit[r]).sum(1) >= LEAST_EQUAL
-        for k in cols[near & (cols > r if one else True) & (roots[cols] != roots[r])]:
-            if roots[k] != roots[r] and similarity(sh[r], weights[r], sh[k], weights[k]) >= SIMILARITY:
-                found.append((ids[r], comps[r], ids[k], comps[k]))
+        for k in cols[near & (roots[cols] != roots[r])]:
+            if roots[k] != roots[r] and min(keys[r] & keys[k]) == key and similarity(sh[r], weights[r], sh[k], weights[k]) >= SIMILARITY:
+                found.append((comps[r], comps[k]))
                 roots[roots == roots[k]] = roots[r]
-    return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("a", "ca", "b", "cb"))})
+    return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("ca", "cb"))})
 
 
-def _blocks(now: DataFrame, large: DataFrame, total: int, sketch: DataFrame, shingle_table: DataFrame) -> DataFrame:
-    """Links (a, ca, b, cb) that join the components in large buckets (key, n, members).
+def _settle(now: DataFrame, open_: DataFrame, total: int, sketch: DataFrame, shingle_table: DataFrame) -> DataFrame:
+    """Links (ca, cb) that join the components in open buckets (key, n, largest, inside, members).
 
-    Every two members meet in the group of their blocks, in Python, so no rows of pairs are made and
-    no task holds a bucket. Of buckets with the same members one is taken.
+    A member outside its bucket's largest component meets every member of the bucket in the group of
+    their blocks, in Python; no rows of pairs are made and no task holds a bucket. Of buckets with
+    the same members the one with the least key is taken.
     """
-    taken = large.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = lookup(now.select("key", "id", "c"), taken, "key", "n", total).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    taken = open_.groupBy("n", "members").agg(F.min("key").alias("key"), F.max("largest").alias("largest"), F.max("inside").alias("inside"))
+    blocks, outs = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int")
+    placed = lookup(now.select("key", "id", "c"), taken.drop("members"), "key", "n", total).select("key", "id", "c", (F.col("c") != F.col("largest")).alias("out"), blocks.alias("blocks"), outs.alias("outs"))
+    hashed = F.xxhash64("id")
+    sides = F.array(F.struct(F.lit(True).alias("outer"), F.col("blocks").alias("times")), F.struct(F.lit(False).alias("outer"), F.col("outs").alias("times")))
+    both = placed.withColumn("side", F.explode(F.filter(sides, lambda x: F.col("out") | ~x["outer"])))
+    met = both.select("key", "id", "c", "side.outer", (~F.col("side.outer")).alias("inner"), F.pmod(hashed, F.when(F.col("side.outer"), F.col("outs")).otherwise(F.col("blocks"))).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.col("side.times") - 1)).alias("other"))
+    met = met.select("key", "id", "c", "outer", "inner", F.when(F.col("outer"), F.col("at")).otherwise(F.col("other")).alias("i"), F.when(F.col("outer"), F.col("other")).otherwise(F.col("at")).alias("j"))
     full = met.join(sketch.join(shingle_table.hint("merge"), "id").hint("merge"), "id")
-    return full.groupBy("key", "i", "j").applyInArrow(_within, "a long, ca long, b long, cb long")
+    return full.groupBy("key", "i", "j").applyInArrow(_within, "ca long, cb long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -244,62 +257,60 @@ def classes(docs: DataFrame) -> DataFrame:
     One row per row of docs.
     """
     spark = docs.sparkSession
-    made = []
+    paths: dict[int, str] = {}
 
     def keep(df):
-        made.append(shared_dir(spark))
-        return written(df, made[-1])
+        path = shared_dir(spark)
+        out = written(df, path)
+        paths[id(out)] = path
+        return out
+
+    def drop(*dfs):
+        discard(spark, *(paths[id(d)] for d in dfs))
 
     signed = keep(signatures(docs))
     total = signed.count()
     groups = keep(signed.groupBy("text_hash").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("sig").alias("sig"), F.min("unit").alias("unit")))
-    reps = groups.where("sig IS NOT NULL").groupBy(F.col("rep").alias("id")).agg(F.min(F.struct("sig", "unit")).alias("s")).select("id", "s.sig", "s.unit")
     bands = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice(c, i * ROWS + 1, ROWS)))
     band = F.when(F.col("unit").isNull(), bands("sig")).otherwise(F.array_union(bands("sig"), bands("unit")))
-    banded = reps.select("id", F.explode(band).alias("key"))
+    reps = groups.where("sig IS NOT NULL").groupBy(F.col("rep").alias("id")).agg(F.min(F.struct("sig", "unit")).alias("s")).select("id", "s.sig", "s.unit").withColumn("keys", band)
+    banded = reps.select("id", F.explode("keys").alias("key"))
     shared = keep(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     buckets = keep(lookup(banded, shared, "key", "n", 2 * total * BANDS).select("key", "id", "n"))
-    # documents that share large buckets are in the middle of their group: good leaders
-    middle = keep(buckets.groupBy("id").agg(F.sum("n").alias("weight")))
-    n_members = buckets.count()
     labels = None
-    if n_members:
-        members = keep(buckets.join(middle.hint("merge"), "id"))
+    if buckets.limit(1).count():
+        # documents that share large buckets are in the middle of their group: good leaders
+        middle = keep(buckets.groupBy("id").agg(F.sum("n").alias("weight")))
+        now = keep(buckets.select("key", "id").join(middle.hint("merge"), "id").withColumn("c", F.col("id")))
         sketch = keep(reps.join(middle.hint("merge"), "id", "left_semi"))
         shingle_table = keep(_shingle_table(docs, middle.select("id")).dropDuplicates(["id"]))
-        now = members.withColumn("c", F.col("id"))
-        quiet = 0
-        for t in range(ROUNDS + 1):
-            # a component's share of a bucket, and the most central member outside the largest share
+        drop(shared, buckets)
+        for t in range(LEADERS + 1):
+            # a component's share of a bucket, and its most central member
             per = now.groupBy("key", "c").agg(F.count("*").alias("m"), F.max(F.struct("weight", F.xxhash64("id"), F.col("id").alias("b"))).alias("top"), F.bit_xor(F.xxhash64("id")).alias("members"))
             ranked = per.groupBy("key").agg(
-                F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("cs"), F.bit_xor("members").alias("members"),
-                F.max(F.struct("top.weight", F.col("top.b").alias("b"), "c")).alias("first"),
-                *([F.max_by(F.struct(F.col("top.b").alias("b"), "c"), F.xxhash64("top.b", F.lit(t))).alias("other")] if t else []),
+                F.sum("m").alias("n"), F.count("*").alias("cs"), F.bit_xor("members").alias("members"), F.max(F.struct("m", "c")).alias("large"),
+                F.max(F.struct("top.weight", "top.b", "c")).alias("first"), F.max_by(F.struct("top.b", "c"), F.struct(F.lit(0) - F.col("m"), "top.weight", "top.b")).alias("other"),
             ).where("cs > 1")
-            leader = F.col("other") if t else F.struct("first.b", "first.c")
-            open_ = keep(ranked.select("key", "n", "members", leader["b"].alias("b"), leader["c"].alias("cb"), ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")))
-            left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-            if not left:
+            leader = F.col("other") if t else F.col("first")
+            open_ = keep(ranked.select("key", "n", "members", F.col("large.c").alias("largest"), F.col("large.m").alias("inside"), leader["b"].alias("b"), leader["c"].alias("cb")))
+            n_open = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            if not n_open:
                 break
-            last = t == ROUNDS or quiet or t > 0 and left <= 2 * n_members + 10_000
-            rest = now.select(F.col("id").alias("a"), F.col("c").alias("ca"), "key")
-            if last:
-                # all pairs of different components that are left in common buckets are compared
-                wanted = rest.join(open_.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
-                other = wanted.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
-                pairs = wanted.join(other, "key").where("ca < cb").select("a", "ca", "b", "cb").distinct()
+            if t:  # closed buckets are left behind
+                left = keep(lookup(now, open_.select("key", "n"), "key", "n", n_open).drop("n"))
+                drop(now)
+                now = left
+            if t == LEADERS:
+                new = keep(_settle(now, open_, n_open, sketch, shingle_table))
             else:
-                pairs = lookup(rest, open_.select("key", "n", "b", "cb"), "key", "n", n_members).where("ca <> cb").select("a", "ca", "b", "cb").distinct()
-            new = keep(_verify(keep(pairs), sketch, shingle_table))
-            large = open_.where(F.col("n") > SMALL)
-            if last and large.limit(1).count():
-                new = new.unionByName(keep(_blocks(now, large, n_members, sketch, shingle_table)))
-            found = new.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-            merged = components(found)
-            linked = merged.limit(1).count()
-            quiet = 0 if linked else quiet + 1
-            if linked:
+                rest = now.select(F.col("id").alias("a"), F.col("c").alias("ca"), "key")
+                pairs = keep(lookup(rest, open_.select("key", "n", "b", "cb"), "key", "n", n_open).where("ca <> cb").select("a", "ca", "b", "cb").distinct())
+                new = keep(_verify(pairs, sketch, shingle_table))
+                drop(pairs)
+            merged = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+            drop(new, open_)
+            if merged.limit(1).count():
                 step = merged.withColumnRenamed("id", "c")
                 if labels is None:
                     labels = merged
@@ -307,9 +318,11 @@ def classes(docs: DataFrame) -> DataFrame:
                     moved = labels.withColumnRenamed("component", "c").join(step, "c", "left").select("id", F.coalesce("component", "c").alias("component"))
                     # an id that had no label has itself as component
                     labels = keep(moved.unionByName(merged.join(labels.select("id"), "id", "left_anti")))
-                now = keep(members.join(labels.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
-            if last:
-                break
+                if t < LEADERS:
+                    relabelled = keep(now.join(step.hint("merge"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component"))
+                    drop(now)
+                    now = relabelled
+        drop(now, middle, sketch, shingle_table)
     best = groups.select("text_hash", "n", "rep")
     if labels is not None:
         best = best.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("text_hash", "n", "rep", F.coalesce("component", "rep").alias("class_id"))
@@ -327,6 +340,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Of equal rows that repeat such an id one stays; rows without an id stay.
     """
-    dropped = classes(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    return kept
+    gone = fresh("gone", docs.columns)
+    dropped = classes(docs).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
