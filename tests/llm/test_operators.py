@@ -229,13 +229,18 @@ def test_pii_plan_is_native(spark):
 # ---------------------------------------------------------------- 4
 
 
+def lm_tokens(t):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    return [w.encode() for w in re.findall("[^\x20\x09-\x0D]+", lower)] + [b""]
+
+
 def test_language_model(spark):
-    texts = [prose(k, 80) for k in range(60)] + EDGES
+    texts = [prose(k, 80) for k in range(60)] + EDGES + noise(60, "aB É\t\x0b\x1c\x85\u3000 ") + ["  lead", "trail \n", "WIDE ÀÉ" * 40_000]
     rows = language_model.score(frame(spark, texts)).collect()
-    counts = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in language_model.tokens((t or "").encode()))
+    counts = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in lm_tokens(t))
     n, v = sum(counts.values()), len(counts)
     for r in rows:
-        w = language_model.tokens((texts[r.doc_id] or "").encode())
+        w = lm_tokens(texts[r.doc_id])
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) and r.train_tokens == n
         assert (r.n_tokens, r.n_known) == (len(w), sum(counts[x] > 0 for x in w))
         assert r.base_score == pytest.approx(sum(np.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
