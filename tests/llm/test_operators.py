@@ -234,6 +234,14 @@ def lm_tokens(t):
     return [w.encode() for w in re.findall("[^\x20\x09-\x0D]+", lower)] + [b""]
 
 
+def test_split_of_a_part():
+    texts = [*noise(300, "aB É\t\x0b\x1c\x85\u3000 ñ", 200), None, ""]
+    part = language_model.pa.array(texts).slice(37, 260)
+    words, at, ends = language_model.split(part)
+    words = words.to_pylist()
+    assert [[words[k] for k in a] for a in np.split(at, ends[:-1])] == [lm_tokens(t) for t in part.to_pylist()]
+
+
 def test_language_model(spark):
     texts = [prose(k, 80) for k in range(60)] + EDGES + noise(60, "aB É\t\x0b\x1c\x85\u3000 ") + ["  lead", "trail \n", "WIDE ÀÉ" * 40_000]
     rows = language_model.score(frame(spark, texts)).collect()
