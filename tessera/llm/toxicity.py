@@ -6,8 +6,9 @@ it over the frame's fixed cost) is compressed with each; the bytes saved by the
 its distance. A document is scored by a logistic function of how many windows reach each distance,
 fitted by cross-fitting, so that 0.7 is a calibrated threshold.
 
-Training takes a bounded sample of labelled rows (``MAX_TOXIC``, ``MAX_ORDINARY``, chosen by a hash
-of their ids); every document is scored whole. Copies would make chance words look telling, so
+Training takes a bounded sample of labelled rows (``MAX_TOXIC``, ``MAX_ORDINARY`` rows and
+``MAX_BYTES`` of their texts, chosen by a hash of their ids), in one task of an executor; every
+document is scored whole. Copies would make chance words look telling, so
 sampled documents are first grouped by min-hashes, and words are counted once a group.
 
 Edge cases: null and empty texts have no windows and get the score of a document without any hit;
@@ -20,19 +21,24 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import arrow_map, in_fold, texts
+from tessera.llm.common import arrow_map, fresh, in_fold, ship, texts
 
 #: Bounds of the labelled sample, in rows.
 MAX_TOXIC, MAX_ORDINARY = 2500, 6000
+#: Bound of their texts, in bytes for each label; a text that would pass it is left out.
+MAX_BYTES = 24 << 20
 #: A word tells if it is in so many groups of toxic copies and its log odds are so high.
 LEAST_GROUPS, LEAST_ODDS = 4, 3.0
 DICTIONARY_BYTES = 1 << 14
@@ -174,9 +180,13 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
-def train(sample: list[tuple[str, int]]) -> Model:
-    """Fit on (text, label) pairs."""
-    split = [[windows(t) for t, y in sample if y == k] for k in (0, 1)]
+def train(sample: Iterable[tuple[str, int]]) -> Model:
+    """Fit on (text, label) pairs; equal words are held once."""
+    held: dict = {}
+    split: list = [[], []]
+    for t, y in sample:
+        split[y].append([held.setdefault(w, w) for w in windows(t)])
+    n = len(split[0]) + len(split[1])
     if not split[0] or not split[1]:
         return Model(constant=float(bool(split[1])))
     groups = [_groups(s) for s in split]
@@ -193,43 +203,59 @@ def train(sample: list[tuple[str, int]]) -> Model:
             xs += [d.features(w) for w in docs]
             ys += [y] * len(docs)
     if not xs:
-        return Model(constant=len(split[1]) / len(sample))
+        return Model(constant=len(split[1]) / n)
     plain, toxic = train_dictionaries(split[1], groups[1], split[0], groups[0])
     return Model(plain, toxic, _logistic(np.array(xs), np.array(ys, float)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fold=None) -> list[tuple[str, int]]:
-    """A bounded sample of labelled documents, picked by hash: (text, label) pairs."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, fold=None) -> DataFrame | None:
+    """A bounded sample of labelled documents, picked by hash: doc_id, text, toxic; None if there are none."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if fold is not None:
         marks = marks.where(~fold)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    spark = docs.sparkSession
     ids = [r for y, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)) for r in marks.where(F.col("toxic") == y).orderBy(*order).limit(most).collect()]
     if not ids:
-        return []
-    picked = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
-    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+        return None
+    picked = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold=None) -> Model:
     """Train on the labelled rows outside fold (a Column over doc_id; default: on all)."""
-    return train(labelled_sample(docs, labels, fold))
+    rows = labelled_sample(docs, labels, fold)
+    if rows is None:
+        return Model()
+    ship(docs.sparkSession)
 
+    def over(batches):
+        left = [MAX_BYTES, MAX_BYTES]
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with all columns and one more, toxic_score double."""
+        def sample():
+            for b in batches:
+                for t, y in zip(b.column("text"), b.column("toxic").to_pylist()):
+                    text = t.as_py()
+                    left[y] -= (size := len(text.encode("utf-8", "surrogatepass")))
+                    if left[y] >= 0:
+                        yield text, y
+                    else:
+                        left[y] += size
+
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sample()))], pa.binary())], names=["model"])
+
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    return pickle.loads(one.mapInArrow(over, "model binary").first()[0])
+
+
+def score(docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame:
+    """docs with all columns and one more, name double; docs has no such column."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    name = "toxic_score"
 
     def over(batch):
         m = held.value
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.score(t) for t in texts(batch)], pa.float64())], names=[*batch.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return arrow_map(docs, over, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
@@ -240,5 +266,5 @@ def held_out():
 
 def reject(docs: DataFrame, labels: DataFrame, fold=None) -> DataFrame:
     """docs, with their columns, without the rows that score THRESHOLD or more."""
-    scored = score(docs, fit(docs, labels, fold))
-    return scored.where(F.col("toxic_score") < THRESHOLD).drop("toxic_score")
+    name = fresh("toxic_score", docs.columns)
+    return score(docs, fit(docs, labels, fold), name).where(F.col(name) < THRESHOLD).drop(name)
