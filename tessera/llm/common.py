@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -16,11 +18,18 @@ from pyspark.sql import functions as F
 #: Rows of text that one Arrow batch may carry to a Python worker; texts can be long, so it is small.
 TEXT_ROWS_PER_BATCH = 500
 
+RECORDS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless they find it on PYTHONPATH anyway."""
+    """Send this package to the executors, unless they find it on PYTHONPATH anyway.
+
+    Arrow batches of Spark's default size are made smaller, since rows hold whole texts.
+    """
+    if spark.conf.get(RECORDS, "10000") == "10000":
+        spark.conf.set(RECORDS, str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[2]
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
@@ -43,11 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests on one
-    machine) a local one is chosen.
+    The folder is the session's spark.checkpoint.dir. Where none is set, one machine (master local)
+    gets a local one; a cluster is an error, as its executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -78,8 +89,18 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str, rows: int = TEXT_ROWS_PER_BATCH) -> DataFrame:
-    """mapInArrow over slices of at most ``rows`` rows; fn(batch) returns one batch or None."""
+def release() -> None:
+    """Give freed memory back to the machine: workers are used again for other stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str, rows: int = TEXT_ROWS_PER_BATCH, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over slices of at most ``rows`` rows; fn(batch) returns one batch or None.
+
+    done() is called when a task ends, to empty what fn keeps in its worker.
+    """
     ship(df.sparkSession)
 
     def over(batches):
@@ -88,6 +109,9 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                 out = fn(b.slice(at, rows))
                 if out is not None:
                     yield out
+        if done:
+            done()
+        release()
 
     return df.mapInArrow(over, schema)
 

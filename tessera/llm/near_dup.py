@@ -74,6 +74,11 @@ _hashes = _Hashes()
 _signed: dict = {}
 
 
+def _forget() -> None:
+    _hashes.clear()
+    _signed.clear()
+
+
 def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes, their counts)."""
     w = words(text)
@@ -157,7 +162,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             unit.append(_signed[h][1])
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(sig, pa.list_(pa.int32())), pa.array(unit, pa.list_(pa.int32()))], names=["id", "text_hash", "sig", "unit"])
 
-    return arrow_map(rows, over, "id long, text_hash string, sig array<int>, unit array<int>")
+    return arrow_map(rows, over, "id long, text_hash string, sig array<int>, unit array<int>", done=_forget)
 
 
 def _shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,7 +176,7 @@ def _shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
         done = [shingles(t) for t in utf8(batch)]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s, _ in done], pa.binary()), pa.array([b"" if len(w) == w.sum() else w.astype(np.uint32).tobytes() for _, w in done], pa.binary())], names=["id", "sh", "w"])
 
-    return arrow_map(rows, over, "id long, sh binary, w binary")
+    return arrow_map(rows, over, "id long, sh binary, w binary", done=_forget)
 
 
 def _verify(pairs: DataFrame, sketch: DataFrame, shingle_table: DataFrame) -> DataFrame:

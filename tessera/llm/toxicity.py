@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import arrow_map, fresh, in_fold, ship, texts
+from tessera.llm.common import arrow_map, fresh, in_fold, release, ship, texts
 
 #: Bounds of the labelled sample, in rows.
 MAX_TOXIC, MAX_ORDINARY = 2500, 6000
@@ -243,9 +243,11 @@ def fit(docs: DataFrame, labels: DataFrame, fold=None) -> Model:
                         left[y] += size
 
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sample()))], pa.binary())], names=["model"])
+        release()
 
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-    return pickle.loads(one.mapInArrow(over, "model binary").first()[0])
+    made = one.mapInArrow(over, "model binary").first()  # none where no labelled row has a document
+    return pickle.loads(made[0]) if made else Model()
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame:
@@ -256,7 +258,10 @@ def score(docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame
         m = held.value
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.score(t) for t in texts(batch)], pa.float64())], names=[*batch.schema.names, name])
 
-    return arrow_map(docs, over, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    def done():
+        held.value.distance = None
+
+    return arrow_map(docs, over, StructType([*docs.schema.fields, StructField(name, DoubleType())]), done=done)
 
 
 def held_out():
