@@ -74,7 +74,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        #: Names of added tokens; in a text each is one id and ends the piece before it.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         lengths = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             lengths[i] = len(token)  # one character stands for one byte
@@ -139,6 +140,8 @@ class Encoder:
         index = np.asarray(coded.indices, np.int64)
         # where a space meets other white space, it may not begin a piece: such texts go whole
         whole = np.asarray(pc.match_substring_regex(column, r" [\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
+        for name in self.added:
+            whole = whole | np.asarray(pc.match_substring(column, name))
         chunk = np.ones(len(index), bool)
         chunk[ends[:-1]] = False
         chunk &= ~np.repeat(whole, np.diff(ends))
@@ -243,7 +246,9 @@ def write(encoded: DataFrame, path: str, width: np.dtype) -> None:
 
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of a repeated or null id may be many: they are dealt by a hash of their ids too
+    deal = F.xxhash64("ids")
+    ordered = encoded.repartitionByRange(n, F.col("doc_id"), deal).sortWithinPartitions("doc_id", deal, "ids")
     schema = "part int, block int, start_in_part long, doc_ids array<long>, lengths array<long>, control binary, data binary"
     ordered.mapInArrow(blocks, schema).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
 
