@@ -14,8 +14,7 @@ matches takes little more than linear time; quantifiers are possessive where the
 that long runs take linear time.
 
 Edge cases: null and empty texts have no findings; repeated rows are judged row by row; extra
-columns are ignored by find() and kept by redact(). An address of more than 1000 labels counts as
-found up to its 1000th.
+columns are ignored by find() and kept by redact(). Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ BASE = 4
 #: Base patterns (fixed values), rewritten to take linear time: a match begins where a run of its
 #: characters does or where the last match ended. Cards are whole chains of 14 to 19 digits.
 PATTERNS = [
-    r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,1000}",
+    r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])",
     r"\+[0-9][ ().0-9-]+[0-9]",
@@ -287,24 +286,29 @@ def candidates(text: Column, kind: int) -> Column:
     return whole if NEEDS[kind] is None else F.when(F.instr(text, NEEDS[kind]) > 0, whole).otherwise(none)
 
 
-def _found(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the columns _base and _all: findings, by start, then kind."""
+def _found(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: base findings and all findings, by start, then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    tag = "found_"
+    while any(c.lower().startswith(tag) for c in docs.columns):
+        tag += "_"
+    of = [f"{tag}{k}" for k in range(len(KINDS))]
+    base, every = f"{tag}base", f"{tag}all"
     with_all = docs
-    for k, name in enumerate(KINDS):
-        with_all = with_all.withColumn(f"_c{k}", candidates(text, k))
+    for k, name in enumerate(of):
+        with_all = with_all.withColumn(name, candidates(text, k))
+
     def fitting(k):
-        return F.filter(F.col(f"_c{k}"), lambda c: _fits(k, c["m"]))
+        return F.filter(F.col(of[k]), lambda c: _fits(k, c["m"]))
 
-    base = F.concat(*map(fitting, range(BASE)))
-    with_all = with_all.withColumn("_base", base)
-    other = F.filter(F.concat(*(F.col(f"_c{k}") for k in range(BASE, len(KINDS)))), lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    with_all = with_all.withColumn(base, F.concat(*map(fitting, range(BASE))))
+    other = F.filter(F.concat(*(F.col(of[k]) for k in range(BASE, len(KINDS)))), lambda c: ~F.exists(F.col(base), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     # features are made once for each candidate, then the trees read them
     def kept(c):
         row = F.struct(*(f.alias(n) for f, n in zip(features(c), NAMES)))
         return F.exists(F.transform(F.array(row), lambda f: model.accepted(f)), lambda ok: ok)
 
-    return with_all.withColumn("_all", F.concat("_base", F.filter(other, kept)))
+    return with_all.withColumn(every, F.concat(F.col(base), F.filter(other, kept))), base, every
 
 
 def _spans(found: Column) -> Column:
@@ -316,20 +320,20 @@ def _spans(found: Column) -> Column:
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     model = model or trained(docs.sparkSession)
-    found = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    found, base, every = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
 
     def count(k):
-        return F.size(F.filter("_base", lambda c: c["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+        return F.size(F.filter(F.col(base), lambda c: c["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
     counts = map(count, range(BASE))
-    return found.select("doc_id", *counts, F.sha2(_spans(F.col("_base")), 256).alias("base_sha256"), _spans(F.col("_all")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_spans(F.col(base)), 256).alias("base_sha256"), _spans(F.col(every)).alias("spans"))
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with each finding in text replaced by its kind in brackets; null texts stay null."""
     model = model or trained(docs.sparkSession)
-    found = _found(docs, model)
-    order = F.array_sort(F.transform("_all", lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"))))
+    found, _, every = _found(docs, model)
+    order = F.array_sort(F.transform(F.col(every), lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"))))
     names = F.array(*map(F.lit, KINDS))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     # overlapping findings are masked from the first one's start; a later one masks what is left of it
@@ -341,4 +345,4 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
         ),
     )
     new = F.concat(F.array_join(done["out"], ""), F.substring("text", (done["at"] + 1).cast("int"), F.lit(2147483647)))
-    return found.withColumn("text", F.when(F.size("_all") > 0, new).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size(F.col(every)) > 0, new).otherwise(F.col("text"))).select(*docs.columns)
