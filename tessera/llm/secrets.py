@@ -5,7 +5,7 @@ surroundings (``BEFORE`` and ``AFTER`` characters) by a small convolutional netw
 character vectors, one layer of filters, maxima over the candidate and over its context, a logistic
 output. It is trained on labelled findings; scores are calibrated on held-out ones and the
 threshold is the highest that keeps the recall asked for. Base findings stay whatever it says;
-accepted candidates that overlap none of them are added as kind "model".
+accepted candidates that reach beyond them are added as kind "model".
 
 Edge cases: null and empty texts have no findings; long candidates are scored in windows over
 their whole length; repeated rows are scanned row by row; extra columns are kept by redact() and
@@ -14,7 +14,9 @@ ignored by scan(); offsets count code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -152,7 +154,7 @@ class Network:
             b -= 0.05 * (q - y).mean()
         self.scale, self.shift = a, b
         held = np.sort(1 / (1 + np.exp(-np.clip(self.logit(x[y == 1]), -30, 30))))
-        self.threshold = max(0.5, float(held[int((1 - recall) * len(held))])) if len(held) else 0.5
+        self.threshold = float(held[int((1 - recall) * len(held))]) if len(held) else 0.5
 
     def accepts(self, rows: list[np.ndarray]) -> np.ndarray:
         if not rows:
@@ -213,22 +215,31 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, recall: float
 
 
 def scan_batch(batch: list[str], net: Network) -> list[list[Span]]:
-    """All spans of each text, by start, then kind."""
+    """All spans of each text, by start, then kind.
+
+    The network scores every candidate; one that lies within a base span and is accepted adds no
+    span of its own, one that reaches beyond does.
+    """
     spans, rows, owner = [], [], []
     for i, t in enumerate(batch):
-        base = base_spans(t)
-        spans.append(base)
+        spans.append(base_spans(t))
         for s, e in candidates(t):
-            if not any(s < b[2] and b[0] < e for b in base):
-                for row in windows(t, s, e):
-                    rows.append(row)
-                    owner.append((i, s, e))
+            for row in windows(t, s, e):
+                rows.append(row)
+                owner.append((i, s, e))
     best: dict = {}
     for o, p in zip(owner, net.accepts(rows)):
         best[o] = max(p, best.get(o, 0.0))
+    reach: dict = {}  # of each text: starts of its base spans, and how far those so far reach
     for (i, s, e), p in best.items():
         if p >= net.threshold:
-            spans[i].append((s, 3, e))
+            if i not in reach:
+                base = [b for b in spans[i] if b[1] < 3]
+                reach[i] = [b[0] for b in base], list(itertools.accumulate((b[2] for b in base), max))
+            starts, ends = reach[i]
+            k = bisect.bisect_right(starts, s)
+            if not k or ends[k - 1] < e:
+                spans[i].append((s, 3, e))
     return [sorted(s) for s in spans]
 
 
