@@ -138,13 +138,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     groups = written(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("label").alias("label"), F.min("embedding").alias("embedding")))
     reps = groups.select(F.col("rep").alias("vec_id"), "label", "embedding", F.col("copies").alias("n"))
     n_reps = reps.count()
-    k = -(-n_reps // PER_CELL)
     size = groups.agg(F.mode(F.size("embedding"))).first()[0] or 1
-    if k > 1:
-        picked = reps.where(F.size("embedding") == size).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
-        cells = centroids(unit([r.embedding for r in picked]), k)
-    else:
-        cells = np.zeros((1, size))
+    picked = reps.where(F.size("embedding") == size).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+    cells = centroids(unit([r.embedding for r in picked]), 1 + -(-n_reps // PER_CELL)) if picked else np.zeros((1, size))
     found = written(links(reps, cells, total))
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("linked"))
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
