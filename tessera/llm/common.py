@@ -96,15 +96,29 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, those of fewer than ``rows`` rows joined to about so many."""
+    held: list = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held = []
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str, rows: int = TEXT_ROWS_PER_BATCH, done: Callable[[], None] | None = None) -> DataFrame:
-    """mapInArrow over slices of at most ``rows`` rows; fn(batch) returns one batch or None.
+    """mapInArrow over slices of ``rows`` rows at most; fn(batch) returns one batch or None.
+
+    Batches of fewer rows are joined first.
 
     done() is called when a task ends, to empty what fn keeps in its worker.
     """
     ship(df.sparkSession)
 
     def over(batches):
-        for b in batches:
+        for b in gathered(batches, rows):
             for at in range(0, b.num_rows, rows):
                 out = fn(b.slice(at, rows))
                 if out is not None:
