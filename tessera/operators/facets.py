@@ -57,7 +57,7 @@ class State:
         for f in self.facets:
             key = f"{f.kind}:{f.prop}"
             out += [(key, v) for v in f.values]
-            out += [(key + end, f"{bound:g}") for end, bound in (("_from", f.low), ("_to", f.high)) if bound is not None]
+            out += [(key + end, str(int(bound)) if float(bound).is_integer() else repr(float(bound))) for end, bound in (("_from", f.low), ("_to", f.high)) if bound is not None]
             if f.value:
                 out.append((key, f.value))
         return urlencode(out)
@@ -76,7 +76,7 @@ class State:
                 kind, prop = k.split(":", 1)
                 name = "low" if prop.endswith("_from") else "high" if prop.endswith("_to") else None
                 if kind in ("year", "integer") and name:
-                    prop = prop.removesuffix("_from").removesuffix("_to")
+                    prop = prop.removesuffix("_from" if name == "low" else "_to")
                     found[prop] = replace(found.get(prop, Facet(prop, kind)), **{name: float(v)})
                 elif kind == "enum":
                     old = found.get(prop, Facet(prop, kind))

@@ -6,19 +6,23 @@ last round found; same-as links become component representatives instead of copi
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import terms as T
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder; one machine may do without a setting."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
@@ -27,20 +31,20 @@ def closure(edges: DataFrame, reflexive: DataFrame | None = None) -> DataFrame:
 
     reflexive: nodes (id) that also reach themselves in no step. Cycles end the loop as any other.
     """
-    edges = _cut(edges.select("a", "b").distinct())
+    edges = cut(edges.select("a", "b").distinct())
     total = edges.withColumn("depth", F.lit(1))
     if reflexive is not None:
         own = reflexive.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
         total = own.withColumn("depth", F.lit(0)).unionByName(total.join(own, ["a", "b"], "left_anti"))
-    total = _cut(total)
+    total = cut(total)
     front, depth = total.where("depth = 1"), 1
     while True:
         depth += 1
         step = front.select("a", F.col("b").alias("m")).join(edges.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
-        front = _cut(step.join(total, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(step.join(total, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return total
-        total = _cut(total.unionByName(front))
+        total = cut(total.unionByName(front))
 
 
 def edges_of(triples: DataFrame, predicate: str) -> DataFrame:
@@ -59,30 +63,81 @@ def _typed(s, o) -> list:
     return [s.alias("s"), F.lit(T.TYPE).alias("p"), o.alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")]
 
 
+#: Most rows of a schema's table that are broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def implied_properties(schema: DataFrame) -> list[tuple[str, list[tuple[str, bool]]]]:
+    """For each property the others that its triples imply, and whether turned round.
+
+    The closure of sub-properties and inverses together, over the schema's edges.
+    """
+    next_: dict = {}
+    for r in edges_of(schema, T.SUB_PROPERTY).distinct().collect():
+        for turned in (False, True):
+            next_.setdefault((r.a, turned), set()).add((r.b, turned))
+    for r in edges_of(schema, T.INVERSE).distinct().collect():
+        for turned in (False, True):
+            next_.setdefault((r.a, turned), set()).add((r.b, not turned))
+            next_.setdefault((r.b, turned), set()).add((r.a, not turned))
+    out = []
+    for p in sorted({p for p, _ in next_}):
+        seen, front = {(p, False)}, [(p, False)]
+        while front:
+            front = [y for x in front for y in next_.get(x, ()) if y not in seen and not seen.add(y)]
+        out.append((p, sorted(seen - {(p, False)})))
+    return out
+
+
 def infer(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> DataFrame:
-    """data and what follows: super-properties, inverses, transitive properties, domains and ranges
-    (unions of classes as well), super-classes. Triples with literal subjects never arise."""
-    sub_p = closure(edges_of(schema, T.SUB_PROPERTY)).select(F.col("a").alias("p"), F.col("b").alias("q"))
-    sub_c = closure(edges_of(schema, T.SUB_CLASS)).select(F.col("a").alias("o"), F.col("b").alias("super"))
-    up = data.join(F.broadcast(sub_p), "p").withColumn("p", F.col("q")).select(*T.TRIPLE)
-    out = data.select(*T.TRIPLE).unionByName(up).distinct()
-    inverse = edges_of(schema, T.INVERSE)
-    both = inverse.union(inverse.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    turned = out.where("o_kind <> 'literal'").join(F.broadcast(both.select(F.col("a").alias("p"), F.col("b").alias("q"))), "p")
-    out = out.unionByName(turned.select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
+    """data and all that follows: sub-properties, inverses, transitive properties, domains and ranges,
+    super-classes, members of a named union of classes. Triples with literal subjects never arise.
+
+    The schema is closed first; then each triple is expanded in place, so data is read once (and once
+    more for each round of a transitive property).
+    """
+    spark = data.sparkSession
+    triple = lambda s, p, o, kind, dt, lang: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), dt.alias("o_dt"), lang.alias("o_lang"))
+    uri = (F.lit("uri"), F.lit(""), F.lit(""))
+    own = triple(*map(F.col, T.TRIPLE))
+    none = F.array().cast("array<string>")
+    implied = _small(spark.createDataFrame(implied_properties(schema), "p string, more array<struct<q:string,turned:boolean>>"))
+
+    def spread(x):
+        more = F.filter(F.coalesce("more", F.array().cast("array<struct<q:string,turned:boolean>>")), lambda m: ~m["turned"] | (F.col("o_kind") != "literal"))
+        made = F.transform(more, lambda m: F.when(m["turned"], triple(F.col("o"), m["q"], F.col("s"), *uri)).otherwise(triple(F.col("s"), m["q"], *map(F.col, T.TRIPLE[2:]))))
+        return x.select(*T.TRIPLE).join(implied, "p", "left").select(F.explode(F.concat(F.array(own), made)).alias("t")).select("t.*")
+
+    out = spread(data)
     transitive = [r.s for r in schema.where((F.col("p") == T.TYPE) & (F.col("o") == T.TRANSITIVE)).select("s").distinct().collect()]
-    for p in transitive:
-        far = closure(edges_of(out, p))
-        out = out.unionByName(far.select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
-    named = lambda p: schema.where((F.col("p") == p) & (F.col("o_kind") == "uri")).select(F.col("s").alias("p"), F.col("o").alias("class"))
-    dom = out.join(F.broadcast(named(T.DOMAIN)), "p").select(*_typed(F.col("s"), F.col("class")))
-    rng = out.where("o_kind <> 'literal'").join(F.broadcast(named(T.RANGE)), "p").select(*_typed(F.col("o"), F.col("class")))
-    out = out.unionByName(dom).unionByName(rng).distinct()
-    supers = out.where(F.col("p") == T.TYPE).join(F.broadcast(sub_c), "o").select(*_typed(F.col("s"), F.col("super")))
-    out = out.unionByName(supers)
-    if include_thing:
-        out = out.unionByName(out.select(*_typed(F.col("s"), F.lit(T.THING))))
-    return out.distinct()
+    while transitive:
+        out = cut(out.distinct())
+        far = [closure(edges_of(out, p)).select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")) for p in transitive]
+        new = cut(functools.reduce(DataFrame.unionByName, far).join(out, ["s", "p", "o"], "left_anti").select(*T.TRIPLE))
+        if new.isEmpty():
+            break
+        out = out.unionByName(spread(new))
+    unions = edges_of(schema, T.OWL + "unionOf").withColumnRenamed("b", "head").join(list_members(schema), "head").select(F.col("member").alias("a"), F.col("a").alias("b"))
+    named = edges_of(schema, T.SUB_CLASS).union(unions)
+    sub_c = cut(closure(named).select("a", "b"))
+    above = _small(sub_c.groupBy(F.col("a").alias("k")).agg(F.collect_set("b").alias("supers")))
+    uris = lambda p: schema.where((F.col("p") == p) & (F.col("o_kind") == "uri")).select(F.col("s").alias("p"), F.col("o").alias("class"))
+
+    def of(p, name):
+        direct = uris(p)
+        full = direct.union(direct.join(sub_c.withColumnRenamed("a", "class"), "class").select("p", F.col("b").alias("class")))
+        return full.groupBy("p").agg(F.collect_set("class").alias(name))
+
+    classes = _small(of(T.DOMAIN, "dom").join(of(T.RANGE, "rng"), "p", "full"))
+    typed = lambda x, cs: F.transform(F.coalesce(cs, none), lambda c: triple(x, F.lit(T.TYPE), c, *uri))
+    met = out.join(classes, "p", "left").withColumn("k", F.when(F.col("p") == T.TYPE, F.col("o"))).join(above, "k", "left")
+    ranges = F.when(F.col("o_kind") != "literal", F.col("rng")).otherwise(none)
+    things = F.array(F.lit(T.THING)) if include_thing else none
+    return met.select(F.explode(F.concat(F.array(own), typed(F.col("s"), F.col("dom")), typed(F.col("o"), ranges), typed(F.col("s"), F.col("supers")), typed(F.col("s"), things))).alias("t")).select("t.*").distinct()
 
 
 def same_as_components(triples: DataFrame) -> DataFrame:
@@ -93,13 +148,13 @@ def same_as_components(triples: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, canonical) by minimum labels with jumps, checkpointed each round."""
-    both = _cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("canonical")))
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("canonical")))
     while True:
         best = both.join(labels.select(F.col("id").alias("b"), "canonical"), "b").groupBy("a").agg(F.min("canonical").alias("c"))
         moved = labels.join(best.withColumnRenamed("a", "id"), "id").select("id", F.col("canonical").alias("was"), F.least("canonical", "c").alias("canonical"))
         jump = labels.select(F.col("id").alias("canonical"), F.col("canonical").alias("far"))
-        new = _cut(moved.join(jump, "canonical").select("id", "was", F.least("canonical", "far").alias("canonical")))
+        new = cut(moved.join(jump, "canonical").select("id", "was", F.least("canonical", "far").alias("canonical")))
         done = new.where("was <> canonical").isEmpty()
         labels = new.select("id", "canonical")
         if done:
@@ -115,8 +170,25 @@ def canonicalise(triples: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def violations(closed: DataFrame, schema: DataFrame) -> DataFrame:
-    """(rule, s, detail): members of disjoint classes, subjects both same as and different from another."""
+    """(rule, s, detail) of broken axioms.
+
+    disjoint: members of two classes that disjointWith or AllDisjointClasses sets apart; different:
+    subjects that are the same as one they differ from, by differentFrom or AllDifferent.
+    """
+    lists = list_members(schema)
+
+    def apart(kind: str, *links: str) -> DataFrame:
+        """Pairs of the members of each list of an axiom of a kind, lesser name first."""
+        axioms = edges_of(schema, T.TYPE).where(F.col("b") == T.OWL + kind).select(F.col("a").alias("axiom"))
+        heads = functools.reduce(DataFrame.union, (edges_of(schema, T.OWL + x) for x in links)).select(F.col("a").alias("axiom"), F.col("b").alias("head"))
+        members = axioms.join(heads, "axiom").join(lists, "head").select("axiom", "member")
+        return members.withColumnRenamed("member", "class").join(members.withColumnRenamed("member", "other"), "axiom").where("class < other").select("class", "other")
+
     typed = closed.where(F.col("p") == T.TYPE).select("s", F.col("o").alias("class")).distinct()
-    pairs = schema.where(F.col("p") == T.DISJOINT).select(F.col("s").alias("class"), F.col("o").alias("other"))
-    both = typed.join(F.broadcast(pairs), "class").join(typed.withColumnRenamed("class", "other"), ["s", "other"])
-    return both.select(F.lit("disjoint").alias("rule"), "s", F.concat_ws(" ", "class", "other").alias("detail")).distinct()
+    pairs = edges_of(schema, T.DISJOINT).toDF("class", "other").union(apart("AllDisjointClasses", "members")).distinct()
+    both = typed.join(_small(pairs), "class").join(typed.withColumnRenamed("class", "other"), ["s", "other"])
+    found = both.select(F.lit("disjoint").alias("rule"), "s", F.concat_ws(" ", "class", "other").alias("detail"))
+    differ = edges_of(schema, T.OWL + "differentFrom").union(edges_of(closed, T.OWL + "differentFrom")).toDF("class", "other").union(apart("AllDifferent", "members", "distinctMembers"))
+    differ = differ.select(F.least("class", "other").alias("s"), F.greatest("class", "other").alias("other")).distinct()
+    same = edges_of(closed, T.SAME_AS).select(F.least("a", "b").alias("s"), F.greatest("a", "b").alias("other")).distinct()
+    return found.union(same.join(differ, ["s", "other"]).select(F.lit("different").alias("rule"), "s", F.col("other").alias("detail"))).distinct()

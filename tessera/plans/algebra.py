@@ -6,12 +6,14 @@ evaluated bottom-up; Catalyst sees one declarative plan and picks the joins.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.reason import closure, edges_of
+from tessera.operators.reason import closure, cut, edges_of
 
 
 @dataclass(frozen=True)
@@ -157,7 +159,7 @@ class Engine:
             (a, ma), (b, mb) = self.run(node[1], data), self.run(node[2], data)
             if node[3] is None:
                 return compatible_join(a, b, "left", ma | mb), ma | mb | (set(b.columns) - set(a.columns))
-            key = a.withColumn("_row", F.monotonically_increasing_id())
+            key = cut(a.withColumn("_row", F.monotonically_increasing_id()))  # numbered once, for both branches
             hit = compatible_join(key, b, maybe=ma | mb).where(self.truth(node[3]))
             missing = key.join(hit.select("_row").distinct(), "_row", "left_anti")
             return hit.unionByName(missing, allowMissingColumns=True).drop("_row"), ma | mb | (set(b.columns) - set(a.columns))
@@ -170,17 +172,24 @@ class Engine:
             if test[0] in ("exists", "not exists"):
                 b, mb = self.run(test[1], data)
                 return compatible_join(a, b, "left_semi" if test[0] == "exists" else "left_anti", ma | mb), ma
-            if test[0] == "or" and any(x[0] == "not exists" for x in test[1:]):
-                key = a.withColumn("_row", F.monotonically_increasing_id())
-                plain = [x for x in test[1:] if x[0] != "not exists"]
-                for x in (x for x in test[1:] if x[0] == "not exists"):
-                    b, mb = self.run(x[1], data)
-                    seen = compatible_join(key, b, "left_semi", ma | mb).select("_row", F.lit(True).alias("_seen"))
-                    ok = F.col("_seen").isNull()
-                    for y in plain:
-                        ok = ok | F.coalesce(self.truth(y), F.lit(False))
-                    key = key.join(seen, "_row", "left").where(ok).drop("_seen")
-                return key.drop("_row"), ma
+            if mentions_exists(test):
+                keyed = cut(a.withColumn("_row", F.monotonically_increasing_id()))  # numbered once, for all branches
+                flags: list[str] = []
+
+                def lift(x):
+                    nonlocal flagged
+                    if x[0] in ("exists", "not exists"):
+                        b, mb = self.run(x[1], data)
+                        name = f"_seen{len(flags)}"
+                        flags.append(name)
+                        seen = compatible_join(keyed, b, "left_semi", ma | mb).select("_row", F.lit(True).alias(name))
+                        flagged = flagged.join(seen, "_row", "left")
+                        return ("flag", name) if x[0] == "exists" else ("not", ("flag", name))
+                    return (x[0], *(lift(y) if isinstance(y, tuple) else y for y in x[1:])) if x[0] in ("and", "or", "not") else x
+
+                flagged = keyed
+                lifted = lift(test)
+                return flagged.where(self.truth(lifted)).drop("_row", *flags), ma
             return a.where(self.truth(test)), ma
         if kind == "values":
             rows = [tuple((t.value, t.kind, t.dt, t.lang) for t in row) for row in node[2]]
@@ -198,17 +207,21 @@ class Engine:
         """A filter's value: errors and unbound operands are null, which drops the row."""
         k = e[0]
         if k == "and":
-            return self.truth(e[1]) & self.truth(e[2])
+            return functools.reduce(operator.and_, map(self.truth, e[1:]))
         if k == "or":
-            return self.truth(e[1]) | self.truth(e[2])
+            return functools.reduce(operator.or_, map(self.truth, e[1:]))
+        if k == "flag":
+            return F.coalesce(F.col(e[1]), F.lit(False))
         if k == "not":
             return ~self.truth(e[1])
         if k in ("=", "!="):
             same = self.equal(e[1], e[2])
             return same if k == "=" else ~same
         if k in ("<", ">", "<=", ">="):
-            a, b = self.number(e[1]), self.number(e[2])
-            return {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[k]
+            # numbers by value, other texts by their code points
+            numbers, texts = (self.number(e[1]), self.number(e[2])), (self.text(e[1]), self.text(e[2]))
+            one = lambda a, b: {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[k]
+            return F.when(numbers[0].isNotNull() & numbers[1].isNotNull(), one(*numbers)).when(numbers[0].isNull() & numbers[1].isNull(), one(*texts))
         if k == "in":
             test = F.lit(False)
             for x in e[2]:
@@ -228,6 +241,11 @@ class Engine:
                 return F.contains(self.text(args[0]), self.text(args[1]))
             if name == "STRSTARTS":
                 return F.startswith(self.text(args[0]), self.text(args[1]))
+            if name == "STRENDS":
+                return F.endswith(self.text(args[0]), self.text(args[1]))
+            if name == "REGEX":
+                flags = args[2][1].value if len(args) > 2 else ""
+                return F.rlike(self.text(args[0]), F.concat(F.lit(f"(?{flags})" if flags else ""), self.text(args[1])))
         return self.text(e) == "true"
 
     def term(self, e: tuple) -> Column:
@@ -252,6 +270,12 @@ class Engine:
                 return self.term(args[0])["lang"]
             if name == "DATATYPE":
                 return self.term(args[0])["dt"]
+            if name in TESTS:
+                return self.truth(e).cast("string")
+            if name != "COALESCE":
+                raise ValueError(f"unsupported function {name}")
+        elif e[0] not in ("var", "term"):
+            return self.truth(e).cast("string")
         return self.term(e)["value"]
 
     def number(self, e: tuple) -> Column:
@@ -265,7 +289,18 @@ class Engine:
             if x[0] == "term":
                 return same_term(self.term(y), x[1])
         x, y = self.term(a), self.term(b)
-        return (x["value"] == y["value"]) & (x["kind"] == y["kind"]) & (x["lang"] == y["lang"])
+        numeric = lambda t: F.substring_index(t["dt"], "#", -1).isin(*XSD_NUMERIC)
+        same = (x["value"] == y["value"]) & (x["kind"] == y["kind"]) & (x["lang"] == y["lang"])
+        return F.when(numeric(x) & numeric(y), x["value"].try_cast("double") == y["value"].try_cast("double")).otherwise(same)
+
+
+#: Functions whose value is true or false.
+TESTS = {"ISIRI", "ISURI", "ISBLANK", "ISLITERAL", "BOUND", "CONTAINS", "STRSTARTS", "STRENDS", "REGEX"}
+
+
+def mentions_exists(e) -> bool:
+    """Is there an EXISTS in a filter's boolean expression?"""
+    return isinstance(e, tuple) and bool(e) and (e[0] in ("exists", "not exists") or e[0] in ("and", "or", "not") and any(map(mentions_exists, e[1:])))
 
 
 def same_term(c: Column, t: Term) -> Column:
