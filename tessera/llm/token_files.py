@@ -36,6 +36,9 @@ BATCH = 4000
 #: Marks that may end a chunk; after a letter they are a piece of their own (no apostrophe here).
 TAIL = ".,;:!?%*#&$|"
 
+#: White space as the pre-tokenisation sees it.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 #: 4-bit groups: the number of data bytes of four ids, and their sum, by control byte.
 WIDTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -63,11 +66,29 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def spans(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of pool that begin at ``begin`` and hold ``size`` values, one after another."""
+    total = int(size.sum())
+    small = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    return pool[np.repeat((begin - (np.cumsum(size) - size)).astype(small), size) + np.arange(total, dtype=small)]
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The strings of a column without spaces in them, split from one joined string."""
+    if not len(column):
+        return []
+    spaced = pc.binary_join_element_wise(column, *pa.array(["", " "], column.type))  # each string and a space, in one buffer
+    _, offsets, data = spaced.buffers()
+    first, last = np.frombuffer(offsets, np.int64)[[spaced.offset, spaced.offset + len(spaced)]]
+    return str(data[int(first) : int(last)], "utf-8").split(" ")[:-1]
+
+
 class Encoder:
     """The tokenizers library over chunks that no token crosses, each distinct one encoded once.
 
-    A space before a non-space always begins a piece of byte-level pre-tokenisation, so the ids of a
-    text are those of its chunks. Chunks not seen before are encoded in one call, joined.
+    A space before a non-space, and a line break between non-spaces, always begins a piece of
+    byte-level pre-tokenisation, so the ids of a text are those of its chunks. Chunks not seen before
+    are encoded in one call, joined.
     """
 
     def __init__(self, path: str):
@@ -85,11 +106,9 @@ class Encoder:
         self.tails: dict[str, bytes] = {}
         self.width = np.dtype(np.uint16 if len(lengths) <= 1 << 16 else np.uint32)
 
-    def fresh(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks that begin at piece boundaries, from one call for all."""
-        joined = "".join(chunks)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-        sizes = np.fromiter(map(len, chunks) if joined.isascii() else (len(c.encode()) for c in chunks), np.int64, len(chunks))
+    def fresh(self, chunks: list[str], sizes: np.ndarray) -> list[bytes]:
+        """The ids of chunks that begin at piece boundaries and take ``sizes`` bytes, from one call for all."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
         cut = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), "left") + 1
         packed = ids.tobytes()
         return [packed[a:b] for a, b in itertools.pairwise([0, *(4 * cut).tolist()])]
@@ -100,46 +119,59 @@ class Encoder:
             self.tails[marks] = np.array(self.tokenizer.encode_batch_fast([marks], add_special_tokens=False)[0].ids, np.uint32).tobytes()
         return self.tails[marks]
 
-    def look_up(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks, each with a space before it."""
+    def look_up(self, words: pa.Array) -> list[bytes]:
+        """The ids of distinct words, each with a space before it unless it begins with a line break."""
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        new, tailed = set(), []
-        for c in chunks:
-            if c in young:
-                continue
-            if (g := old.get(c)) is not None:
-                young[c] = g
-                continue
-            word = c.rstrip(TAIL)
-            if len(word) < len(c) <= len(word) + 4 and word[-1:].isalpha():
-                tailed.append((c, word))
-                if word in young:
-                    continue
-                if (g := old.get(word)) is not None:
-                    young[word] = g
-                    continue
-                c = word
-            new.add(c)
+        names = strings(words)
+        got = list(map(young.get, names))
+        new = []
+        for k in [k for k, g in enumerate(got) if g is None]:
+            if (g := old.get(names[k])) is None:
+                new.append(k)
+            else:
+                young[names[k]] = got[k] = g
         if new:
-            order = list(new)
-            young.update(zip(order, self.fresh([" " + c for c in order])))
-        for c, word in tailed:
-            young[c] = young[word] + self.tail(c[len(word) :])
-        return list(map(young.__getitem__, chunks))
+            broken = np.asarray(pc.starts_with(words, "\n"))
+            sizes = np.asarray(pc.binary_length(words))[new] + ~broken[new]
+            for k, g in zip(new, self.fresh([names[k] if broken[k] else " " + names[k] for k in new], sizes)):
+                young[names[k]] = got[k] = g
+        return got
+
+    def pooled(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct chunks, the number of ids of each): their words, then the marks that end them."""
+        word = pc.utf8_rtrim(chunks, TAIL)
+        marks = np.asarray(pc.subtract(pc.binary_length(chunks), pc.binary_length(word)))
+        marks = np.where(np.asarray(pc.match_substring_regex(word, r"\pL$")) & (marks <= 4), marks, 0)
+        words = pc.if_else(pa.array(marks > 0), word, chunks).dictionary_encode()
+        parts = self.look_up(words.dictionary)
+        part = np.empty((len(chunks), 2), np.int64)
+        part[:, 0] = np.asarray(words.indices)
+        # the first part after the words is the empty tail
+        part[:, 1] = len(parts)
+        parts.append(b"")
+        for n in range(1, 5):
+            at = np.flatnonzero(marks == n)
+            tails = pc.utf8_slice_codeunits(chunks.take(pa.array(at)), -n).dictionary_encode()
+            part[at, 1] = len(parts) + np.asarray(tails.indices)
+            parts.extend(map(self.tail, tails.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids = spans(np.frombuffer(b"".join(parts), np.uint32), (np.cumsum(sizes) - sizes)[part.ravel()], sizes[part.ravel()])
+        return ids, sizes[part].sum(1)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a column, the number of ids of each)."""
         column = pc.fill_null(column, "").cast(pa.large_string())
         n = len(column)
-        lists = pc.split_pattern(column, " ")
+        # a chunk begins at each space and at each line break; the latter keeps its break
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         flat, ends = lists.flatten(), np.asarray(lists.offsets, np.int64)
         ends = ends - ends[0]
         coded = flat.dictionary_encode()
         index = np.asarray(coded.indices, np.int64)
-        # where a space meets other white space, it may not begin a piece: such texts go whole
-        whole = np.asarray(pc.match_substring_regex(column, r" [\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
+        # where a space or a line break meets other white space, it may not begin a piece: such texts go whole
+        whole = np.asarray(pc.match_substring_regex(column, f"[ \\n]{WHITE}|{WHITE}\\n"))
         for name in self.added:
             whole = whole | np.asarray(pc.match_substring(column, name))
         chunk = np.ones(len(index), bool)
@@ -150,11 +182,9 @@ class Encoder:
             head[k] = column[k].as_py()
         wanted = np.zeros(len(coded.dictionary), bool)
         wanted[index[chunk]] = True
-        got = self.look_up(coded.dictionary.filter(pa.array(wanted)).to_pylist())
         sizes = np.zeros(len(wanted), np.int64)
-        sizes[wanted] = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        ids, sizes[wanted] = self.pooled(coded.dictionary.filter(pa.array(wanted)))
         first = np.cumsum(sizes) - sizes
-        ids = np.frombuffer(b"".join(got), np.uint32)
         heads = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(head, add_special_tokens=False)]
         # heads follow the chunks' ids in one pool, so that all is gathered in one step
         pool = np.concatenate([ids, *heads])
@@ -162,7 +192,7 @@ class Encoder:
         begin = first[index]
         head_sizes = np.array([len(h) for h in heads], np.int64)
         size[ends[:-1]], begin[ends[:-1]] = head_sizes, len(ids) + np.cumsum(head_sizes) - head_sizes
-        out = pool[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        out = spans(pool, begin, size)
         return out, np.add.reduceat(size, ends[:-1]) if n else np.zeros(0, np.int64)
 
 
