@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from urllib.parse import parse_qsl, urlencode
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import terms as T
-from tessera.operators.reason import closure, edges_of, list_members
+from tessera.operators.reason import closure, cut, edges_of, list_members
 
 PAGE, CAP, MOST_PAGES = 50, 1000, 20
 
@@ -239,3 +240,33 @@ def kind_of(is_object: bool, range_: str | None, is_vocabulary: bool) -> str | N
         return "enum" if is_vocabulary else None
     local = (range_ or "").rsplit("#", 1)[-1]
     return {"gYear": "year", "boolean": "boolean", "integer": "integer", "decimal": "integer", "double": "integer", "string": "text"}.get(local)
+
+
+def vocabularies(schema: DataFrame, ranges: DataFrame) -> DataFrame:
+    """range, is_vocabulary: does a class have a named individual?"""
+    typed = schema.where(F.col("p") == T.TYPE).select("s", "o")
+    members = typed.join(typed.where(F.col("o") == T.NAMED_INDIVIDUAL).select("s"), "s", "left_semi").select(F.col("o").alias("range"), F.lit(True).alias("found")).distinct()
+    return ranges.select("range").distinct().join(members, "range", "left").select("range", F.coalesce("found", F.lit(False)).alias("is_vocabulary"))
+
+
+def search_values(values: DataFrame, text: str, most: int = 10) -> DataFrame:
+    """The values whose label contains a text in any case; a list of ``most`` values or fewer stays whole."""
+    if not text or values.limit(most + 1).count() <= most:
+        return values
+    return values.where(F.contains(F.lower("label"), F.lower(F.lit(text))))
+
+
+def by_name(rows: DataFrame, column: str = "label", *then: str) -> DataFrame:
+    """Rows in the order of a dictionary, in which case and accents come after letters."""
+    return rows.orderBy(F.collate(F.col(column), "UNICODE"), *then)
+
+
+def counts_each(triples: DataFrame, state: State, props: list[str], label_props: list[str], works: DataFrame | None = None) -> dict[str, DataFrame]:
+    """counts() by property, each computed by itself: one that fails is empty, and the others keep theirs."""
+    out = {}
+    for prop in props:
+        try:
+            out[prop] = cut(counts(triples, state, [prop], label_props, works))
+        except PySparkException:
+            out[prop] = triples.sparkSession.createDataFrame([], "prop string, value string, n long")
+    return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,3 +91,42 @@ def count_requests(lines: DataFrame, column: str = "value") -> DataFrame:
     """method, n: requests in an access log."""
     method = F.regexp_extract(column, r"\[\d+\]\s+(GET|POST) http", 1)
     return lines.select(method.alias("method")).where("method <> ''").groupBy("method").agg(F.count("*").alias("n"))
+
+
+def kept(rows: DataFrame, column: str = "keep") -> DataFrame:
+    """Rows marked yes, whatever the case and blanks."""
+    return rows.where(F.lower(F.trim(F.col(column))) == "yes")
+
+
+def curated(rows: DataFrame, key: str, ids: list[str], confidence: str = "high") -> DataFrame:
+    """The rows of chosen ids that carry a confidence."""
+    return rows.where((F.col("confidence") == confidence) & F.col(key).isin(ids))
+
+
+def missing_files(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    """The names that the folder does not hold, in their order, on any file system Spark reads."""
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = lambda p: not p.getFileSystem(conf).exists(p)
+    return [n for n in names if gone(path(f"{folder.rstrip('/')}/{n}"))]
+
+
+def require_files(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """FileNotFoundError that names the first missing file."""
+    for name in missing_files(spark, folder, names):
+        raise FileNotFoundError(f"missing file: {folder}/{name}")
+
+
+def optional_lookup(spark: SparkSession, path: str, key: str, value: str, prefix: str, namespace: str) -> DataFrame:
+    """key, value of a CSV dictionary, short names expanded; no rows where there is no file."""
+    folder, _, name = path.rpartition("/")
+    if missing_files(spark, folder, [name]):
+        return spark.createDataFrame([], f"`{key}` string, `{value}` string")
+    full = F.when(F.col(value).startswith(prefix), F.concat(F.lit(namespace), F.substring(F.col(value), F.lit(len(prefix) + 1), F.length(value)))).otherwise(F.col(value))
+    return spark.read.csv(path, header=True, quote='"', escape='"').select(F.trim(F.col(key)).alias(key), full.alias(value))
+
+
+def write_metrics(spark: SparkSession, path: str, metrics: dict[str, int | str | DataFrame]) -> dict:
+    """Write named figures as one JSON object; a frame gives its first row as an object of its own."""
+    plain = {k: (row.asDict() if (row := v.first()) else {}) if isinstance(v, DataFrame) else v for k, v in metrics.items()}
+    spark.createDataFrame([(json.dumps(plain, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return plain

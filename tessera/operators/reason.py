@@ -192,3 +192,28 @@ def violations(closed: DataFrame, schema: DataFrame) -> DataFrame:
     differ = differ.select(F.least("class", "other").alias("s"), F.greatest("class", "other").alias("other")).distinct()
     same = edges_of(closed, T.SAME_AS).select(F.least("a", "b").alias("s"), F.greatest("a", "b").alias("other")).distinct()
     return found.union(same.join(differ, ["s", "other"]).select(F.lit("different").alias("rule"), "s", F.col("other").alias("detail"))).distinct()
+
+
+def lifted_schema(schema: DataFrame) -> DataFrame:
+    """The schema with domains and ranges of super-classes, and those of super-properties."""
+    up_c, up_p = closure(edges_of(schema, T.SUB_CLASS)).select("a", "b"), closure(edges_of(schema, T.SUB_PROPERTY)).select("a", "b")
+    out = schema.select(*T.TRIPLE)
+    for p in (T.DOMAIN, T.RANGE):
+        own = edges_of(schema, p).select(F.col("a").alias("prop"), F.col("b").alias("class"))
+        held = own.union(up_p.join(own.withColumnRenamed("prop", "b"), "b").select(F.col("a").alias("prop"), "class")).distinct()
+        full = held.union(held.join(up_c.withColumnRenamed("a", "class"), "class").select("prop", F.col("b").alias("class"))).distinct()
+        out = out.unionByName(full.select(F.col("prop").alias("s"), F.lit(p).alias("p"), F.col("class").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
+    return out.distinct()
+
+
+def over_maximum(closed: DataFrame, schema: DataFrame) -> DataFrame:
+    """(rule, s, detail): members of a class with more values of a property than its maximum cardinality.
+
+    Reported, not repaired: two values are never made the same.
+    """
+    of = lambda p: schema.where(F.col("p") == T.OWL + p).select("s", F.col("o").alias(p))
+    limits = of("onProperty").join(of("maxCardinality"), "s").select(F.col("s").alias("b"), F.col("onProperty").alias("p"), F.expr("try_cast(maxCardinality AS int)").alias("most"))
+    rules = edges_of(schema, T.SUB_CLASS).join(limits, "b").select(F.col("a").alias("class"), "p", "most").distinct()
+    members = closed.where(F.col("p") == T.TYPE).select("s", F.col("o").alias("class")).distinct()
+    numbers = closed.join(_small(rules.select("p").distinct()), "p", "left_semi").groupBy("s", "p").agg(F.count_distinct("o", "o_kind", "o_dt", "o_lang").alias("n"))
+    return numbers.join(_small(rules), "p").where("n > most").join(members, ["s", "class"]).select(F.lit("maximum").alias("rule"), "s", F.col("p").alias("detail")).distinct()

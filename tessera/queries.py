@@ -508,3 +508,52 @@ def q58_canonicalise(spark, table):
     facts = table("supplier").select(n("supplier/", "s_suppkey").alias("s"), F.lit(O + "k").alias("p"), F.col("s_nationkey").cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
     out = reason.canonicalise(facts, reason.components(links))
     return out.groupBy(F.col("o").cast("int").alias("k")).agg(F.countDistinct("s").alias("n"))
+
+
+# ------------------------------------------------------------------ vocabularies, limits, curation
+
+
+def plain(df: DataFrame, s, p: str, o, kind: str = "uri") -> DataFrame:
+    """One triple for each row."""
+    return df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+
+
+@query("SELECT 'http://example.org/onto#' || r AS range, count(b) > 0 AS is_vocabulary FROM (VALUES ('Brand'), ('Type')) v(r) LEFT JOIN (SELECT DISTINCT 'Brand' AS k, p_brand AS b FROM part) ON k = r GROUP BY r")
+def q59_vocabularies(spark, table):
+    """Brands are named individuals of their class, types are not."""
+    brand, kind = F.concat(F.lit(EX + "brand/"), "p_brand"), F.concat(F.lit(EX + "type/"), "p_type")
+    parts = table("part")
+    schema = plain(parts, brand, T.TYPE, F.lit(O + "Brand")).union(plain(parts, brand, T.TYPE, F.lit(T.NAMED_INDIVIDUAL))).union(plain(parts, kind, T.TYPE, F.lit(O + "Type")))
+    return facets.vocabularies(schema, spark.createDataFrame([(O + "Brand",), (O + "Type",)], "range string"))
+
+
+@query("SELECT 'maximum' AS rule, 'http://example.org/customer/' || o_custkey AS s, 'http://example.org/onto#placed' AS detail FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey) > 15")
+def q60_over_maximum(spark, table):
+    """Buyers with more than fifteen orders, where their class allows no more."""
+    orders = table("orders")
+    buyer = F.concat(F.lit(EX + "customer/"), F.col("o_custkey").cast("string"))
+    data = plain(orders, buyer, O + "placed", F.concat(F.lit(EX + "order/"), F.col("o_orderkey").cast("string"))).union(plain(orders, buyer, T.TYPE, F.lit(O + "Buyer")))
+    rule = [(O + "Buyer", T.SUB_CLASS, "_:r", "bnode", ""), ("_:r", T.OWL + "onProperty", O + "placed", "uri", ""), ("_:r", T.OWL + "maxCardinality", "15", "literal", T.XSD + "integer")]
+    schema = spark.createDataFrame([(*r, "") for r in rule], "s string, p string, o string, o_kind string, o_dt string, o_lang string")
+    return reason.over_maximum(data, schema)
+
+
+@query("SELECT DISTINCT p_brand AS value, lower(p_brand) AS label FROM part WHERE contains(lower(p_brand), '#1')")
+def q61_search_values(spark, table):
+    values = table("part").select(F.col("p_brand").alias("value"), F.lower("p_brand").alias("label")).distinct()
+    return facets.search_values(values, "#1")
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size > 25 AND p_brand IN ('Brand#13', 'Brand#24', 'Brand#31')")
+def q62_curated(spark, table):
+    """Parts marked yes, of chosen brands, with high confidence."""
+    marked = table("part").select("*", F.when(F.col("p_size") > 25, " Yes").otherwise("no").alias("keep"), F.lit("high").alias("confidence"))
+    return prepare.curated(prepare.kept(marked), "p_brand", ["Brand#13", "Brand#24", "Brand#31"]).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+
+
+@query("SELECT prop, domain FROM (VALUES ('size', 'Part'), ('size', 'Thing0'), ('big', 'Part'), ('big', 'Thing0'), ('sub', 'Part'), ('sub', 'Thing0')) v(prop, domain)")
+def q63_lifted_domains(spark, table):
+    """Domains of a property hold for its sub-properties, and their super-classes are domains too."""
+    rows = [("size", T.DOMAIN, "Part"), ("big", T.DOMAIN, "Part"), ("sub", T.SUB_PROPERTY, "size"), ("Part", T.SUB_CLASS, "Thing0")]
+    schema = spark.createDataFrame([(*r, "uri", "", "") for r in rows], "s string, p string, o string, o_kind string, o_dt string, o_lang string")
+    return reason.lifted_schema(schema).where(F.col("p") == T.DOMAIN).select(F.col("s").alias("prop"), F.col("o").alias("domain"))
