@@ -27,6 +27,7 @@ class Rule:
     when: str | None = None  # SQL condition on the row
     split: str | None = None  # a separator: one triple for each piece
     as_iri: bool = False  # the column already holds an IRI
+    sql: str | None = None  # a literal from an SQL expression
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,17 @@ class Join:
     on: tuple[tuple[str, str], ...]  # (child column, parent column), compared column by column
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """A column found in another source: the value beside the key, the least if there are several."""
+
+    source: str
+    key: str  # SQL over the row
+    from_column: int
+    to_column: int
+    out: str
+
+
 @dataclass(frozen=True)
 class TripleMap:
     name: str
@@ -47,6 +59,7 @@ class TripleMap:
     when: str | None = None
     rules: tuple[Rule, ...] = ()
     joins: tuple[Join, ...] = field(default=())
+    lookups: tuple[Lookup, ...] = field(default=())
 
 
 def _subject(text: str) -> Column:
@@ -60,8 +73,9 @@ def _term(rule: Rule) -> Column:
     if rule.iri:
         value, kind = F.array(template(rule.iri)), "uri"
     else:
-        c = F.col(rule.column).cast("string")
-        value = F.transform(F.split(c, rule.split), lambda x: F.trim(x)) if rule.split else F.array(c)
+        c = (F.expr(rule.sql) if rule.sql else F.col(rule.column)).cast("string")
+        # a null list is one without pieces: it must not take the row's other terms with it
+        value = F.coalesce(F.transform(F.split(c, rule.split), lambda x: F.trim(x)), F.array().cast("array<string>")) if rule.split else F.array(c)
         kind = "uri" if rule.as_iri else "literal"
     full = F.filter(value, lambda v: v.isNotNull() & (v != "") & (v != F.lit(NULL_MARK)))
     out = F.transform(full, lambda v: F.struct(F.lit(rule.predicate).alias("p"), v.alias("o"), F.lit(kind).alias("o_kind"), F.lit(rule.datatype).alias("o_dt"), F.lit(rule.lang).alias("o_lang")))
@@ -72,6 +86,11 @@ def _term(rule: Rule) -> Column:
 def apply(m: TripleMap, sources: dict[str, DataFrame], maps: dict[str, TripleMap] | None = None) -> DataFrame:
     """The triples of one map, without duplicates."""
     rows = sources[m.source]
+    for x in m.lookups:
+        found = sources[x.source]
+        a, b = found.columns[x.from_column], found.columns[x.to_column]
+        found = found.groupBy(F.col(a).alias(f"{x.out}_key")).agg(F.min(b).alias(x.out))
+        rows = rows.join(found, F.expr(x.key) == F.col(f"{x.out}_key"), "left").drop(f"{x.out}_key")
     if m.when:
         rows = rows.where(m.when)
     rules = [*(Rule(TYPE, iri=c) for c in m.classes), *m.rules]
@@ -101,22 +120,3 @@ def apply_all(maps: list[TripleMap], sources: dict[str, DataFrame]) -> DataFrame
     for d in made[1:]:
         out = out.unionByName(d)
     return out.distinct()
-
-
-#: Functions that mappings may call, by name; open for more.
-FUNCTIONS = {
-    "split": lambda c, sep: F.split(c, sep),
-    "escape": lambda c: F.transform(c, lambda x: _escape(x)),
-    "substring": lambda c, a, b: F.substring(c, a + 1, b - a),
-    "if": lambda test, a, b: F.when(test, a).otherwise(b),
-    "is_null": lambda c: c.isNull() | (c == ""),
-    "equal": lambda a, b: a == b,
-    "not_equal": lambda a, b: a != b,
-    "and": lambda a, b: a & b,
-}
-
-
-def _escape(c: Column) -> Column:
-    from tessera.terms import encode
-
-    return encode(c)
