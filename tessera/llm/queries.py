@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm import fill_middle as _middle
 from tessera.llm import url_filter as _urls
 from tessera.llm.common import table
 
@@ -75,6 +76,18 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_fill_middle(spark, sf_dir):
+    from tessera.llm import fill_middle
+
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    from tessera.llm import periodic_runs
+
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_token_files": op2_token_files,
@@ -86,6 +99,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_middle": op11_fill_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {"op6_url_filter": _urls.ORACLE}
+ORACLES: dict[str, str] = {"op6_url_filter": _urls.ORACLE, "op11_fill_middle": _middle.ORACLE}
