@@ -82,6 +82,12 @@ def op11_fill_middle(spark, sf_dir):
     return fill_middle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark, sf_dir):
+    from tessera.llm import suffix_dedup
+
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     from tessera.llm import periodic_runs
 
@@ -100,6 +106,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
     "op11_fill_middle": op11_fill_middle,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

@@ -185,3 +185,106 @@ def test_queries_on_a_fixture(spark, tmp_path, name, brute):
     rows = [(k, " ".join(repetitive(r, 60))) for k in range(30)] + [(5, None), (6, "")]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert got(QUERIES[name](spark, str(tmp_path))) == sorted((brute(*x) for x in rows), key=repr)
+
+
+# ------------------------------------------------------------------ suffix-array removal
+
+
+def brute_removal(texts, length=200):
+    """By a dictionary of every string of the length."""
+    from collections import Counter
+
+    texts = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = len([m for m in re.finditer(b"\1+", bytes(gone))])
+        out.append((len(t), sum(gone), spans, sha(bytes(b for b, g in zip(t, gone) if not g))))
+    return out
+
+
+def passages(r, many):
+    """Texts with copies, shared passages around the limit, repeats inside, boilerplate and edits."""
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = [prose(400)[: r.choice([150, 198, 199, 200, 201, 230, 500])] for _ in range(8)]
+    boiler = prose(100)[:170]
+    texts = [None, "", "x" * 199, "y" * 200, "z" * 201, "ab" * 300, boiler, "é" * 150]
+    for _ in range(many):
+        kind, base = r.random(), prose(r.randint(1, 120))
+        if kind < 0.3:
+            at = r.randint(0, len(base))
+            base = base[:at] + r.choice(shared) + base[at:]
+        elif kind < 0.4:
+            base = base + base[-r.randint(1, len(base)) :]
+        elif kind < 0.6 and texts[-1]:
+            old = texts[-1]
+            at = r.randint(0, len(old))
+            base = old[:at] + r.choice(["", "Q", "new words "]) + old[at + r.choice([0, 1]) :]
+        elif kind < 0.7:
+            base = r.choice(texts)
+        elif kind < 0.9:
+            base = base + " " + boiler + " " + prose(20)
+        texts.append(base)
+    return texts
+
+
+@pytest.mark.parametrize("wide, piece, block, seed", [(2000, 1 << 20, 10_000, 1), (1, 1 << 20, 1, 2), (5, 256, 50, 3), (2000, 150, 1, 4)])
+def test_removal_equals_brute_force(spark, wide, piece, block, seed):
+    """Also with grams that count as wide, pieces that cut texts, and one-row blocks of stretches."""
+    from tessera.llm import suffix_dedup
+
+    texts = passages(random.Random(seed), 150)
+    rows = [(None if k == 3 else k // 2, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got_ = sorted((tuple(x) for x in suffix_dedup.digest(df, suffix_dedup.Sizes(piece, wide, block)).collect()), key=repr)
+    assert got_ == sorted(((i, *x) for (i, _), x in zip(rows, brute_removal(texts), strict=True)), key=repr)
+    assert sum(x[2] for x in got_) > 1000
+
+
+def test_removal_query(spark, tmp_path):
+    texts = passages(random.Random(6), 200)
+    spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got_ = sorted(tuple(x) for x in QUERIES["op12_suffix_dedup"](spark, str(tmp_path)).collect())
+    assert got_ == [(k, *x) for k, x in enumerate(brute_removal(texts))]
+
+
+def test_removal_with_one_hot_text_and_one_hot_passage(spark):
+    """A third of the rows are one text, a third hold one passage; many buckets, equal keys at borders."""
+    from tessera.llm import suffix_dedup
+
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    hot, passage = prose(90), prose(60)[:260]
+    texts = [hot] * 100 + [f"{prose(30)} {passage} {prose(30)}" for _ in range(100)] + [prose(60) for _ in range(100)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+        got_ = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.digest(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert [got_[k] for k in range(300)] == brute_removal(texts)
+
+
+def test_removal_keeps_other_columns(spark):
+    from tessera.llm import suffix_dedup
+
+    t = "".join(random.Random(3).choice("abc é") for _ in range(400))
+    df = spark.createDataFrame([(1, t, "a"), (2, "left " + t, "b"), (3, None, "c"), (4, "short", "d")], "k1 long, text string, ats string")
+    assert sorted(tuple(x) for x in suffix_dedup.remove(df).collect()) == [(1, "", "a"), (2, "left ", "b"), (3, None, "c"), (4, "short", "d")]
+    assert suffix_dedup.digest(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_multikey_order():
+    from tessera.llm import suffix_dedup
+
+    r = np.random.default_rng(1)
+    keys = r.integers(0, 4, (500, 5))
+    order, same = suffix_dedup.multikey(500, 5, lambda k, which: keys[which, k])
+    rows = [tuple(keys[i]) for i in order.tolist()]
+    assert rows == sorted(map(tuple, keys.tolist())) and same.tolist() == [False, *(a == b for a, b in zip(rows, rows[1:]))]
