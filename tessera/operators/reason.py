@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import functools
 import tempfile
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import terms as T
+from tessera.operators import identity
+from tessera.operators.identity import canonicalise, components
+
+__all__ = ["Closed", "canonicalise", "close", "closure", "components", "cut", "edges_of", "infer", "lifted_schema", "list_members", "over_maximum", "reach", "same_as_components", "schema_closure", "violations"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,21 +35,61 @@ def closure(edges: DataFrame, reflexive: DataFrame | None = None) -> DataFrame:
     """(a, b, depth): what is reachable along edges (a, b), with the least number of steps.
 
     reflexive: nodes (id) that also reach themselves in no step. Cycles end the loop as any other.
+    Each round writes only what is new; the rounds are put together at the end.
     """
     edges = cut(edges.select("a", "b").distinct())
-    total = edges.withColumn("depth", F.lit(1))
+    rounds = [edges.withColumn("depth", F.lit(1))]
     if reflexive is not None:
         own = reflexive.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
-        total = own.withColumn("depth", F.lit(0)).unionByName(total.join(own, ["a", "b"], "left_anti"))
-    total = cut(total)
-    front, depth = total.where("depth = 1"), 1
+        rounds = [cut(own.withColumn("depth", F.lit(0))), edges.where("a <> b").join(own, ["a", "b"], "left_anti").unionByName(edges.where("a = b").join(own, ["a", "b"], "left_anti")).withColumn("depth", F.lit(1))]
+    known = functools.reduce(DataFrame.unionByName, rounds)
+    front, depth = rounds[-1], 1
     while True:
         depth += 1
         step = front.select("a", F.col("b").alias("m")).join(edges.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
-        front = cut(step.join(total, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(step.join(known, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            return total
-        total = cut(total.unionByName(front))
+            return known
+        known = known.unionByName(front)
+
+
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(a, b): what the seeds (id) reach along edges (a, b) in any number of steps, none included.
+
+    Semi-naive from the seeds: what no seed reaches is never joined.
+    """
+    edges = cut(edges.select("a", "b").distinct())
+    front = known = cut(seeds.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct())
+    while True:
+        step = front.withColumnRenamed("b", "m").join(edges.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
+        front = cut(step.join(known, ["a", "b"], "left_anti"))
+        if front.isEmpty():
+            return known
+        known = known.unionByName(front)
+
+
+#: Most rows of a schema's table that are broadcast or closed on the driver; a larger one is joined by a
+#: shuffle and closed by Spark. And most pairs of a closure that the driver makes.
+BROADCAST_ROWS, LOCAL_PAIRS = 100_000, 1_000_000
+
+
+def schema_closure(edges: DataFrame) -> DataFrame:
+    """(a, b) of the closure of a schema's edges: without a Spark job for each round if they are few."""
+    few = edges.select("a", "b").distinct().limit(BROADCAST_ROWS + 1).collect()
+    if len(few) <= BROADCAST_ROWS:
+        next_: dict = {}
+        for r in few:
+            next_.setdefault(r.a, []).append(r.b)
+        pairs: list = []
+        for a in next_:
+            seen: set = set()
+            front = [a]
+            while front and len(pairs) + len(seen) <= LOCAL_PAIRS:
+                front = [b for x in front for b in next_.get(x, ()) if b not in seen and not seen.add(b)]
+            pairs += ((a, b) for b in seen)
+        if len(pairs) <= LOCAL_PAIRS:
+            return edges.sparkSession.createDataFrame(pairs, "a string, b string")
+    return closure(edges).select("a", "b")
 
 
 def edges_of(triples: DataFrame, predicate: str) -> DataFrame:
@@ -55,75 +100,114 @@ def list_members(triples: DataFrame) -> DataFrame:
     """(head, member) of every rdf:List."""
     rest = edges_of(triples, T.RDF + "rest").where(F.col("b") != T.RDF + "nil")
     first = edges_of(triples, T.RDF + "first")
-    walk = closure(rest, reflexive=first.select(F.col("a").alias("id")))
+    own = first.select("a", F.col("a").alias("b"))
+    walk = schema_closure(rest).union(own)
     return walk.select(F.col("a").alias("head"), F.col("b").alias("cell")).join(first.select(F.col("a").alias("cell"), F.col("b").alias("member")), "cell").select("head", "member").distinct()
 
 
-def _typed(s, o) -> list:
-    return [s.alias("s"), F.lit(T.TYPE).alias("p"), o.alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")]
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
-#: Most rows of a schema's table that are broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 100_000
+def implied_properties(schema: DataFrame) -> DataFrame:
+    """(p, more): for each property the others (q) that its triples imply, and whether turned round.
 
+    The closure of sub-properties and inverses together: a node is a property with a sign.
+    """
+    sub, inverse = edges_of(schema, T.SUB_PROPERTY), edges_of(schema, T.INVERSE)
+    signed = lambda df, x, y: df.select(F.concat(F.lit(x), "a").alias("a"), F.concat(F.lit(y), "b").alias("b"))
+    back = inverse.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    edges = signed(sub, "+", "+").union(signed(sub, "-", "-"))
+    for way in (inverse, back):
+        edges = edges.union(signed(way, "+", "-")).union(signed(way, "-", "+"))
+    pairs = schema_closure(edges).where("a LIKE '+%' AND a <> b")
+    name = lambda c: F.substr(F.col(c), F.lit(2))
+    return pairs.groupBy(name("a").alias("p")).agg(F.sort_array(F.collect_set(F.struct(name("b").alias("q"), F.startswith("b", F.lit("-")).alias("turned")))).alias("more"))
 
-def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
+@dataclass(frozen=True)
+class Closed:
+    """Facts under canonical names with all that follows, and the names' components (None: no two equal)."""
 
-def implied_properties(schema: DataFrame) -> list[tuple[str, list[tuple[str, bool]]]]:
-    """For each property the others that its triples imply, and whether turned round.
+    triples: DataFrame
+    canonical: DataFrame | None = None
 
-    The closure of sub-properties and inverses together, over the schema's edges.
-    """
-    next_: dict = {}
-    for r in edges_of(schema, T.SUB_PROPERTY).distinct().collect():
-        for turned in (False, True):
-            next_.setdefault((r.a, turned), set()).add((r.b, turned))
-    for r in edges_of(schema, T.INVERSE).distinct().collect():
-        for turned in (False, True):
-            next_.setdefault((r.a, turned), set()).add((r.b, not turned))
-            next_.setdefault((r.b, turned), set()).add((r.a, not turned))
-    out = []
-    for p in sorted({p for p, _ in next_}):
-        seen, front = {(p, False)}, [(p, False)]
-        while front:
-            front = [y for x in front for y in next_.get(x, ()) if y not in seen and not seen.add(y)]
-        out.append((p, sorted(seen - {(p, False)})))
-    return out
+    def export(self) -> DataFrame:
+        """Every fact under every name."""
+        return self.triples if self.canonical is None else identity.expand(self.triples, self.canonical, predicates=True)
+
+    def about(self, names: DataFrame) -> DataFrame:
+        """The facts of some names (name), whichever of their equals they were stated of."""
+        if self.canonical is None:
+            return self.triples.join(names.select(F.col("name").alias("s")).distinct(), "s", "left_semi").select(*T.TRIPLE)
+        return identity.about(self.triples, self.canonical, names)
 
 
 def infer(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> DataFrame:
+    """data and all that follows, every fact under every name: close() exported."""
+    return close(data, schema, include_thing).export()
+
+
+def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Closed:
     """data and all that follows: sub-properties, inverses, transitive properties, domains and ranges,
-    super-classes, members of a named union of classes. Triples with literal subjects never arise.
+    super-classes, members of a named union of classes, and what holds of one name of a thing holds of
+    all (same-as, stated or implied). Triples with literal subjects never arise.
 
-    The schema is closed first; then each triple is expanded in place, so data is read once (and once
-    more for each round of a transitive property).
+    The schema is closed first; then each triple is expanded in place, so data is read once. Same-as
+    links merge components: facts move to the representative, and only facts that a merge or a transitive
+    property makes go through the rules again.
     """
     spark = data.sparkSession
     triple = lambda s, p, o, kind, dt, lang: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), dt.alias("o_dt"), lang.alias("o_lang"))
     uri = (F.lit("uri"), F.lit(""), F.lit(""))
     own = triple(*map(F.col, T.TRIPLE))
     none = F.array().cast("array<string>")
-    implied = _small(spark.createDataFrame(implied_properties(schema), "p string, more array<struct<q:string,turned:boolean>>"))
-
-    def spread(x):
-        more = F.filter(F.coalesce("more", F.array().cast("array<struct<q:string,turned:boolean>>")), lambda m: ~m["turned"] | (F.col("o_kind") != "literal"))
-        made = F.transform(more, lambda m: F.when(m["turned"], triple(F.col("o"), m["q"], F.col("s"), *uri)).otherwise(triple(F.col("s"), m["q"], *map(F.col, T.TRIPLE[2:]))))
-        return x.select(*T.TRIPLE).join(implied, "p", "left").select(F.explode(F.concat(F.array(own), made)).alias("t")).select("t.*")
-
-    out = spread(data)
-    transitive = [r.s for r in schema.where((F.col("p") == T.TYPE) & (F.col("o") == T.TRANSITIVE)).select("s").distinct().collect()]
-    while transitive:
-        out = cut(out.distinct())
-        far = [closure(edges_of(out, p)).select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")) for p in transitive]
+
+    def rules_of(schema):
+        implied = _small(implied_properties(schema))
+
+        def spread(x):
+            more = F.filter(F.coalesce("more", F.array().cast("array<struct<q:string,turned:boolean>>")), lambda m: ~m["turned"] | (F.col("o_kind") != "literal"))
+            made = F.transform(more, lambda m: F.when(m["turned"], triple(F.col("o"), m["q"], F.col("s"), *uri)).otherwise(triple(F.col("s"), m["q"], *map(F.col, T.TRIPLE[2:]))))
+            return x.select(*T.TRIPLE).join(implied, "p", "left").select(F.explode(F.concat(F.array(own), made)).alias("t")).select("t.*")
+
+        transitive = [r.s for r in schema.where((F.col("p") == T.TYPE) & (F.col("o") == T.TRANSITIVE)).select("s").distinct().collect()]
+        return spread, transitive
+
+    canonical = None
+    stated = edges_of(schema, T.SAME_AS).where("a <> b")
+    if not stated.isEmpty():
+        canonical = identity.merge(None, stated)
+        schema = cut(identity.canonicalise(schema, canonical, predicates=True))
+        data = identity.canonicalise(data, canonical, predicates=True)
+    spread, transitive = rules_of(schema)
+    out = cut(spread(data))
+    while True:
+        links = edges_of(out, T.SAME_AS).where("a <> b")
+        if not links.isEmpty():
+            canonical = identity.merge(canonical, links)
+            named = canonical.where("id <> canonical").select("id")
+            # equal classes or properties are those of the schema, too, and their facts have to be met anew
+            ruled = schema.select(F.explode(F.array("s", "p", "o")).alias("id")).union(out.select(F.col("p").alias("id"))).distinct()
+            anew = not ruled.join(named, "id", "left_semi").isEmpty()
+            out = identity.canonicalise(out, canonical, predicates=anew)
+            if anew:
+                schema = cut(identity.canonicalise(schema, canonical, predicates=True))
+                spread, transitive = rules_of(schema)
+                out = spread(out)
+            out = cut(out.where((F.col("p") != T.SAME_AS) | (F.col("s") != F.col("o"))))
+            continue
+        edges = {p: edges_of(out, p) for p in transitive}
+        far = [closure(e).select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")) for p, e in edges.items() if not e.isEmpty()]
+        if not far:
+            break
         new = cut(functools.reduce(DataFrame.unionByName, far).join(out, ["s", "p", "o"], "left_anti").select(*T.TRIPLE))
         if new.isEmpty():
             break
-        out = out.unionByName(spread(new))
+        out = out.unionByName(cut(spread(new)))
     unions = edges_of(schema, T.OWL + "unionOf").withColumnRenamed("b", "head").join(list_members(schema), "head").select(F.col("member").alias("a"), F.col("a").alias("b"))
     named = edges_of(schema, T.SUB_CLASS).union(unions)
-    sub_c = cut(closure(named).select("a", "b"))
+    sub_c = schema_closure(named)
     above = _small(sub_c.groupBy(F.col("a").alias("k")).agg(F.collect_set("b").alias("supers")))
     uris = lambda p: schema.where((F.col("p") == p) & (F.col("o_kind") == "uri")).select(F.col("s").alias("p"), F.col("o").alias("class"))
 
@@ -137,44 +221,27 @@ def infer(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Da
     met = out.join(classes, "p", "left").withColumn("k", F.when(F.col("p") == T.TYPE, F.col("o"))).join(above, "k", "left")
     ranges = F.when(F.col("o_kind") != "literal", F.col("rng")).otherwise(none)
     things = F.array(F.lit(T.THING)) if include_thing else none
-    return met.select(F.explode(F.concat(F.array(own), typed(F.col("s"), F.col("dom")), typed(F.col("o"), ranges), typed(F.col("s"), F.col("supers")), typed(F.col("s"), things))).alias("t")).select("t.*").distinct()
+    made = met.select(F.explode(F.concat(F.array(own), typed(F.col("s"), F.col("dom")), typed(F.col("o"), ranges), typed(F.col("s"), F.col("supers")), typed(F.col("s"), things))).alias("t")).select("t.*").distinct()
+    return Closed(made, canonical)
 
 
 def same_as_components(triples: DataFrame) -> DataFrame:
     """(id, canonical): the smallest name of each same-as component."""
-    links = edges_of(triples, T.SAME_AS).where("a <> b")
-    return components(links)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, canonical) by minimum labels with jumps, checkpointed each round."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("canonical")))
-    while True:
-        best = both.join(labels.select(F.col("id").alias("b"), "canonical"), "b").groupBy("a").agg(F.min("canonical").alias("c"))
-        moved = labels.join(best.withColumnRenamed("a", "id"), "id").select("id", F.col("canonical").alias("was"), F.least("canonical", "c").alias("canonical"))
-        jump = labels.select(F.col("id").alias("canonical"), F.col("canonical").alias("far"))
-        new = cut(moved.join(jump, "canonical").select("id", "was", F.least("canonical", "far").alias("canonical")))
-        done = new.where("was <> canonical").isEmpty()
-        labels = new.select("id", "canonical")
-        if done:
-            return labels
-
-
-def canonicalise(triples: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Subjects and objects replaced by their component's representative."""
-    c = canonical.select(F.col("id").alias("_i"), F.col("canonical").alias("_c"))
-    out = triples.join(c, F.col("s") == F.col("_i"), "left").withColumn("s", F.coalesce("_c", "s")).drop("_i", "_c")
-    out = out.join(c, (F.col("o") == F.col("_i")) & (F.col("o_kind") != "literal"), "left").withColumn("o", F.coalesce("_c", "o")).drop("_i", "_c")
-    return out.select(*T.TRIPLE).distinct()
+    return components(edges_of(triples, T.SAME_AS).where("a <> b"))
 
 
-def violations(closed: DataFrame, schema: DataFrame) -> DataFrame:
-    """(rule, s, detail) of broken axioms.
+def violations(closed: DataFrame | Closed, schema: DataFrame) -> DataFrame:
+    """(rule, s, detail) of broken axioms, over things rather than names.
 
-    disjoint: members of two classes that disjointWith or AllDisjointClasses sets apart; different:
-    subjects that are the same as one they differ from, by differentFrom or AllDifferent.
+    disjoint: things of two classes that disjointWith or AllDisjointClasses sets apart, under their
+    representative; different: names of one thing, through any chain of same-as links, of which
+    differentFrom or AllDifferent says that they differ. closed: triples, or the result of close().
     """
+    facts = closed.triples if isinstance(closed, Closed) else closed
+    canonical = closed.canonical if isinstance(closed, Closed) else None
+    links = edges_of(facts, T.SAME_AS).union(edges_of(schema, T.SAME_AS)).where("a <> b")
+    if not links.isEmpty():
+        canonical = identity.merge(canonical, links)
     lists = list_members(schema)
 
     def apart(kind: str, *links: str) -> DataFrame:
@@ -184,19 +251,29 @@ def violations(closed: DataFrame, schema: DataFrame) -> DataFrame:
         members = axioms.join(heads, "axiom").join(lists, "head").select("axiom", "member")
         return members.withColumnRenamed("member", "class").join(members.withColumnRenamed("member", "other"), "axiom").where("class < other").select("class", "other")
 
-    typed = closed.where(F.col("p") == T.TYPE).select("s", F.col("o").alias("class")).distinct()
+    typed = facts.where(F.col("p") == T.TYPE).select("s", F.col("o").alias("class")).distinct()
     pairs = edges_of(schema, T.DISJOINT).toDF("class", "other").union(apart("AllDisjointClasses", "members")).distinct()
-    both = typed.join(_small(pairs), "class").join(typed.withColumnRenamed("class", "other"), ["s", "other"])
+    if canonical is not None:
+        typed = identity.renamed(identity.renamed(typed, "s", canonical), "class", canonical).distinct()
+        pairs = identity.renamed(identity.renamed(pairs, "class", canonical), "other", canonical).distinct()
+    pairs = _small(pairs)
+    # what is in no disjoint class is left out before the self-join
+    set_apart = pairs.select(F.explode(F.array("class", "other")).alias("class")).distinct()
+    typed = typed.join(_small(set_apart), "class", "left_semi")
+    both = typed.join(pairs, "class").join(typed.withColumnRenamed("class", "other"), ["s", "other"])
     found = both.select(F.lit("disjoint").alias("rule"), "s", F.concat_ws(" ", "class", "other").alias("detail"))
-    differ = edges_of(schema, T.OWL + "differentFrom").union(edges_of(closed, T.OWL + "differentFrom")).toDF("class", "other").union(apart("AllDifferent", "members", "distinctMembers"))
+    differ = edges_of(schema, T.OWL + "differentFrom").union(edges_of(facts, T.OWL + "differentFrom")).toDF("class", "other").union(apart("AllDifferent", "members", "distinctMembers"))
     differ = differ.select(F.least("class", "other").alias("s"), F.greatest("class", "other").alias("other")).distinct()
-    same = edges_of(closed, T.SAME_AS).select(F.least("a", "b").alias("s"), F.greatest("a", "b").alias("other")).distinct()
-    return found.union(same.join(differ, ["s", "other"]).select(F.lit("different").alias("rule"), "s", F.col("other").alias("detail"))).distinct()
+    one, two = differ.withColumn("_a", F.col("s")).withColumn("_b", F.col("other")), ("_a", "_b")
+    if canonical is not None:
+        for c in two:
+            one = identity.renamed(one, c, canonical)
+    return found.union(one.where("_a = _b").select(F.lit("different").alias("rule"), "s", F.col("other").alias("detail"))).distinct()
 
 
 def lifted_schema(schema: DataFrame) -> DataFrame:
     """The schema with domains and ranges of super-classes, and those of super-properties."""
-    up_c, up_p = closure(edges_of(schema, T.SUB_CLASS)).select("a", "b"), closure(edges_of(schema, T.SUB_PROPERTY)).select("a", "b")
+    up_c, up_p = schema_closure(edges_of(schema, T.SUB_CLASS)), schema_closure(edges_of(schema, T.SUB_PROPERTY))
     out = schema.select(*T.TRIPLE)
     for p in (T.DOMAIN, T.RANGE):
         own = edges_of(schema, p).select(F.col("a").alias("prop"), F.col("b").alias("class"))
