@@ -60,6 +60,7 @@ class TripleMap:
     rules: tuple[Rule, ...] = ()
     joins: tuple[Join, ...] = field(default=())
     lookups: tuple[Lookup, ...] = field(default=())
+    key: tuple[str, ...] = ()  # columns of which no two rows of the source have the same values
 
 
 def _subject(text: str) -> Column:

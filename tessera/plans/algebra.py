@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.reason import closure, cut, edges_of
+from tessera.operators.reason import closure, cut, edges_of, reach
 
 
 @dataclass(frozen=True)
@@ -81,18 +81,66 @@ def compatible_join(a: DataFrame, b: DataFrame, how: str = "inner", maybe: froze
     return joined
 
 
+def flat(patterns: list[Pattern]) -> tuple[list[Pattern], set[str]]:
+    """Sequences and turned steps as patterns of their own; the names of the variables between."""
+    out, between = [], set()
+
+    def add(s, p, o):
+        if isinstance(p, Path) and p.kind == "seq":
+            mid = Var(f"_mid{len(between)}")
+            between.add(mid.name)
+            add(s, p.args[0], mid)
+            add(mid, p.args[1], o)
+        elif isinstance(p, Path) and p.kind == "inv":
+            add(o, p.args[0], s)
+        else:
+            out.append(Pattern(s, p, o))
+
+    for t in patterns:
+        add(t.s, t.p, t.o)
+    return out, between
+
+
+def inverse(p):
+    """The path walked from its other end."""
+    if isinstance(p, Term):
+        return Path("inv", (p,))
+    if p.kind == "inv":
+        return p.args[0]
+    return Path(p.kind, tuple(map(inverse, reversed(p.args) if p.kind == "seq" else p.args)))
+
+
+def triples_of(data, predicates: set[str] | None = None) -> DataFrame:
+    """A dataset's triples, of a mapped graph those of some predicates only."""
+    return data if isinstance(data, DataFrame) else data.triples(predicates)
+
+
+def ends_of(rows: DataFrame, t: Pattern) -> DataFrame:
+    """Rows (_s, _o and perhaps _p) that meet a pattern's constants, as its variables."""
+    out: dict[str, str] = {}
+    for place, x in (("_s", t.s), ("_p", t.p), ("_o", t.o)):
+        if isinstance(x, Var):
+            if x.name in out:
+                rows = rows.where(F.col(place) == F.col(out[x.name]))
+            else:
+                out[x.name] = place
+        elif isinstance(x, Term) and place in rows.columns and not (place == "_p"):
+            rows = rows.where(same_term(F.col(place), x))
+    return rows.select(*(F.col(c).alias(n) for n, c in out.items())) if out else rows.select(F.lit(1).alias("_one")).limit(1)
+
+
 class Engine:
-    """Evaluates algebra over named datasets; '' is the default one."""
+    """Evaluates algebra over named datasets (triples, or mapped graphs); '' is the default one."""
 
-    def __init__(self, datasets: dict[str, DataFrame]):
+    def __init__(self, datasets: dict):
         self.datasets = datasets
 
     # paths -----------------------------------------------------------------
 
-    def path(self, data: DataFrame, p) -> DataFrame:
+    def path(self, data, p) -> DataFrame:
         """(a, b) pairs of a path, as struct-free strings; a set."""
         if isinstance(p, Term):
-            return edges_of(data, p.value)
+            return edges_of(triples_of(data, {p.value}), p.value)
         if p.kind == "inv":
             return self.path(data, p.args[0]).select(F.col("b").alias("a"), F.col("a").alias("b"))
         if p.kind == "seq":
@@ -100,54 +148,90 @@ class Engine:
             return left.withColumnRenamed("b", "m").join(right.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
         if p.kind == "alt":
             return self.path(data, p.args[0]).union(self.path(data, p.args[1])).distinct()
-        nodes = data.select(F.col("s").alias("id")).union(data.where("o_kind <> 'literal'").select(F.col("o").alias("id"))).distinct()
         inner = self.path(data, p.args[0])
+        if p.kind == "plus":
+            return closure(inner).select("a", "b")
+        every = triples_of(data)
+        nodes = every.select(F.col("s").alias("id")).union(every.where("o_kind <> 'literal'").select(F.col("o").alias("id"))).distinct()
         if p.kind == "opt":
             return inner.union(nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct()
-        return closure(inner, nodes if p.kind == "star" else None).select("a", "b")
+        return closure(inner, nodes).select("a", "b")
+
+    def from_seeds(self, data, p, seeds: DataFrame) -> DataFrame:
+        """(a, b) pairs of a path whose start a is among the seeds (id): what they don't reach is not read.
+
+        A seed reaches itself in no step, whether any triple has it or not.
+        """
+        if isinstance(p, Term):
+            return self.path(data, p).join(seeds.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
+        if p.kind == "seq":
+            first = cut(self.from_seeds(data, p.args[0], seeds))
+            rest = self.from_seeds(data, p.args[1], first.select(F.col("b").alias("id")).distinct())
+            return first.withColumnRenamed("b", "m").join(rest.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
+        if p.kind == "alt":
+            return self.from_seeds(data, p.args[0], seeds).union(self.from_seeds(data, p.args[1], seeds)).distinct()
+        if p.kind == "inv":
+            return self.path(data, p).join(seeds.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
+        own = seeds.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        if p.kind == "opt":
+            return self.from_seeds(data, p.args[0], seeds).union(own).distinct()
+        found = reach(self.path(data, p.args[0]), seeds)
+        if p.kind == "star":
+            return found
+        # p+: one step, then any number
+        return self.from_seeds(data, Path("seq", (p.args[0], Path("star", p.args))), seeds)
+
+    def path_pattern(self, data, t: Pattern, known: DataFrame | None = None) -> DataFrame:
+        """A pattern with a path, from an end that is bound: by a constant, else by the solutions so far.
+
+        With both ends bound the side of fewer values goes first.
+        """
+        ends = [("s", t.s, t.p), ("o", t.o, inverse(t.p))]
+        seeds = {}
+        for place, x, _ in ends:
+            if isinstance(x, Term) and x.kind != "literal":
+                seeds[place] = (1, data.sparkSession.createDataFrame([(x.value,)], "id string"))
+            elif isinstance(x, Var) and known is not None and x.name in known.columns:
+                own = cut(known.where(F.col(x.name)["kind"] != "literal").select(F.col(x.name)["value"].alias("id")).distinct())
+                seeds[place] = (own.count(), own)
+        if seeds and not any(isinstance(x, Term) and x.kind == "literal" for _, x, _ in ends):
+            place = min(seeds, key=lambda k: seeds[k][0])
+            path = next(p for k, _, p in ends if k == place)
+            pairs = self.from_seeds(data, path, seeds[place][1])
+            pairs = pairs if place == "s" else pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        else:
+            pairs = self.path(data, t.p)
+        return ends_of(pairs.select(_node("a").alias("_s"), _node("b").alias("_o")), t)
 
     # patterns --------------------------------------------------------------
 
     def pattern(self, data: DataFrame, t: Pattern) -> DataFrame:
-        if isinstance(t.p, Path) and t.p.kind == "seq":  # a join over a variable of its own; ends may be literals
-            mid = Var(f"_mid{abs(hash(t)) % 10**9}")
-            return compatible_join(self.pattern(data, Pattern(t.s, t.p.args[0], mid)), self.pattern(data, Pattern(mid, t.p.args[1], t.o))).drop(mid.name)
         if isinstance(t.p, Path):
-            pairs = self.path(data, t.p)
-            own = [x for x in (t.s, t.o) if isinstance(x, Term)]
-            if t.p.kind in ("star", "opt") and own:  # a constant reaches itself though no triple has it
-                same = data.sparkSession.createDataFrame([(own[0].value,)], "a string").select("a", F.col("a").alias("b"))
-                pairs = pairs.union(same).distinct()
-            rows = pairs.select(F.col("a").alias("s"), _node("a").alias("_s"), _node("b").alias("_o"))
-        else:
-            rows = data
-            if isinstance(t.p, Term):
-                rows = rows.where(F.col("p") == t.p.value)
-            rows = rows.select(_node("s").alias("_s"), _node("p").alias("_p"), _object().alias("_o"))
-        out: dict[str, str] = {}
-        for place, x in (("_s", t.s), ("_p", t.p), ("_o", t.o)):
-            if isinstance(x, Var):
-                if x.name in out:
-                    rows = rows.where(F.col(place) == F.col(out[x.name]))
-                else:
-                    out[x.name] = place
-            elif isinstance(x, Term) and place in rows.columns and not (place == "_p"):
-                rows = rows.where(same_term(F.col(place), x))
-        return rows.select(*(F.col(c).alias(n) for n, c in out.items())) if out else rows.select(F.lit(1).alias("_one")).limit(1)
-
-    def bgp(self, data: DataFrame, patterns: list[Pattern]) -> DataFrame:
+            return self.path_pattern(data, t)
+        rows = data
+        if isinstance(t.p, Term):
+            rows = rows.where(F.col("p") == t.p.value)
+        return ends_of(rows.select(_node("s").alias("_s"), _node("p").alias("_p"), _object().alias("_o")), t)
+
+    def bgp(self, data, patterns: list[Pattern]) -> DataFrame:
         """Joins, most bound pattern first, then whatever shares a variable with what is joined."""
-        left = sorted(patterns, key=lambda t: sum(isinstance(x, Var) for x in (t.s, t.p, t.o)))
+        if not isinstance(data, DataFrame):
+            from tessera.plans import unfold
+
+            return unfold.bgp(self, data, patterns)
+        plain, between = flat(patterns)
+        left = sorted(plain, key=lambda t: sum(isinstance(x, Var) for x in (t.s, t.p, t.o)))
         done, names = None, set()
         while left:
-            pick = next((t for t in left if done is None or names & {x.name for x in (t.s, t.p, t.o) if isinstance(x, Var)}), left[0])
+            linked = [t for t in left if done is None or names & {x.name for x in (t.s, t.p, t.o) if isinstance(x, Var)}]
+            pick = next((t for t in linked if not isinstance(t.p, Path)), (linked or left)[0])  # paths start from what is bound
             left.remove(pick)
-            rows = self.pattern(data, pick)
+            rows = self.path_pattern(data, pick, done) if isinstance(pick.p, Path) else self.pattern(data, pick)
             names |= {x.name for x in (pick.s, pick.p, pick.o) if isinstance(x, Var)}
             done = rows if done is None else compatible_join(done, rows)
-        return done
+        return done.drop(*between)
 
-    def run(self, node: tuple, data: DataFrame) -> tuple[DataFrame, frozenset]:
+    def run(self, node: tuple, data) -> tuple[DataFrame, frozenset]:
         """(solutions, variables that may be unbound)."""
         kind = node[0]
         if kind == "bgp":

@@ -16,6 +16,7 @@ from tessera.operators import entity, facets, federation, mapping, prepare, reas
 from tessera.operators.mapping import Join, Rule, TripleMap
 from tessera.plans import sparql
 from tessera.plans.algebra import Engine
+from tessera.plans.unfold import MappedGraph
 from tessera.sources.files import Catalog, format_ntriples, parse_ntriples
 
 EX = "http://example.org/"
@@ -48,16 +49,17 @@ def query(sql: str | None = None):
 PART = TripleMap(
     "part", "part", EX + "part/{p_partkey}", (O + "Part",),
     rules=(Rule(T.LABEL, column="p_name"), Rule(O + "brand", iri=EX + "brand/{p_brand}"), Rule(O + "type", iri=EX + "type/{p_type}"), Rule(O + "size", column="p_size", datatype=T.XSD + "integer"), Rule(O + "big", column="p_big", datatype=T.XSD + "boolean")),
+    key=("p_partkey",),
 )
 CREDIT = TripleMap(
     "credit", "lineitem", EX + "credit/{l_orderkey}/{l_linenumber}/{l_partkey}/{l_suppkey}", (O + "Credit",),
     rules=(Rule(O + "by", iri=EX + "supplier/{l_suppkey}"), Rule(O + "involves", iri=EX + "part/{l_partkey}"), Rule(O + "order", column="l_linenumber", datatype=T.XSD + "integer")),
 )
-PERSON = TripleMap("person", "supplier", EX + "supplier/{s_suppkey}", (O + "Person",), rules=(Rule(O + "name", column="s_name"),), joins=(Join(O + "from", "nation", (("s_nationkey", "n_nationkey"),)),))
-BUYER = TripleMap("buyer", "customer", EX + "customer/{c_custkey}", (O + "Person",), rules=(Rule(O + "name", column="c_name"),))
-PURCHASE = TripleMap("purchase", "orders", EX + "order/{o_orderkey}", (O + "Order",), rules=(Rule(O + "buyer", iri=EX + "customer/{o_custkey}"), Rule(O + "year", column="o_year", datatype=T.XSD + "gYear")))
-NATION = TripleMap("nation", "nation", EX + "nation/{n_nationkey}", (O + "Nation",), rules=(Rule(T.LABEL, column="n_name"),), joins=(Join(O + "partOf", "region", (("n_regionkey", "r_regionkey"),)),))
-REGION = TripleMap("region", "region", EX + "region/{r_regionkey}", (O + "Region",), rules=(Rule(T.LABEL, column="r_name"),))
+PERSON = TripleMap("person", "supplier", EX + "supplier/{s_suppkey}", (O + "Person",), rules=(Rule(O + "name", column="s_name"),), joins=(Join(O + "from", "nation", (("s_nationkey", "n_nationkey"),)),), key=("s_suppkey",))
+BUYER = TripleMap("buyer", "customer", EX + "customer/{c_custkey}", (O + "Person",), rules=(Rule(O + "name", column="c_name"),), key=("c_custkey",))
+PURCHASE = TripleMap("purchase", "orders", EX + "order/{o_orderkey}", (O + "Order",), rules=(Rule(O + "buyer", iri=EX + "customer/{o_custkey}"), Rule(O + "year", column="o_year", datatype=T.XSD + "gYear")), key=("o_orderkey",))
+NATION = TripleMap("nation", "nation", EX + "nation/{n_nationkey}", (O + "Nation",), rules=(Rule(T.LABEL, column="n_name"),), joins=(Join(O + "partOf", "region", (("n_regionkey", "r_regionkey"),)),), key=("n_nationkey",))
+REGION = TripleMap("region", "region", EX + "region/{r_regionkey}", (O + "Region",), rules=(Rule(T.LABEL, column="r_name"),), key=("r_regionkey",))
 MAPS = {m.name: m for m in (PART, CREDIT, PERSON, BUYER, PURCHASE, NATION, REGION)}
 
 
@@ -80,7 +82,13 @@ def graph(table, *maps: str) -> DataFrame:
     return out
 
 
-def ask(data: DataFrame | dict, text: str) -> DataFrame:
+def virtual(table, *maps: str) -> MappedGraph:
+    """The graph of some maps, of which patterns read what they need."""
+    need = {MAPS[m].source for m in maps} | {MAPS[j.parent].source for m in maps for j in MAPS[m].joins}
+    return MappedGraph([MAPS[m] for m in maps], _sources(table, need), MAPS)
+
+
+def ask(data: DataFrame | MappedGraph | dict, text: str) -> DataFrame:
     sets = data if isinstance(data, dict) else {"": data}
     return sparql.query(Engine(sets), text, prefixes={"o": O, "rdfs": T.RDFS, "rdf": T.RDF, "owl": T.OWL, "xsd": T.XSD})
 
@@ -116,15 +124,16 @@ def ontology(spark) -> DataFrame:
 @query("""SELECT s_name AS name, count(*) AS credits FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) l JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name ORDER BY credits DESC, name""")
 def q01_credits_per_person(spark, table):
     """Contributions counted by name over reified triples."""
-    return ask(graph(table, "credit", "person"), "SELECT ?name (COUNT(?c) AS ?credits) WHERE { ?c a o:Credit ; o:by ?p . ?p o:name ?name } GROUP BY ?name ORDER BY DESC(?credits) ?name")
+    return ask(virtual(table, "credit", "person"), "SELECT ?name (COUNT(?c) AS ?credits) WHERE { ?c a o:Credit ; o:by ?p . ?p o:name ?name } GROUP BY ?name ORDER BY DESC(?credits) ?name")
 
 
 @query("""SELECT DISTINCT c_name AS buyer, s_name AS supplier FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey JOIN orders ON o_custkey = c_custkey""")
 def q02_flagship_bridge(spark, table):
     """Two datasets of people joined through same-as links."""
-    same = table("customer").join(table("supplier"), (F.col("c_custkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    links = same.select(F.concat(F.lit(EX + "customer/"), "c_custkey").alias("s"), F.lit(T.SAME_AS).alias("p"), F.concat(F.lit(EX + "supplier/"), "s_suppkey").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
-    data = graph(table, "buyer", "person", "purchase").unionByName(links)
+    same = table("customer").join(table("supplier"), (F.col("c_custkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).select("c_custkey", "s_suppkey")
+    link = TripleMap("link", "same", EX + "customer/{c_custkey}", rules=(Rule(T.SAME_AS, iri=EX + "supplier/{s_suppkey}"),), key=("c_custkey",))
+    data = virtual(table, "buyer", "person", "purchase")
+    data = MappedGraph([*data.maps, link], data.sources | {"same": same}, MAPS)
     return ask(data, "SELECT DISTINCT ?buyer ?supplier WHERE { ?c owl:sameAs ?s . ?s o:name ?supplier . ?c o:name ?buyer . ?x o:buyer ?c }")
 
 
@@ -137,7 +146,8 @@ def q03_map_part_triples(spark, table):
 
 @query(f"""SELECT p, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) l, (VALUES ('{T.TYPE}'),('{O}by'),('{O}involves'),('{O}order')) v(p) GROUP BY p""")
 def q04_map_lineitem_reified(spark, table):
-    return graph(table, "credit").groupBy("p").agg(F.count("*").alias("n"))
+    """Triples of a reified relation counted by predicate: a pattern of variables alone."""
+    return ask(virtual(table, "credit"), "SELECT ?p (COUNT(*) AS ?n) WHERE { ?c ?p ?o } GROUP BY ?p")
 
 
 @query(f"""SELECT '{EX}o/' || o_orderkey AS s, '{O}late' AS p, o_orderpriority AS o FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW' UNION SELECT '{EX}o/' || o_orderkey, '{T.TYPE}', '{O}Open' FROM orders WHERE o_orderstatus <> 'F'""")
@@ -174,7 +184,7 @@ def q09_semi_join(spark, table):
 
 @query("SELECT c_name AS name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1995)")
 def q10_not_exists(spark, table):
-    return ask(graph(table, "buyer", "purchase"), "SELECT ?name WHERE { ?c a o:Person ; o:name ?name FILTER NOT EXISTS { ?x o:buyer ?c ; o:year \"1995\" } }")
+    return ask(virtual(table, "buyer", "purchase"), "SELECT ?name WHERE { ?c a o:Person ; o:name ?name FILTER NOT EXISTS { ?x o:buyer ?c ; o:year \"1995\" } }")
 
 
 @query("SELECT p_partkey, w AS token FROM (SELECT p_partkey, unnest(string_split(p_name,' ')) AS w FROM part) WHERE trim(w) <> ''")
@@ -410,30 +420,30 @@ def q42_language_branch(spark, table):
 
 @query(f"""SELECT '{EX}supplier/' || s_suppkey AS s, CASE WHEN contains(n_name,'A') THEN n_name END AS label FROM supplier LEFT JOIN nation ON s_nationkey=n_nationkey""")
 def q43_optional_filter_inside(spark, table):
-    return ask(graph(table, "person", "nation"), 'SELECT ?s ?label WHERE { ?s o:name ?n OPTIONAL { ?s o:from ?c . ?c rdfs:label ?label FILTER(CONTAINS(STR(?label), "A")) } }')
+    return ask(virtual(table, "person", "nation"), 'SELECT ?s ?label WHERE { ?s o:name ?n OPTIONAL { ?s o:from ?c . ?c rdfs:label ?label FILTER(CONTAINS(STR(?label), "A")) } }')
 
 
 @query(f"""SELECT '{EX}nation/' || n_nationkey AS x, n_name AS a, NULL AS b FROM nation UNION ALL SELECT '{EX}supplier/' || s_suppkey, NULL, s_name FROM supplier""")
 def q44_union_missing_vars(spark, table):
-    return ask(graph(table, "person", "nation"), "SELECT ?x ?a ?b WHERE { { ?x a o:Nation . ?x rdfs:label ?a } UNION { ?x o:name ?b } }")
+    return ask(virtual(table, "person", "nation"), "SELECT ?x ?a ?b WHERE { { ?x a o:Nation . ?x rdfs:label ?a } UNION { ?x o:name ?b } }")
 
 
 @query(f"""SELECT s_name AS name, '{EX}supplier/' || s_suppkey AS p FROM supplier WHERE s_suppkey IN (1,3,5)""")
 def q45_values_bindjoin(spark, table):
     ids = " ".join(f"<{EX}supplier/{k}>" for k in (1, 3, 5))
-    return ask(graph(table, "person"), f"SELECT ?name ?p WHERE {{ VALUES ?p {{ {ids} }} ?p o:name ?name }}")
+    return ask(virtual(table, "person"), f"SELECT ?name ?p WHERE {{ VALUES ?p {{ {ids} }} ?p o:name ?name }}")
 
 
 @query("""SELECT DISTINCT s_name AS name, n_name AS label FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE starts_with(n_name, 'NATION_1')""")
 def q46_service_two_datasets(spark, table):
-    sets = {"": graph(table, "person"), EX + "nations": graph(table, "nation")}
+    sets = {"": virtual(table, "person"), EX + "nations": virtual(table, "nation")}
     return ask(sets, f'SELECT DISTINCT ?name ?label WHERE {{ ?p o:name ?name ; o:from ?n . SERVICE <{EX}nations> {{ ?n rdfs:label ?label FILTER(STRSTARTS(STR(?label), "NATION_1")) }} }}')
 
 
 @query("""SELECT s_name AS name, count(*) AS credits FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey=s_suppkey GROUP BY 1""")
 def q47_blind_optional(spark, table):
     """An optional service block that matches nothing leaves bag counts as they are."""
-    sets = {"": graph(table, "credit", "person"), EX + "books": graph(table, "region")}
+    sets = {"": virtual(table, "credit", "person"), EX + "books": virtual(table, "region")}
     return ask(sets, f"SELECT ?name (COUNT(?c) AS ?credits) WHERE {{ ?c o:by ?p . ?p o:name ?name OPTIONAL {{ SERVICE <{EX}books> {{ ?p a o:Book }} }} }} GROUP BY ?name")
 
 
@@ -481,22 +491,22 @@ def q53_discover_classes(spark, table):
 
 @query("SELECT count(*) > 0 AS answer FROM region")
 def q54_ask(spark, table):
-    return ask(graph(table, "region"), "ASK { ?x a o:Region }")
+    return ask(virtual(table, "region"), "ASK { ?x a o:Region }")
 
 
 @query("SELECT count(DISTINCT l_suppkey) AS n, min(l_linenumber)::bigint AS low, max(l_linenumber)::bigint AS high FROM lineitem")
 def q55_aggregates(spark, table):
-    return ask(graph(table, "credit"), "SELECT (COUNT(DISTINCT ?p) AS ?n) (MIN(?o) AS ?low) (MAX(?o) AS ?high) WHERE { ?c o:by ?p ; o:order ?o }")
+    return ask(virtual(table, "credit"), "SELECT (COUNT(DISTINCT ?p) AS ?n) (MIN(?o) AS ?low) (MAX(?o) AS ?high) WHERE { ?c o:by ?p ; o:order ?o }")
 
 
 @query("SELECT p_name AS name, p_size::varchar AS size FROM part WHERE p_size >= 45 AND p_size <> 47 ORDER BY name, p_partkey")
 def q56_filter_numeric(spark, table):
-    return ask(graph(table, "part"), "SELECT ?name ?size WHERE { ?x rdfs:label ?name ; o:size ?size FILTER(?size >= 45 && !(?size = 47)) } ORDER BY ?name")
+    return ask(virtual(table, "part"), "SELECT ?name ?size WHERE { ?x rdfs:label ?name ; o:size ?size FILTER(?size >= 45 && !(?size = 47)) } ORDER BY ?name")
 
 
 @query("""SELECT n_name AS work FROM nation WHERE false UNION ALL SELECT DISTINCT n_name FROM nation JOIN supplier ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey WHERE r_name IN ('ASIA','EUROPE')""")
 def q57_path_sequence(spark, table):
-    data = graph(table, "person", "nation", "region")
+    data = virtual(table, "person", "nation", "region")
     return ask(data, 'SELECT DISTINCT ?work WHERE { ?s o:from ?n . ?n rdfs:label ?work ; o:partOf/rdfs:label ?r FILTER(?r IN ("ASIA", "EUROPE")) }')
 
 
