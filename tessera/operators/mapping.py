@@ -7,7 +7,9 @@ with the joined rules as joins of their own. Empty and marked-null values give n
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,52 @@ from pyspark.sql import functions as F
 from tessera.terms import NULL_MARK, TRIPLE, TYPE, template
 
 
+@dataclass(frozen=True)
+class Shape:
+    """A template's fixed texts and the columns between them; raw: one column that holds whole IRIs."""
+
+    texts: tuple[str, ...]
+    columns: tuple[str, ...]
+    raw: bool = False
+
+    @property
+    def injective(self) -> bool:
+        """Do different values always give different IRIs? Encoded values hold none of / : ? # etc."""
+        return all(re.search(r"[^A-Za-z0-9\-._~%]", t) for t in self.texts[1:-1])
+
+    def values(self, iri: str) -> tuple[str, ...] | None:
+        """The column values that give an IRI, if any do."""
+        if self.raw:
+            return (iri,)
+        m = re.fullmatch("([A-Za-z0-9\\-._~%]*)".join(map(re.escape, self.texts)), iri)
+        if not m:
+            return None
+        got = tuple(map(unquote, m.groups()))
+        return got if tuple(quote(v, safe="") for v in got) == m.groups() else None
+
+    def apart(self, other: Shape) -> bool:
+        """Can no IRI come from both? Told from the fixed texts at either end, where columns follow."""
+        if self.raw or other.raw:
+            return False
+        if not self.columns and not other.columns:
+            return self.texts != other.texts
+        for fixed, open_ in ((self, other), (other, self)):
+            if not fixed.columns:
+                return open_.values(fixed.texts[0]) is None
+        a, b = self.texts[0], other.texts[0]
+        if not (a.startswith(b) or b.startswith(a)):
+            return True
+        a, b = self.texts[-1][::-1], other.texts[-1][::-1]
+        return not (a.startswith(b) or b.startswith(a))
+
+
+def shape(text: str) -> Shape:
+    if text.startswith("{") and text.endswith("}") and text.count("{") == 1:
+        return Shape(("", ""), (text[1:-1],), True)
+    pieces = re.split(r"\{([^{}]*)\}", text)
+    return Shape(tuple(pieces[::2]), tuple(pieces[1::2]))
+
+
 @dataclass(frozen=True)
 class Rule:
     """predicate with one of: constant, template, reference (a column), or list (split) values."""
@@ -84,8 +132,28 @@ def _term(rule: Rule) -> Column:
     return F.when(F.expr(rule.when), out).otherwise(none) if rule.when else out
 
 
+def keyed(m: TripleMap) -> bool:
+    """Does every row of the source have a subject of its own?"""
+    s = shape(m.subject)
+    return bool(m.key) and set(m.key) <= set(s.columns) and s.injective
+
+
+def _columns(m: TripleMap) -> list[str] | None:
+    """The columns of which a map's rules are functions, if they are the subject's own: rows that are
+    alike in them give the same triples, others give other ones."""
+    s = shape(m.subject)
+    if not s.injective or m.when or m.lookups or any(r.when or r.sql for r in m.rules):
+        return None
+    need = {c for r in m.rules for c in (shape(r.iri).columns if r.iri else (r.column,))}
+    return list(s.columns) if need <= set(s.columns) else None
+
+
 def apply(m: TripleMap, sources: dict[str, DataFrame], maps: dict[str, TripleMap] | None = None) -> DataFrame:
-    """The triples of one map, without duplicates."""
+    """The triples of one map, without duplicates.
+
+    Where the subject is a declared key no row gives another's triples; where all depends on the
+    subject's columns, rows are made distinct in those; else triples are.
+    """
     rows = sources[m.source]
     for x in m.lookups:
         found = sources[x.source]
@@ -95,10 +163,21 @@ def apply(m: TripleMap, sources: dict[str, DataFrame], maps: dict[str, TripleMap
     if m.when:
         rows = rows.where(m.when)
     rules = [*(Rule(TYPE, iri=c) for c in m.classes), *m.rules]
+    # rows without a subject: told by its columns, before the template is filled
+    subject = shape(m.subject)
+    for c in subject.columns:
+        rows = rows.where(F.col(c).isNotNull())
+    if subject.raw:
+        rows = rows.where(F.col(subject.columns[0]) != "")
     parts = []
+    single, narrow = keyed(m), _columns(m)
     if rules:
         terms = F.flatten(F.array(*map(_term, rules)))
-        parts.append(rows.select(_subject(m.subject).alias("s"), F.explode(terms).alias("t")).select("s", "t.*"))
+        if single or narrow:
+            own = rows if single else rows.select(*narrow).distinct()
+            parts.append(own.select(_subject(m.subject).alias("s"), F.explode(F.array_distinct(terms)).alias("t")).select("s", "t.*"))
+        else:
+            parts.append(rows.select(_subject(m.subject).alias("s"), F.explode(terms).alias("t")).select("s", "t.*").distinct())
     for j in m.joins:
         parent = maps[j.parent]
         child = rows.select(_subject(m.subject).alias("s"), *(F.col(a).alias(f"_k{i}") for i, (a, _) in enumerate(j.on)))
@@ -107,11 +186,14 @@ def apply(m: TripleMap, sources: dict[str, DataFrame], maps: dict[str, TripleMap
             right = right.where(parent.when)
         right = right.select(_subject(parent.subject).alias("o"), *(F.col(b).alias(f"_k{i}") for i, (_, b) in enumerate(j.on)))
         joined = child.join(right, [f"_k{i}" for i in range(len(j.on))]).where("o <> ''")
-        parts.append(joined.select("s", F.lit(j.predicate).alias("p"), "o", F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
+        parts.append(joined.select("s", F.lit(j.predicate).alias("p"), "o", F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")).distinct())
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where("s IS NOT NULL AND s <> ''").select(*TRIPLE).distinct()
+    out = out.select(*TRIPLE) if any(subject.texts) else out.where("s <> ''").select(*TRIPLE)
+    # a join may give what a rule of its predicate, or another join, gives
+    joins = [j.predicate for j in m.joins]
+    return out.distinct() if len(set(joins)) < len(joins) or set(joins) & {r.predicate for r in rules} else out
 
 
 def apply_all(maps: list[TripleMap], sources: dict[str, DataFrame]) -> DataFrame:

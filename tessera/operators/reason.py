@@ -110,7 +110,7 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def implied_properties(schema: DataFrame) -> DataFrame:
-    """(p, more): for each property the others (q) that its triples imply, and whether turned round.
+    """(p, q, turned): the properties that a triple of p holds for, p among them, and whether turned round.
 
     The closure of sub-properties and inverses together: a node is a property with a sign.
     """
@@ -120,9 +120,10 @@ def implied_properties(schema: DataFrame) -> DataFrame:
     edges = signed(sub, "+", "+").union(signed(sub, "-", "-"))
     for way in (inverse, back):
         edges = edges.union(signed(way, "+", "-")).union(signed(way, "-", "+"))
-    pairs = schema_closure(edges).where("a LIKE '+%' AND a <> b")
+    pairs = schema_closure(edges).where("a LIKE '+%'")
     name = lambda c: F.substr(F.col(c), F.lit(2))
-    return pairs.groupBy(name("a").alias("p")).agg(F.sort_array(F.collect_set(F.struct(name("b").alias("q"), F.startswith("b", F.lit("-")).alias("turned")))).alias("more"))
+    found = pairs.select(name("a").alias("p"), name("b").alias("q"), F.startswith("b", F.lit("-")).alias("turned"))
+    return found.union(found.select("p", F.col("p").alias("q"), F.lit(False))).distinct()
 
 
 @dataclass(frozen=True)
@@ -157,19 +158,15 @@ def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Cl
     links merge components: facts move to the representative, and only facts that a merge or a transitive
     property makes go through the rules again.
     """
-    spark = data.sparkSession
-    triple = lambda s, p, o, kind, dt, lang: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), dt.alias("o_dt"), lang.alias("o_lang"))
-    uri = (F.lit("uri"), F.lit(""), F.lit(""))
-    own = triple(*map(F.col, T.TRIPLE))
-    none = F.array().cast("array<string>")
 
     def rules_of(schema):
-        implied = _small(implied_properties(schema))
+        implied = _small(implied_properties(schema).toDF("p", "_q", "_turned"))
 
         def spread(x):
-            more = F.filter(F.coalesce("more", F.array().cast("array<struct<q:string,turned:boolean>>")), lambda m: ~m["turned"] | (F.col("o_kind") != "literal"))
-            made = F.transform(more, lambda m: F.when(m["turned"], triple(F.col("o"), m["q"], F.col("s"), *uri)).otherwise(triple(F.col("s"), m["q"], *map(F.col, T.TRIPLE[2:]))))
-            return x.select(*T.TRIPLE).join(implied, "p", "left").select(F.explode(F.concat(F.array(own), made)).alias("t")).select("t.*")
+            """Each triple once for every property that it holds for; no literal becomes a subject."""
+            met = x.select(*T.TRIPLE).join(implied, "p", "left").where("NOT coalesce(_turned, false) OR o_kind <> 'literal'")
+            turn = lambda a, b: F.when(F.col("_turned"), b).otherwise(F.col(a)).alias(a)
+            return met.select(turn("s", F.col("o")), F.coalesce("_q", "p").alias("p"), turn("o", F.col("s")), turn("o_kind", F.lit("uri")), turn("o_dt", F.lit("")), turn("o_lang", F.lit("")))
 
         transitive = [r.s for r in schema.where((F.col("p") == T.TYPE) & (F.col("o") == T.TRANSITIVE)).select("s").distinct().collect()]
         return spread, transitive
@@ -181,8 +178,11 @@ def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Cl
         schema = cut(identity.canonicalise(schema, canonical, predicates=True))
         data = identity.canonicalise(data, canonical, predicates=True)
     spread, transitive = rules_of(schema)
-    out = cut(spread(data))
-    while True:
+    out = spread(data)
+    # what takes rounds is written first; data without any such fact goes straight on
+    rounds = not out.where(F.col("p").isin(T.SAME_AS, *transitive)).isEmpty()
+    out = cut(out) if rounds else out
+    while rounds:
         links = edges_of(out, T.SAME_AS).where("a <> b")
         if not links.isEmpty():
             canonical = identity.merge(canonical, links)
@@ -208,20 +208,26 @@ def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Cl
     unions = edges_of(schema, T.OWL + "unionOf").withColumnRenamed("b", "head").join(list_members(schema), "head").select(F.col("member").alias("a"), F.col("a").alias("b"))
     named = edges_of(schema, T.SUB_CLASS).union(unions)
     sub_c = schema_closure(named)
-    above = _small(sub_c.groupBy(F.col("a").alias("k")).agg(F.collect_set("b").alias("supers")))
     uris = lambda p: schema.where((F.col("p") == p) & (F.col("o_kind") == "uri")).select(F.col("s").alias("p"), F.col("o").alias("class"))
 
-    def of(p, name):
+    def of(p, place):
         direct = uris(p)
-        full = direct.union(direct.join(sub_c.withColumnRenamed("a", "class"), "class").select("p", F.col("b").alias("class")))
-        return full.groupBy("p").agg(F.collect_set("class").alias(name))
-
-    classes = _small(of(T.DOMAIN, "dom").join(of(T.RANGE, "rng"), "p", "full"))
-    typed = lambda x, cs: F.transform(F.coalesce(cs, none), lambda c: triple(x, F.lit(T.TYPE), c, *uri))
-    met = out.join(classes, "p", "left").withColumn("k", F.when(F.col("p") == T.TYPE, F.col("o"))).join(above, "k", "left")
-    ranges = F.when(F.col("o_kind") != "literal", F.col("rng")).otherwise(none)
-    things = F.array(F.lit(T.THING)) if include_thing else none
-    made = met.select(F.explode(F.concat(F.array(own), typed(F.col("s"), F.col("dom")), typed(F.col("o"), ranges), typed(F.col("s"), F.col("supers")), typed(F.col("s"), things))).alias("t")).select("t.*").distinct()
+        return direct.union(direct.join(sub_c.withColumnRenamed("a", "class"), "class").select("p", F.col("b").alias("class"))).select("p", F.lit(place).alias("_place"), F.col("class").alias("_class")).distinct()
+
+    # what a triple says of its ends, and a class of its members; beside itself, told by an empty place
+    says = of(T.DOMAIN, "s").union(of(T.RANGE, "o"))
+    says = _small(says.union(says.select("p", F.lit(""), F.lit("")).distinct()))
+    above = sub_c.select(F.col("a").alias("_k"), F.col("b").alias("_super"))
+    above = _small(above.union(above.select("_k", F.lit("")).distinct()).distinct())
+    place, super_ = F.coalesce("_place", F.lit("")), F.coalesce("_super", F.lit(""))
+    met = out.join(says, "p", "left").where("coalesce(_place, '') <> 'o' OR o_kind <> 'literal'")
+    met = met.withColumn("_k", F.when((place == "") & (F.col("p") == T.TYPE), F.col("o"))).join(above, "_k", "left")
+    kind = F.when(super_ != "", super_).when(place != "", F.col("_class"))  # the class of a triple that is made
+    keep = lambda c, new: F.when(kind.isNotNull(), F.lit(new)).otherwise(F.col(c)).alias(c)
+    made = met.select(F.when(place == "o", F.col("o")).otherwise(F.col("s")).alias("s"), keep("p", T.TYPE), F.coalesce(kind, "o").alias("o"), keep("o_kind", "uri"), keep("o_dt", ""), keep("o_lang", ""))
+    if include_thing:
+        made = made.unionByName(out.select("s", F.lit(T.TYPE).alias("p"), F.lit(T.THING).alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
+    made = made.distinct()
     return Closed(made, canonical)
 
 

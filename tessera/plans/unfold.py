@@ -12,13 +12,12 @@ from __future__ import annotations
 import itertools
 import re
 from dataclasses import dataclass, replace
-from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import mapping
-from tessera.operators.mapping import Join, Rule, TripleMap
+from tessera.operators.mapping import Join, Rule, Shape, TripleMap, shape
 from tessera.plans.algebra import XSD_NUMERIC, Path, Pattern, Term, Var, compatible_join, flat, same_term
 from tessera.terms import NULL_MARK, TYPE, encode
 
@@ -28,55 +27,6 @@ INTEGERS = ("tinyint", "smallint", "int", "bigint")
 EXACT = (*INTEGERS, "string", "boolean", "date")
 
 
-# ------------------------------------------------------------------ templates
-
-
-@dataclass(frozen=True)
-class Shape:
-    """A template's fixed texts and the columns between them; raw: one column that holds whole IRIs."""
-
-    texts: tuple[str, ...]
-    columns: tuple[str, ...]
-    raw: bool = False
-
-    @property
-    def injective(self) -> bool:
-        """Do different values always give different IRIs? Encoded values hold none of / : ? # etc."""
-        return all(re.search(r"[^A-Za-z0-9\-._~%]", t) for t in self.texts[1:-1])
-
-    def values(self, iri: str) -> tuple[str, ...] | None:
-        """The column values that give an IRI, if any do."""
-        if self.raw:
-            return (iri,)
-        m = re.fullmatch("([A-Za-z0-9\\-._~%]*)".join(map(re.escape, self.texts)), iri)
-        if not m:
-            return None
-        got = tuple(map(unquote, m.groups()))
-        return got if tuple(quote(v, safe="") for v in got) == m.groups() else None
-
-    def apart(self, other: Shape) -> bool:
-        """Can no IRI come from both? Told from the fixed texts at either end, where columns follow."""
-        if self.raw or other.raw:
-            return False
-        if not self.columns and not other.columns:
-            return self.texts != other.texts
-        for fixed, open_ in ((self, other), (other, self)):
-            if not fixed.columns:
-                return open_.values(fixed.texts[0]) is None
-        a, b = self.texts[0], other.texts[0]
-        if not (a.startswith(b) or b.startswith(a)):
-            return True
-        a, b = self.texts[-1][::-1], other.texts[-1][::-1]
-        return not (a.startswith(b) or b.startswith(a))
-
-
-def shape(text: str) -> Shape:
-    if text.startswith("{") and text.endswith("}") and text.count("{") == 1:
-        return Shape(("", ""), (text[1:-1],), True)
-    pieces = re.split(r"\{([^{}]*)\}", text)
-    return Shape(tuple(pieces[::2]), tuple(pieces[1::2]))
-
-
 # ------------------------------------------------------------------ what a variable stands for
 
 
@@ -254,10 +204,6 @@ class MappedGraph:
         own = self._object(e)
         return set(own.columns if own else (e.rule.column,)) <= set(shape(e.map.subject).columns)
 
-    def _keyed(self, m: TripleMap) -> bool:
-        s = shape(m.subject)
-        return bool(m.key) and set(m.key) <= set(s.columns) and s.injective
-
     # scans -----------------------------------------------------------------
 
     def scan(self, m: TripleMap, chosen: list[tuple[Pattern, Emission]]) -> Relation:
@@ -350,14 +296,14 @@ class MappedGraph:
             for c, v in zip(subject.columns, subject.values(t.s.value), strict=True):
                 rows = rows.where(equals(c, v))
         meet(t.s, lambda: iri(subject, subject.columns, "_s"))
-        if not self._keyed(m):
+        if not mapping.keyed(m):
             # distinct by subject and objects, also where a constant stands for a column
             for c in subject.columns:
                 kept(c)
         df = rows.select(*(c.alias(n) for n, c in out.items())) if out else rows.select(F.lit(1).alias(mark + "one"))
         for a, b in equal:
             df = df.where(agree(df, a, df, b))
-        return Relation(df if self._keyed(m) else df.distinct(), names)
+        return Relation(df if mapping.keyed(m) else df.distinct(), names)
 
     def _opaque(self, engine, e: Emission, t: Pattern) -> Relation:
         rows = engine.pattern(mapping.apply(e.alone(), self.sources, self.by_name), t)
@@ -395,7 +341,7 @@ class MappedGraph:
             if all(len(es) == 1 for es in own):
                 pairs = [(t, es[0]) for t, es in zip(patterns, own, strict=True)]
                 free = [p for p in pairs if not self._determined(p[1])]
-                if self._keyed(m) or len(free) <= 1:
+                if mapping.keyed(m) or len(free) <= 1:
                     return [self.scan(m, pairs)]
                 sure = [p for p in pairs if self._determined(p[1])]
                 return [self.scan(m, [free[0], *sure]), *(self.scan(m, [p]) for p in free[1:])]

@@ -372,24 +372,26 @@ def _people(table):
 
 _ER = """b AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name),' ')) AS t, p_size AS z, 1800+p_size AS y FROM part), c AS (SELECT l.id AS left_id, r.id AS right_id, l.t AS lt, r.t AS rt, CASE WHEN l.z%5<>0 THEN l.y END AS ly, CASE WHEN r.z%7<>0 THEN r.y END AS ry, r.z%3=0 AS clean
 FROM b l JOIN b r ON l.id%2=0 AND r.id%2=1 AND len(list_filter(list_intersect(l.t,r.t), lambda x: len(x)>=4))>0),
-j AS (SELECT left_id, right_id, abs(ly-ry)<=3 AS d, clean, (len(list_intersect(lt,rt))>=2 OR len(list_intersect(lt,rt))=len(lt) OR len(list_intersect(lt,rt))=len(rt)) AS m FROM c)"""
+j AS (SELECT left_id, right_id, lt, rt, abs(ly-ry)<=3 AS d, clean, (len(list_intersect(lt,rt))>=2 OR len(list_intersect(lt,rt))=len(lt) OR len(list_intersect(lt,rt))=len(rt)) AS m FROM c)"""
 
 
-@query(f"WITH {_ER} SELECT left_id, right_id FROM c")
+@query(f"WITH {_ER} SELECT left_id AS id, count(*) AS n_candidates FROM c GROUP BY left_id")
 def q36_er_blocking(spark, table):
-    return entity.block(*_people(table))
+    """How many people on the right share a token with each on the left; names meet, not people."""
+    return entity.candidate_counts(*_people(table))
 
 
-@query(f"WITH {_ER} SELECT left_id, right_id, CASE WHEN m AND d AND clean THEN 'high' WHEN m AND d THEN 'medium' WHEN m AND d IS NULL THEN 'low' END AS confidence FROM j")
+@query(f"""WITH {_ER}, lc AS (SELECT list_sort(t) AS k, min(id) AS c FROM b WHERE id%2=0 GROUP BY 1), rc AS (SELECT list_sort(t) AS k, min(id) AS c FROM b WHERE id%2=1 GROUP BY 1)
+SELECT lc.c AS left_class, rc.c AS right_class, CASE WHEN d THEN 'confirmed' WHEN d IS NULL THEN 'inconclusive' ELSE 'rejected' END AS outcome, CASE WHEN d AND clean THEN 'high' WHEN d THEN 'medium' WHEN d IS NULL THEN 'low' END AS confidence, count(*) AS pairs
+FROM j JOIN lc ON list_sort(lt) = lc.k JOIN rc ON list_sort(rt) = rc.k WHERE m GROUP BY ALL""")
 def q37_er_confidence(spark, table):
-    left, right = _people(table)
-    return entity.judge(entity.block(left, right), left, right).select("left_id", "right_id", "confidence")
+    """Outcomes of matching names, counted over the pairs of people who bear them."""
+    return entity.outcomes(*_people(table))
 
 
 @query(f"WITH {_ER} SELECT count(*) AS candidates, count(*) FILTER (d) AS confirmed, count(*) FILTER (d IS NULL) AS inconclusive, count(*) FILTER (NOT d) AS rejected, count(*) FILTER (d IS NULL OR d) AS asserted FROM j WHERE m")
 def q38_er_metrics(spark, table):
-    left, right = _people(table)
-    return entity.funnel(entity.judge(entity.block(left, right), left, right))
+    return entity.funnel_of(entity.outcomes(*_people(table)))
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props,'$.k'),'') AS k FROM events")

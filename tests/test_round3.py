@@ -219,3 +219,69 @@ def test_seeded_paths_read_what_they_reach(spark):
         algebra.reach = old
     assert {r.x for r in rows} == {f"{E}c{k}" for k in range(7)} and {r.y for r in both} == {f"{E}d{k}" for k in range(7)}
     assert seen == [7, 7]  # of 10 chains only one is walked
+
+
+# ------------------------------------------------------------------ entities by classes
+
+
+def crowd(r, n, alternates):
+    names = ["ann lee", "lee ann", "ann", "bo lee park", "park", "li", "ann li", "lee", "", "maria jose park lee", "bo", "jose"]
+    toks = lambda: r.choice(names).split()
+    out = []
+    for k in range(n):
+        row = [k, toks(), r.choice([None, 1900, 1901, 1950]), r.choice([None, 1960, 1970])]
+        out.append((*row[:2], [toks() for _ in range(r.randint(0, 2))] if r.random() < 0.8 else None, *row[2:], r.choice(["clean", "uncertain"])) if alternates else tuple(row))
+    return out
+
+
+@pytest.mark.parametrize("seed, cell", [(1, 5000), (2, 2), (3, 1)])
+def test_entities_by_classes_equal_pairs_by_hand(spark, monkeypatch, seed, cell):
+    """Also with tokens dealt to grids of one or two names a cell."""
+    from collections import Counter
+
+    from tessera.operators import entity
+
+    monkeypatch.setattr(entity, "CELL", cell)
+    r = random.Random(seed)
+    left, right = crowd(r, 40, False), crowd(r, 50, True)
+    ldf = spark.createDataFrame(left, "id int, tokens array<string>, birth int, death int")
+    rdf = spark.createDataFrame(right, "id int, tokens array<string>, alternates array<array<string>>, birth int, death int, birth_outcome string")
+    long = lambda ts: {t for t in ts if len(t) >= 4}
+    every = lambda b: set(b[1]).union(*map(set, b[2] or []))
+
+    def match(a, b):
+        a, b = set(a), set(b)
+        return bool(a and b) and (len(a & b) >= 2 or a <= b or b <= a)
+
+    def dates(a, b):
+        close = [abs(x - y) <= 3 for x, y in ((a[2], b[3]), (a[3], b[4])) if x is not None and y is not None]
+        return all(close) if close else None
+
+    pairs = [(a, b) for a in left for b in right if long(a[1]) & every(b)]
+    assert sorted(map(tuple, entity.block(ldf, rdf).collect())) == sorted((a[0], b[0]) for a, b in pairs)
+    want = Counter(a[0] for a, _ in pairs)
+    assert {x.id: x.n_candidates for x in entity.candidate_counts(ldf, rdf).collect()} == want
+    matched = [(a, b) for a, b in pairs if match(a[1], b[1]) or any(match(a[1], o) for o in b[2] or [])]
+    least = lambda rows, key: {k: min(x[0] for x in rows if key(x) == k) for k in map(key, rows)}
+    lk = lambda a: frozenset(a[1])
+    rk = lambda b: (frozenset(b[1]), frozenset(map(frozenset, b[2] or [])))
+    lc, rc = least(left, lk), least(right, rk)
+    tally = Counter()
+    for a, b in matched:
+        d = dates(a, b)
+        outcome = "inconclusive" if d is None else "confirmed" if d else "rejected"
+        tally[lc[lk(a)], rc[rk(b)], outcome, "low" if d is None else None if not d else "high" if b[5] == "clean" else "medium"] += 1
+    found = entity.outcomes(ldf, rdf)
+    assert {tuple(x)[:4]: x.pairs for x in found.collect()} == tally
+    judged = entity.judge(entity.block(ldf, rdf), ldf, rdf)
+    assert entity.funnel(judged).collect() == entity.funnel_of(found).collect()
+
+
+def test_class_matches_make_no_pairs_of_people(spark):
+    """A thousand bearers of each of three names meet as three names."""
+    from tessera.operators import entity
+
+    names = [["john", "smith"], ["john", "jones"], ["mary", "smith"]]
+    people = spark.range(3000).select(F.col("id"), F.element_at(F.array(*(F.array(*map(F.lit, n)) for n in names)), (F.col("id") % 3 + 1).cast("int")).alias("tokens"))
+    found = entity.class_matches(entity.classes(people), entity.classes(people))
+    assert sorted(map(tuple, found.collect())) == [(0, 0), (1, 1), (2, 2)]
