@@ -10,6 +10,7 @@ import functools
 import tempfile
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,23 +74,37 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 BROADCAST_ROWS, LOCAL_PAIRS = 100_000, 1_000_000
 
 
+def local(spark: SparkSession, rows: list, names: list[str]) -> DataFrame:
+    """Rows of strings as a relation that is planned with, not scanned."""
+    return spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], pa.string()) for k, n in enumerate(names)}))
+
+
+def held(schema: DataFrame) -> DataFrame:
+    """A schema of few triples as a local relation; a larger one as it is."""
+    few = schema.select(*T.TRIPLE).limit(BROADCAST_ROWS + 1).collect()
+    return local(schema.sparkSession, few, T.TRIPLE) if len(few) <= BROADCAST_ROWS else schema
+
+
+def closed_pairs(edges) -> set | None:
+    """The closure of a few edges on the driver; None if it has more than LOCAL_PAIRS pairs."""
+    next_: dict = {}
+    for a, b in edges:
+        next_.setdefault(a, set()).add(b)
+    pairs: set = set()
+    for a in next_:
+        seen: set = set()
+        front = [a]
+        while front and len(pairs) + len(seen) <= LOCAL_PAIRS:
+            front = [b for x in front for b in next_.get(x, ()) if b not in seen and not seen.add(b)]
+        pairs.update((a, b) for b in seen)
+    return pairs if len(pairs) <= LOCAL_PAIRS else None
+
+
 def schema_closure(edges: DataFrame) -> DataFrame:
     """(a, b) of the closure of a schema's edges: without a Spark job for each round if they are few."""
-    few = edges.select("a", "b").distinct().limit(BROADCAST_ROWS + 1).collect()
-    if len(few) <= BROADCAST_ROWS:
-        next_: dict = {}
-        for r in few:
-            next_.setdefault(r.a, []).append(r.b)
-        pairs: list = []
-        for a in next_:
-            seen: set = set()
-            front = [a]
-            while front and len(pairs) + len(seen) <= LOCAL_PAIRS:
-                front = [b for x in front for b in next_.get(x, ()) if b not in seen and not seen.add(b)]
-            pairs += ((a, b) for b in seen)
-        if len(pairs) <= LOCAL_PAIRS:
-            return edges.sparkSession.createDataFrame(pairs, "a string, b string")
-    return closure(edges).select("a", "b")
+    few = edges.select("a", "b").limit(BROADCAST_ROWS + 1).collect()
+    pairs = closed_pairs(few) if len(few) <= BROADCAST_ROWS else None
+    return closure(edges).select("a", "b") if pairs is None else local(edges.sparkSession, sorted(pairs), ["a", "b"])
 
 
 def edges_of(triples: DataFrame, predicate: str) -> DataFrame:
@@ -106,11 +121,12 @@ def list_members(triples: DataFrame) -> DataFrame:
 
 
 def _small(table: DataFrame) -> DataFrame:
+    """Broadcast, if its rows are few by count."""
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
 def implied_properties(schema: DataFrame) -> DataFrame:
-    """(p, q, turned): the properties that a triple of p holds for, p among them, and whether turned round.
+    """(p, _q, _turned): the properties that a triple of p holds for, p among them; '' or 'turned' round.
 
     The closure of sub-properties and inverses together: a node is a property with a sign.
     """
@@ -122,8 +138,75 @@ def implied_properties(schema: DataFrame) -> DataFrame:
         edges = edges.union(signed(way, "+", "-")).union(signed(way, "-", "+"))
     pairs = schema_closure(edges).where("a LIKE '+%'")
     name = lambda c: F.substr(F.col(c), F.lit(2))
-    found = pairs.select(name("a").alias("p"), name("b").alias("q"), F.startswith("b", F.lit("-")).alias("turned"))
-    return found.union(found.select("p", F.col("p").alias("q"), F.lit(False))).distinct()
+    found = pairs.select(name("a").alias("p"), name("b").alias("_q"), F.when(F.startswith("b", F.lit("-")), "turned").otherwise("").alias("_turned"))
+    return found.union(found.select("p", F.col("p").alias("_q"), F.lit(""))).distinct()
+
+
+@dataclass(frozen=True)
+class Rules:
+    """A closed schema: implied (p, _q, _turned), says (p, _place, _class) and above (_k, _super) as
+    tables to join facts with, and the transitive properties. Empty _place and _super stand for the fact
+    itself, _turned is '' or 'turned'."""
+
+    implied: DataFrame
+    says: DataFrame
+    above: DataFrame
+    transitive: list[str]
+
+
+def rules_of(schema: DataFrame) -> Rules:
+    """The rules of a schema: closed on the driver and broadcast if it is small, else by Spark."""
+    rows = schema.select("s", "p", "o", "o_kind").limit(BROADCAST_ROWS + 1).collect()
+    return (_rules_by_hand(schema.sparkSession, rows) if len(rows) <= BROADCAST_ROWS else None) or _rules_by_spark(schema)
+
+
+def _rules_by_hand(spark: SparkSession, rows: list) -> Rules | None:
+    links: dict = {}
+    for r in rows:
+        if r.o_kind != "literal":
+            links.setdefault(r.p, []).append((r.s, r.o))
+    of = lambda p: links.get(p, [])
+    signed = [((x, a), (x, b)) for a, b in of(T.SUB_PROPERTY) for x in ("", "turned")]
+    for a, b in of(T.INVERSE):
+        signed += [((x, c), (y, d)) for c, d in ((a, b), (b, a)) for x, y in (("", "turned"), ("turned", ""))]
+    cells, first = dict(of(T.RDF + "rest")), {}
+    for cell, member in of(T.RDF + "first"):
+        first.setdefault(cell, []).append(member)
+    unions = []
+    for c, cell in of(T.OWL + "unionOf"):
+        walked: set = set()
+        while cell is not None and cell not in walked:
+            walked.add(cell)
+            unions += [(m, c) for m in first.get(cell, ())]
+            cell = cells.get(cell)
+    properties, classes = closed_pairs(signed), closed_pairs([*of(T.SUB_CLASS), *unions])
+    if properties is None or classes is None:
+        return None
+    implied = {(p, q, turned) for (x, p), (turned, q) in properties if not x}
+    implied |= {(p, p, "") for p, _, _ in implied}
+    supers: dict = {}
+    for a, b in classes:
+        supers.setdefault(a, [""]).append(b)
+    says = {(r.s, place, c) for place, p in (("s", T.DOMAIN), ("o", T.RANGE)) for r in rows if r.p == p and r.o_kind == "uri" for c in (r.o, *supers.get(r.o, ())) if c}
+    says |= {(p, "", "") for p, _, _ in says}
+    table = lambda found, *names: F.broadcast(local(spark, sorted(found), list(names)))
+    transitive = sorted({r.s for r in rows if r.p == T.TYPE and r.o == T.TRANSITIVE})
+    return Rules(table(implied, "p", "_q", "_turned"), table(says, "p", "_place", "_class"), table({(a, b) for a, bs in supers.items() for b in bs}, "_k", "_super"), transitive)
+
+
+def _rules_by_spark(schema: DataFrame) -> Rules:
+    implied = implied_properties(schema)
+    unions = edges_of(schema, T.OWL + "unionOf").withColumnRenamed("b", "head").join(list_members(schema), "head").select(F.col("member").alias("a"), F.col("a").alias("b"))
+    sub_c = schema_closure(edges_of(schema, T.SUB_CLASS).union(unions))
+
+    def of(p, place):
+        direct = schema.where((F.col("p") == p) & (F.col("o_kind") == "uri")).select(F.col("s").alias("p"), F.col("o").alias("class"))
+        return direct.union(direct.join(sub_c.withColumnRenamed("a", "class"), "class").select("p", F.col("b").alias("class"))).select("p", F.lit(place).alias("_place"), F.col("class").alias("_class"))
+
+    says = of(T.DOMAIN, "s").union(of(T.RANGE, "o")).distinct()
+    above = sub_c.select(F.col("a").alias("_k"), F.col("b").alias("_super"))
+    transitive = [r.s for r in schema.where((F.col("p") == T.TYPE) & (F.col("o") == T.TRANSITIVE)).select("s").distinct().collect()]
+    return Rules(_small(implied), _small(says.union(says.select("p", F.lit(""), F.lit("")).distinct())), _small(above.union(above.select("_k", F.lit("")).distinct()).distinct()), transitive)
 
 
 @dataclass(frozen=True)
@@ -159,28 +242,23 @@ def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Cl
     property makes go through the rules again.
     """
 
-    def rules_of(schema):
-        implied = _small(implied_properties(schema).toDF("p", "_q", "_turned"))
-
-        def spread(x):
-            """Each triple once for every property that it holds for; no literal becomes a subject."""
-            met = x.select(*T.TRIPLE).join(implied, "p", "left").where("NOT coalesce(_turned, false) OR o_kind <> 'literal'")
-            turn = lambda a, b: F.when(F.col("_turned"), b).otherwise(F.col(a)).alias(a)
-            return met.select(turn("s", F.col("o")), F.coalesce("_q", "p").alias("p"), turn("o", F.col("s")), turn("o_kind", F.lit("uri")), turn("o_dt", F.lit("")), turn("o_lang", F.lit("")))
-
-        transitive = [r.s for r in schema.where((F.col("p") == T.TYPE) & (F.col("o") == T.TRANSITIVE)).select("s").distinct().collect()]
-        return spread, transitive
+    def spread(x):
+        """Each triple once for every property that it holds for; no literal becomes a subject."""
+        met = x.select(*T.TRIPLE).join(rules.implied, "p", "left").where("coalesce(_turned, '') = '' OR o_kind <> 'literal'")
+        turn = lambda a, b: F.when(F.col("_turned") == "turned", b).otherwise(F.col(a)).alias(a)
+        return met.select(turn("s", F.col("o")), F.coalesce("_q", "p").alias("p"), turn("o", F.col("s")), turn("o_kind", F.lit("uri")), turn("o_dt", F.lit("")), turn("o_lang", F.lit("")))
 
+    schema = held(schema)
     canonical = None
     stated = edges_of(schema, T.SAME_AS).where("a <> b")
     if not stated.isEmpty():
         canonical = identity.merge(None, stated)
-        schema = cut(identity.canonicalise(schema, canonical, predicates=True))
+        schema = held(cut(identity.canonicalise(schema, canonical, predicates=True)))
         data = identity.canonicalise(data, canonical, predicates=True)
-    spread, transitive = rules_of(schema)
+    rules = rules_of(schema)
     out = spread(data)
     # what takes rounds is written first; data without any such fact goes straight on
-    rounds = not out.where(F.col("p").isin(T.SAME_AS, *transitive)).isEmpty()
+    rounds = not out.where(F.col("p").isin(T.SAME_AS, *rules.transitive)).isEmpty()
     out = cut(out) if rounds else out
     while rounds:
         links = edges_of(out, T.SAME_AS).where("a <> b")
@@ -192,12 +270,12 @@ def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Cl
             anew = not ruled.join(named, "id", "left_semi").isEmpty()
             out = identity.canonicalise(out, canonical, predicates=anew)
             if anew:
-                schema = cut(identity.canonicalise(schema, canonical, predicates=True))
-                spread, transitive = rules_of(schema)
+                schema = held(cut(identity.canonicalise(schema, canonical, predicates=True)))
+                rules = rules_of(schema)
                 out = spread(out)
             out = cut(out.where((F.col("p") != T.SAME_AS) | (F.col("s") != F.col("o"))))
             continue
-        edges = {p: edges_of(out, p) for p in transitive}
+        edges = {p: edges_of(out, p) for p in rules.transitive}
         far = [closure(e).select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")) for p, e in edges.items() if not e.isEmpty()]
         if not far:
             break
@@ -205,23 +283,9 @@ def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Cl
         if new.isEmpty():
             break
         out = out.unionByName(cut(spread(new)))
-    unions = edges_of(schema, T.OWL + "unionOf").withColumnRenamed("b", "head").join(list_members(schema), "head").select(F.col("member").alias("a"), F.col("a").alias("b"))
-    named = edges_of(schema, T.SUB_CLASS).union(unions)
-    sub_c = schema_closure(named)
-    uris = lambda p: schema.where((F.col("p") == p) & (F.col("o_kind") == "uri")).select(F.col("s").alias("p"), F.col("o").alias("class"))
-
-    def of(p, place):
-        direct = uris(p)
-        return direct.union(direct.join(sub_c.withColumnRenamed("a", "class"), "class").select("p", F.col("b").alias("class"))).select("p", F.lit(place).alias("_place"), F.col("class").alias("_class")).distinct()
-
-    # what a triple says of its ends, and a class of its members; beside itself, told by an empty place
-    says = of(T.DOMAIN, "s").union(of(T.RANGE, "o"))
-    says = _small(says.union(says.select("p", F.lit(""), F.lit("")).distinct()))
-    above = sub_c.select(F.col("a").alias("_k"), F.col("b").alias("_super"))
-    above = _small(above.union(above.select("_k", F.lit("")).distinct()).distinct())
     place, super_ = F.coalesce("_place", F.lit("")), F.coalesce("_super", F.lit(""))
-    met = out.join(says, "p", "left").where("coalesce(_place, '') <> 'o' OR o_kind <> 'literal'")
-    met = met.withColumn("_k", F.when((place == "") & (F.col("p") == T.TYPE), F.col("o"))).join(above, "_k", "left")
+    met = out.join(rules.says, "p", "left").where("coalesce(_place, '') <> 'o' OR o_kind <> 'literal'")
+    met = met.withColumn("_k", F.when((place == "") & (F.col("p") == T.TYPE), F.col("o"))).join(rules.above, "_k", "left")
     kind = F.when(super_ != "", super_).when(place != "", F.col("_class"))  # the class of a triple that is made
     keep = lambda c, new: F.when(kind.isNotNull(), F.lit(new)).otherwise(F.col(c)).alias(c)
     made = met.select(F.when(place == "o", F.col("o")).otherwise(F.col("s")).alias("s"), keep("p", T.TYPE), F.coalesce(kind, "o").alias("o"), keep("o_kind", "uri"), keep("o_dt", ""), keep("o_lang", ""))
@@ -243,6 +307,7 @@ def violations(closed: DataFrame | Closed, schema: DataFrame) -> DataFrame:
     representative; different: names of one thing, through any chain of same-as links, of which
     differentFrom or AllDifferent says that they differ. closed: triples, or the result of close().
     """
+    schema = held(schema)
     facts = closed.triples if isinstance(closed, Closed) else closed
     canonical = closed.canonical if isinstance(closed, Closed) else None
     links = edges_of(facts, T.SAME_AS).union(edges_of(schema, T.SAME_AS)).where("a <> b")
@@ -279,12 +344,13 @@ def violations(closed: DataFrame | Closed, schema: DataFrame) -> DataFrame:
 
 def lifted_schema(schema: DataFrame) -> DataFrame:
     """The schema with domains and ranges of super-classes, and those of super-properties."""
+    schema = held(schema)
     up_c, up_p = schema_closure(edges_of(schema, T.SUB_CLASS)), schema_closure(edges_of(schema, T.SUB_PROPERTY))
     out = schema.select(*T.TRIPLE)
     for p in (T.DOMAIN, T.RANGE):
         own = edges_of(schema, p).select(F.col("a").alias("prop"), F.col("b").alias("class"))
-        held = own.union(up_p.join(own.withColumnRenamed("prop", "b"), "b").select(F.col("a").alias("prop"), "class")).distinct()
-        full = held.union(held.join(up_c.withColumnRenamed("a", "class"), "class").select("prop", F.col("b").alias("class"))).distinct()
+        both = own.union(up_p.join(own.withColumnRenamed("prop", "b"), "b").select(F.col("a").alias("prop"), "class")).distinct()
+        full = both.union(both.join(up_c.withColumnRenamed("a", "class"), "class").select("prop", F.col("b").alias("class"))).distinct()
         out = out.unionByName(full.select(F.col("prop").alias("s"), F.lit(p).alias("p"), F.col("class").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
     return out.distinct()
 
@@ -294,6 +360,7 @@ def over_maximum(closed: DataFrame, schema: DataFrame) -> DataFrame:
 
     Reported, not repaired: two values are never made the same.
     """
+    schema = held(schema)
     of = lambda p: schema.where(F.col("p") == T.OWL + p).select("s", F.col("o").alias(p))
     limits = of("onProperty").join(of("maxCardinality"), "s").select(F.col("s").alias("b"), F.col("onProperty").alias("p"), F.expr("try_cast(maxCardinality AS int)").alias("most"))
     rules = edges_of(schema, T.SUB_CLASS).join(limits, "b").select(F.col("a").alias("class"), "p", "most").distinct()

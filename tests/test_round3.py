@@ -285,3 +285,13 @@ def test_class_matches_make_no_pairs_of_people(spark):
     people = spark.range(3000).select(F.col("id"), F.element_at(F.array(*(F.array(*map(F.lit, n)) for n in names)), (F.col("id") % 3 + 1).cast("int")).alias("tokens"))
     found = entity.class_matches(entity.classes(people), entity.classes(people))
     assert sorted(map(tuple, found.collect())) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_rules_by_hand_and_by_spark_agree(spark):
+    schema = triples(spark, [
+        (E + "p", T.INVERSE, E + "q"), (E + "q", T.SUB_PROPERTY, E + "r"), (E + "r", T.DOMAIN, E + "D"), (E + "p", T.RANGE, E + "U"), (E + "D", T.SUB_CLASS, E + "Top"), (E + "r", T.TYPE, T.TRANSITIVE),
+        (E + "U", T.OWL + "unionOf", "_:l", "bnode"), ("_:l", T.RDF + "first", E + "D"), ("_:l", T.RDF + "rest", "_:m", "bnode"), ("_:m", T.RDF + "first", E + "X"), ("_:m", T.RDF + "rest", T.RDF + "nil"), (E + "Top", T.SUB_CLASS, E + "D"),
+    ])
+    a, b = reason.rules_of(schema), reason._rules_by_spark(schema)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(a.implied) == rows(b.implied) and rows(a.says) == rows(b.says) and rows(a.above) == rows(b.above) and a.transitive == b.transitive
