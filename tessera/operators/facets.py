@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import terms as T
-from tessera.operators.reason import closure, cut, edges_of, list_members
+from tessera.operators.reason import cut, edges_of, list_members, reach, turned
 
 PAGE, CAP, MOST_PAGES = 50, 1000, 20
 
@@ -197,8 +197,7 @@ def bounds(triples: DataFrame, works: DataFrame, prop: str) -> DataFrame:
 
 def classes(schema: DataFrame, root: str) -> DataFrame:
     """iri, label: root and the classes below it."""
-    nodes = schema.select(F.lit(root).alias("id")).limit(1)
-    below = closure(edges_of(schema, T.SUB_CLASS), reflexive=nodes).where(F.col("b") == root).select(F.col("a").alias("work"))
+    below = reach(turned(edges_of(schema, T.SUB_CLASS)), schema.sparkSession.createDataFrame([(root,)], "id string")).select(F.col("b").alias("work"))
     return labelled(below, schema, [T.LABEL]).withColumnRenamed("work", "iri")
 
 
@@ -213,8 +212,8 @@ def domains(schema: DataFrame) -> DataFrame:
 
 def properties(schema: DataFrame, root: str) -> DataFrame:
     """prop, range, is_object: properties whose domain is the root, above or below it."""
-    tree = closure(edges_of(schema, T.SUB_CLASS))
-    around = tree.where(F.col("a") == root).select(F.col("b").alias("domain")).union(tree.where(F.col("b") == root).select("a")).union(schema.select(F.lit(root)).limit(1)).distinct()
+    tree, own = edges_of(schema, T.SUB_CLASS), schema.sparkSession.createDataFrame([(root,)], "id string")
+    around = reach(tree, own).union(reach(turned(tree), own)).select(F.col("b").alias("domain")).distinct()
     found = domains(schema).join(around, "domain", "left_semi").select("prop").distinct()
     ranges = schema.where((F.col("p") == T.RANGE) & (F.col("o_kind") == "uri")).groupBy(F.col("s").alias("prop")).agg(F.min("o").alias("range"))
     objects = schema.where((F.col("p") == T.TYPE) & (F.col("o") == T.OWL + "ObjectProperty")).select(F.col("s").alias("prop"), F.lit(True).alias("is_object")).distinct()
@@ -223,7 +222,8 @@ def properties(schema: DataFrame, root: str) -> DataFrame:
 
 def label_properties(schema: DataFrame, root: str) -> DataFrame:
     """prop, depth: applicable sub-properties of rdfs:label by distance, then rdfs:label itself."""
-    up = closure(edges_of(schema, T.SUB_PROPERTY)).where(F.col("b") == T.LABEL).select(F.col("a").alias("prop"), "depth")
+    label = schema.sparkSession.createDataFrame([(T.LABEL,)], "id string")
+    up = reach(turned(edges_of(schema, T.SUB_PROPERTY)), label).where("depth > 0").select(F.col("b").alias("prop"), "depth")
     own = schema.select(F.lit(T.LABEL).alias("prop"), F.lit(1 << 20).alias("depth")).limit(1)
     return up.join(properties(schema, root).select("prop"), "prop", "left_semi").unionByName(own).orderBy("depth", "prop")
 

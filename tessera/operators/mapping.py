@@ -14,7 +14,7 @@ from urllib.parse import quote, unquote
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.terms import NULL_MARK, TRIPLE, TYPE, template
+from tessera.terms import NULL_MARK, TRIPLE, TYPE, encode, template
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,7 @@ class Rule:
     split: str | None = None  # a separator: one triple for each piece
     as_iri: bool = False  # the column already holds an IRI
     sql: str | None = None  # a literal from an SQL expression
+    escape: bool = False  # each value percent-encoded
 
 
 @dataclass(frozen=True)
@@ -127,6 +128,8 @@ def _term(rule: Rule) -> Column:
         value = F.coalesce(F.transform(F.split(c, rule.split), lambda x: F.trim(x)), F.array().cast("array<string>")) if rule.split else F.array(c)
         kind = "uri" if rule.as_iri else "literal"
     full = F.filter(value, lambda v: v.isNotNull() & (v != "") & (v != F.lit(NULL_MARK)))
+    if rule.escape:
+        full = F.transform(full, encode)
     out = F.transform(full, lambda v: F.struct(F.lit(rule.predicate).alias("p"), v.alias("o"), F.lit(kind).alias("o_kind"), F.lit(rule.datatype).alias("o_dt"), F.lit(rule.lang).alias("o_lang")))
     none = F.array().cast("array<struct<p:string,o:string,o_kind:string,o_dt:string,o_lang:string>>")
     return F.when(F.expr(rule.when), out).otherwise(none) if rule.when else out
@@ -142,7 +145,7 @@ def _columns(m: TripleMap) -> list[str] | None:
     """The columns of which a map's rules are functions, if they are the subject's own: rows that are
     alike in them give the same triples, others give other ones."""
     s = shape(m.subject)
-    if not s.injective or m.when or m.lookups or any(r.when or r.sql for r in m.rules):
+    if not s.injective or m.when or m.lookups or any(r.when or r.sql or r.escape for r in m.rules):
         return None
     need = {c for r in m.rules for c in (shape(r.iri).columns if r.iri else (r.column,))}
     return list(s.columns) if need <= set(s.columns) else None

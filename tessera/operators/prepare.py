@@ -22,6 +22,12 @@ def null_counts(df: DataFrame) -> DataFrame:
     return one.unpivot([], df.columns, "column", "n")
 
 
+def multi_counts(df: DataFrame, separator: str = ",") -> DataFrame:
+    """column, n: cells that hold more than one value, by column, in one pass."""
+    one = df.agg(*(F.count_if(F.contains(clean(F.col(c).cast("string")), F.lit(separator))).alias(c) for c in df.columns))
+    return one.unpivot([], df.columns, "column", "n")
+
+
 def resolve_roles(rows: DataFrame, lookup: DataFrame, key: str, detail: str, value: str, out: str = "resolved") -> DataFrame:
     """(key, detail) in lookup, else (key, '') as fallback, else ''; an empty found value is a miss."""
     exact = lookup.select(key, detail, F.col(value).alias("_exact"))

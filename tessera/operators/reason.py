@@ -18,7 +18,7 @@ from tessera import terms as T
 from tessera.operators import identity
 from tessera.operators.identity import canonicalise, components
 
-__all__ = ["Closed", "canonicalise", "close", "closure", "components", "cut", "edges_of", "infer", "lifted_schema", "list_members", "over_maximum", "reach", "same_as_components", "schema_closure", "violations"]
+__all__ = ["Closed", "canonicalise", "close", "closure", "components", "cut", "edges_of", "infer", "lifted_schema", "list_members", "over_maximum", "reach", "same_as_components", "schema_closure", "turned", "violations"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,20 +55,26 @@ def closure(edges: DataFrame, reflexive: DataFrame | None = None) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(a, b): what the seeds (id) reach along edges (a, b) in any number of steps, none included.
+    """(a, b, depth): what the seeds (id) reach along edges (a, b), themselves in no step included.
 
     Semi-naive from the seeds: what no seed reaches is never joined.
     """
     edges = cut(edges.select("a", "b").distinct())
-    front = known = cut(seeds.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct())
+    front = known = cut(seeds.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct().withColumn("depth", F.lit(0)))
+    depth = 0
     while True:
-        step = front.withColumnRenamed("b", "m").join(edges.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
-        front = cut(step.join(known, ["a", "b"], "left_anti"))
+        depth += 1
+        step = front.select("a", F.col("b").alias("m")).join(edges.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
+        front = cut(step.join(known, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return known
         known = known.unionByName(front)
 
 
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+
+
 #: Most rows of a schema's table that are broadcast or closed on the driver; a larger one is joined by a
 #: shuffle and closed by Spark. And most pairs of a closure that the driver makes.
 BROADCAST_ROWS, LOCAL_PAIRS = 100_000, 1_000_000

@@ -7,6 +7,7 @@ evaluated bottom-up; Catalyst sees one declarative plan and picks the joins.
 from __future__ import annotations
 
 import functools
+import itertools
 import operator
 from dataclasses import dataclass
 
@@ -58,27 +59,49 @@ def _node(c: str) -> Column:
     return F.struct(F.col(c).alias("value"), F.when(F.col(c).startswith("_:"), "bnode").otherwise("uri").alias("kind"), F.lit("").alias("dt"), F.lit("").alias("lang"))
 
 
-def compatible_join(a: DataFrame, b: DataFrame, how: str = "inner", maybe: frozenset = frozenset()) -> DataFrame:
-    """Join on shared variables; those in maybe may be unbound and then agree with anything."""
+def compatible_join(a: DataFrame, b: DataFrame, how: str = "inner", maybe_a: frozenset = frozenset(), maybe_b: frozenset = frozenset()) -> DataFrame:
+    """Join on shared variables; those that may be unbound on a side agree with anything where they are."""
     shared = [c for c in a.columns if c in b.columns]
-    loose = [c for c in shared if c in maybe]
-    tight = [c for c in shared if c not in maybe]
+    loose = [c for c in shared if c in maybe_a | maybe_b]
+    tight = [c for c in shared if c not in maybe_a | maybe_b]
     if not loose:
         if tight:
             return a.join(b, tight, how)
         return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
-    right = b.select(*(F.col(c).alias(f"_r_{c}") if c in shared else F.col(c) for c in b.columns))
-    cond = F.lit(True)
-    for c in tight:
-        cond = cond & (F.col(c) == F.col(f"_r_{c}"))
-    for c in loose:
-        cond = cond & (F.col(c).isNull() | F.col(f"_r_{c}").isNull() | (F.col(c) == F.col(f"_r_{c}")))
-    joined = a.join(right, cond, how)
-    if how in ("left_semi", "left_anti"):
-        return joined
-    for c in shared:
-        joined = joined.withColumn(c, F.coalesce(F.col(c), F.col(f"_r_{c}"))).drop(f"_r_{c}")
-    return joined
+    return _loose_join(a, b, how, tight, [c for c in loose if c in maybe_a], [c for c in loose if c in maybe_b])
+
+
+def _by_binding(df: DataFrame, loose: list[str]):
+    """(unbound variables, rows) for each set of variables that may be unbound."""
+    for bits in itertools.product((False, True), repeat=len(loose)):
+        test = F.lit(True)
+        for c, unbound in zip(loose, bits, strict=True):
+            test = test & (F.col(c).isNull() if unbound else F.col(c).isNotNull())
+        yield {c for c, unbound in zip(loose, bits, strict=True) if unbound}, df.where(test)
+
+
+def _loose_join(a: DataFrame, b: DataFrame, how: str, tight: list[str], loose_a: list[str], loose_b: list[str]) -> DataFrame:
+    """A join where an unbound variable agrees with anything: rows are split by which variables they
+    bind, and each pair of parts is joined by equality on what both bind."""
+    every = [*tight, *dict.fromkeys([*loose_a, *loose_b])]
+    parts = []
+    for free_a, rows in _by_binding(a, loose_a):
+        rest = rows
+        for free_b, other in _by_binding(b, loose_b):
+            keys = [c for c in every if c not in free_a | free_b]
+            if how == "inner" or how == "left":
+                left = rows.drop(*(free_a - free_b))
+                right = other.drop(*(c for c in every if c in free_b))
+                parts.append(left.join(right, keys) if keys else left.crossJoin(right))
+            reduced = other.select(*keys) if keys else other.select(F.lit(1).alias("_any")).limit(1)
+            on = keys or F.lit(True)
+            if how == "left_semi":
+                parts.append(rest.join(reduced, on, "left_semi"))
+            if how != "inner":
+                rest = rest.join(reduced, on, "left_anti")
+        if how in ("left", "left_anti"):
+            parts.append(rest)
+    return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def flat(patterns: list[Pattern]) -> tuple[list[Pattern], set[str]]:
@@ -175,7 +198,7 @@ class Engine:
         own = seeds.select(F.col("id").alias("a"), F.col("id").alias("b"))
         if p.kind == "opt":
             return self.from_seeds(data, p.args[0], seeds).union(own).distinct()
-        found = reach(self.path(data, p.args[0]), seeds)
+        found = reach(self.path(data, p.args[0]), seeds).select("a", "b")
         if p.kind == "star":
             return found
         # p+: one step, then any number
@@ -238,13 +261,13 @@ class Engine:
             return self.bgp(data, list(node[1])), frozenset()
         if kind == "join":
             (a, ma), (b, mb) = self.run(node[1], data), self.run(node[2], data)
-            return compatible_join(a, b, maybe=ma | mb), (ma | mb) - ((set(a.columns) - ma) | (set(b.columns) - mb))
+            return compatible_join(a, b, "inner", ma, mb), (ma | mb) - ((set(a.columns) - ma) | (set(b.columns) - mb))
         if kind == "left":  # the filter of an OPTIONAL belongs to its right side and may see the left
             (a, ma), (b, mb) = self.run(node[1], data), self.run(node[2], data)
             if node[3] is None:
-                return compatible_join(a, b, "left", ma | mb), ma | mb | (set(b.columns) - set(a.columns))
+                return compatible_join(a, b, "left", ma, mb), ma | mb | (set(b.columns) - set(a.columns))
             key = cut(a.withColumn("_row", F.monotonically_increasing_id()))  # numbered once, for both branches
-            hit = compatible_join(key, b, maybe=ma | mb).where(self.truth(node[3]))
+            hit = compatible_join(key, b, "inner", ma, mb).where(self.truth(node[3]))
             missing = key.join(hit.select("_row").distinct(), "_row", "left_anti")
             return hit.unionByName(missing, allowMissingColumns=True).drop("_row"), ma | mb | (set(b.columns) - set(a.columns))
         if kind == "union":
@@ -255,7 +278,7 @@ class Engine:
             test = node[2]
             if test[0] in ("exists", "not exists"):
                 b, mb = self.run(test[1], data)
-                return compatible_join(a, b, "left_semi" if test[0] == "exists" else "left_anti", ma | mb), ma
+                return compatible_join(a, b, "left_semi" if test[0] == "exists" else "left_anti", ma, mb), ma
             if mentions_exists(test):
                 keyed = cut(a.withColumn("_row", F.monotonically_increasing_id()))  # numbered once, for all branches
                 flags: list[str] = []
@@ -266,7 +289,7 @@ class Engine:
                         b, mb = self.run(x[1], data)
                         name = f"_seen{len(flags)}"
                         flags.append(name)
-                        seen = compatible_join(keyed, b, "left_semi", ma | mb).select("_row", F.lit(True).alias(name))
+                        seen = compatible_join(keyed, b, "left_semi", ma, mb).select("_row", F.lit(True).alias(name))
                         flagged = flagged.join(seen, "_row", "left")
                         return ("flag", name) if x[0] == "exists" else ("not", ("flag", name))
                     return (x[0], *(lift(y) if isinstance(y, tuple) else y for y in x[1:])) if x[0] in ("and", "or", "not") else x

@@ -144,8 +144,8 @@ class Emission:
 
     @property
     def opaque(self) -> bool:
-        """Lists and look-ups are left to the mapping itself."""
-        return bool(self.map.lookups) or bool(self.rule and self.rule.split)
+        """Lists, escapes and look-ups are left to the mapping itself."""
+        return bool(self.map.lookups) or bool(self.rule and (self.rule.split or self.rule.escape))
 
     def alone(self) -> TripleMap:
         return replace(self.map, classes=(), rules=(self.rule,) if self.rule else (), joins=(self.join,) if self.join else ())

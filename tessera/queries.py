@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera import terms as T
 from tessera.functions import scalar
@@ -118,6 +119,41 @@ def ontology(spark) -> DataFrame:
     return spark.createDataFrame(rows, T.SCHEMA)
 
 
+CLASS, PROP = EX + "class/", EX + "prop/"
+
+
+def catalogue(table) -> DataFrame:
+    """A schema that the tables make: brands are classes of parts and their types classes below them,
+    the brands form a union by a list; nations are properties of a brand each, below those of regions,
+    of which the first two are labels."""
+    parts, brands = table("part").select("p_brand", "p_type").distinct(), table("part").select("p_brand").distinct()
+    brand, leaf = F.concat(F.lit(CLASS), T.encode(F.col("p_brand"))), F.concat(F.lit(CLASS), T.encode(F.col("p_brand")), F.lit("/"), T.encode(F.col("p_type")))
+    one = table("part").limit(1)
+    tree = plain(parts, leaf, T.SUB_CLASS, brand).union(plain(brands, brand, T.SUB_CLASS, F.lit(O + "Part"))).union(plain(one, F.lit(O + "Part"), T.SUB_CLASS, F.lit(O + "Work")))
+    names = plain(parts, leaf, T.LABEL, F.col("p_type"), "literal").union(plain(brands, brand, T.LABEL, F.col("p_brand"), "literal"))
+    ranked = brands.withColumn("k", F.row_number().over(Window.orderBy("p_brand")))
+    cell = lambda k: F.concat(F.lit("_:cell"), k.cast("string"))
+    follows = ranked.withColumn("next", F.lead("k").over(Window.orderBy("k")))
+    lists = plain(ranked, cell(F.col("k")), T.RDF + "first", brand).union(plain(follows.where("next IS NOT NULL"), cell(F.col("k")), T.RDF + "rest", cell(F.col("next")), "bnode")).union(plain(follows.where("next IS NULL"), cell(F.col("k")), T.RDF + "rest", F.lit(T.RDF + "nil")))
+    union = plain(one, F.lit(O + "offered"), T.DOMAIN, F.lit("_:offers"), "bnode").union(plain(one, F.lit("_:offers"), T.OWL + "unionOf", F.lit("_:cell1"), "bnode"))
+    nations, regions = table("nation"), table("region")
+    prop, above = F.concat(F.lit(PROP), F.col("n_nationkey").cast("string")), lambda c: F.concat(F.lit(PROP + "region/"), F.col(c).cast("string"))
+    kind = F.col("n_nationkey") % 3
+    props = plain(nations, prop, T.DOMAIN, F.concat(F.lit(CLASS + "Brand%23"), (F.col("n_nationkey") + 1).cast("string"))).union(plain(nations, prop, T.SUB_PROPERTY, above("n_regionkey")))
+    props = props.union(plain(nations.where(kind == 0), prop, T.RANGE, F.lit(T.XSD + "string"))).union(plain(nations.where(kind == 1), prop, T.RANGE, F.lit(O + "Type"))).union(plain(nations.where(kind > 0), prop, T.TYPE, F.lit(T.OWL + "ObjectProperty")))
+    props = props.union(plain(regions.where("r_regionkey < 2"), above("r_regionkey"), T.SUB_PROPERTY, F.lit(T.LABEL))).union(plain(regions.where("r_regionkey = 1"), above("r_regionkey"), T.DOMAIN, F.lit(O + "Part")))
+    return tree.union(names).union(lists).union(union).union(props)
+
+
+def plain(df: DataFrame, s, p: str, o, kind: str = "uri") -> DataFrame:
+    """One triple for each row."""
+    return df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+
+
+_B = f"'{CLASS}' || replace(p_brand,'#','%23')"
+_TREE = f"SELECT DISTINCT {_B} || '/' || p_type AS a, {_B} AS b FROM part UNION SELECT {_B}, '{O}Part' FROM part UNION SELECT '{O}Part', '{O}Work' FROM part"
+_BRAND_OF = f"'{CLASS}Brand%23' || (n_nationkey + 1)"
+
 # ------------------------------------------------------------------ patterns and joins
 
 
@@ -209,13 +245,11 @@ def q13_structure_case(spark, table):
 
 # ------------------------------------------------------------------ paths and inference
 
-_SUB = "(VALUES ('Supplier','Person'),('Person','Agent'),('Organisation','Agent'),('Part','Work'),('BigPart','Part'),('Credit','Event'),('Order','Event'))"
-
 
-@query(f"""WITH RECURSIVE e(a,b) AS (SELECT * FROM {_SUB} v), n(x) AS (SELECT a FROM e UNION SELECT b FROM e), r(a,b) AS (SELECT x, x FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b=e.a) SELECT '{O}' || a AS c, '{O}' || b AS d FROM r""")
+@query(f"""WITH RECURSIVE e(a,b) AS ({_TREE}), n(x) AS (SELECT a FROM e UNION SELECT b FROM e), r(a,b) AS (SELECT x, x FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b=e.a) SELECT a AS c, b AS d FROM r""")
 def q14_path_star(spark, table):
-    data = ontology(spark).where(F.col("p") == T.SUB_CLASS)
-    return ask(data, "SELECT DISTINCT ?c ?d WHERE { ?c rdfs:subClassOf* ?d }")
+    """Every class with itself and all above it."""
+    return ask(catalogue(table).where(F.col("p") == T.SUB_CLASS), "SELECT DISTINCT ?c ?d WHERE { ?c rdfs:subClassOf* ?d }")
 
 
 @query("""WITH RECURSIVE e(a,b) AS (SELECT DISTINCT n_nationkey, (n_nationkey*7+3)%25 FROM nation), r(a,b) AS (SELECT a,b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b=e.a) SELECT a::bigint AS a, b::bigint AS b FROM r""")
@@ -224,9 +258,10 @@ def q15_path_plus_cyclic(spark, table):
     return reason.closure(e).select("a", "b")
 
 
-@query(f"""SELECT '{O}' || m AS member FROM (VALUES ('Person'),('Work'),('Organisation')) v(m)""")
+@query(f"SELECT DISTINCT {_B} AS member FROM part")
 def q16_union_list_walk(spark, table):
-    return ask(ontology(spark), "SELECT DISTINCT ?member WHERE { o:name rdfs:domain ?d . ?d owl:unionOf/rdf:rest*/rdf:first ?member }")
+    """The members of a union, along its list."""
+    return ask(catalogue(table), "SELECT DISTINCT ?member WHERE { o:offered rdfs:domain ?d . ?d owl:unionOf/rdf:rest*/rdf:first ?member }")
 
 
 @query(f"""SELECT '{O}' || c AS class, count(DISTINCT s) AS n FROM (SELECT s_suppkey AS s, c FROM supplier, (VALUES ('Person'),('Agent')) v(c) WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem) UNION ALL SELECT s_suppkey, c FROM supplier, (VALUES ('Person'),('Agent'),('Supplier'),('_')) v(c) WHERE c<>'_' AND s_suppkey IN (SELECT l_suppkey FROM lineitem)) GROUP BY c""")
@@ -331,14 +366,17 @@ def q31_card(spark, table):
     return out.select("prop", "is_object", F.array_join("vals", "; ").alias("shown"))
 
 
-@query(f"""SELECT '{O}' || p AS prop, r AS range, o AS is_object FROM (VALUES ('brand','{O}Brand',true),('type','{O}Type',true),('size','{T.XSD}integer',false),('title','{T.XSD}string',false),('name','{T.XSD}string',false)) v(p,r,o)""")
+@query(f"""SELECT '{PROP}' || n_nationkey AS prop, CASE n_nationkey % 3 WHEN 0 THEN '{T.XSD}string' WHEN 1 THEN '{O}Type' END AS range, n_nationkey % 3 > 0 AS is_object FROM nation WHERE {_BRAND_OF} IN (SELECT {_B} FROM part)
+UNION ALL SELECT '{PROP}region/1', NULL, false FROM region WHERE r_regionkey = 1 UNION ALL SELECT '{O}offered', NULL, false FROM (SELECT 1 FROM part LIMIT 1)""")
 def q32_discover_properties(spark, table):
-    return facets.properties(ontology(spark), O + "Part")
+    """Properties of parts, of the classes above and below them, and of a union with such a member."""
+    return facets.properties(catalogue(table), O + "Part")
 
 
-@query(f"""SELECT * FROM (VALUES ('{O}name',1),('{O}title',2),('{T.LABEL}',1048576)) v(prop, depth)""")
+@query(f"""SELECT '{PROP}' || n_nationkey AS prop, 2 AS depth FROM nation WHERE n_regionkey < 2 AND {_BRAND_OF} IN (SELECT {_B} FROM part) UNION ALL SELECT '{PROP}region/1', 1 FROM region WHERE r_regionkey = 1 UNION ALL SELECT '{T.LABEL}', 1048576 FROM (SELECT 1 FROM part LIMIT 1)""")
 def q33_label_props(spark, table):
-    return facets.label_properties(ontology(spark), O + "Part")
+    """Properties of parts below rdfs:label, by their distance."""
+    return facets.label_properties(catalogue(table), O + "Part")
 
 
 @query(f"SELECT '{EX}region/' || r_regionkey AS value, r_name AS label FROM region")
@@ -456,11 +494,12 @@ def q48_coverage_report(spark, table):
     return prepare.coverage_report({"orders": (table("customer").select(text("c_custkey")), table("orders").select(text("o_custkey")), "k", []), "nations": (table("supplier").select(text("s_nationkey")), table("nation").where("n_regionkey > 1").select(text("n_nationkey")), "k", ["3"])})
 
 
-@query("SELECT true AS equal")
+@query("SELECT count(*) AS rows, count(*) = (SELECT count(*) FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation)) AS equal FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def q49_set_equality_oracle_check(spark, table):
     """Two strategies give the same rows: a declared join and a bind join."""
     s, n = table("supplier").select("s_name", F.col("s_nationkey").alias("k")), table("nation").select("n_name", F.col("n_nationkey").alias("k"))
-    return prepare.same_rows(s.join(n, "k").select("s_name", "n_name"), federation.bind_join(s, n, "k").select("s_name", "n_name"))
+    bound = federation.bind_join(s, n, "k").select("s_name", "n_name")
+    return prepare.same_rows(s.join(n, "k").select("s_name", "n_name"), bound).crossJoin(bound.agg(F.count("*").alias("rows"))).select("rows", "equal")
 
 
 @query(f"""SELECT 'bridge' AS part, count(*) AS n FROM supplier UNION ALL SELECT 'rest', count(n_nationkey) + count(n_name) + count(DISTINCT n_nationkey) FROM nation""")
@@ -470,14 +509,15 @@ def q50_graph_split(spark, table):
     return touch.where(F.col("p") == O + "name").agg(F.lit("bridge").alias("part"), F.count("*").alias("n")).unionByName(rest.agg(F.lit("rest").alias("part"), F.count("*").alias("n")))
 
 
-@query("SELECT count(*)*6 AS written, count(*)*6 AS reread FROM part")
+@query(f"""SELECT p, count(*) AS n, sum(length(o))::bigint AS chars FROM (SELECT '{T.LABEL}' AS p, p_name AS o FROM part UNION ALL SELECT '{O}brand', '{EX}brand/' || replace(p_brand,'#','%23') FROM part UNION ALL SELECT '{O}type', '{EX}type/' || p_type FROM part
+UNION ALL SELECT '{O}size', p_size::varchar FROM part UNION ALL SELECT '{O}big', CASE WHEN p_size > 25 THEN '1' ELSE 'false' END FROM part UNION ALL SELECT '{T.TYPE}', '{O}Part' FROM part) GROUP BY p""")
 def q51_ntriples_round_trip(spark, table):
+    """Triples written as text, read back and loaded beside the original: nothing is new, nothing changed."""
     g = graph(table, "part")
-    back = parse_ntriples(format_ntriples(g))
     cat = Catalog()
     cat.load("a", g)
-    cat.load("a", back)
-    return g.agg(F.count("*").alias("written")).crossJoin(cat["a"].agg(F.count("*").alias("reread")))
+    cat.load("a", parse_ntriples(format_ntriples(g)))
+    return cat["a"].groupBy("p").agg(F.count("*").alias("n"), F.sum(F.length("o")).alias("chars"))
 
 
 @query('SELECT column_name AS "column", n FROM (SELECT count(*) FILTER (o_orderstatus = \'F\') AS o_orderstatus, 0::bigint AS o_orderpriority FROM orders) UNPIVOT (n FOR column_name IN (o_orderstatus, o_orderpriority))')
@@ -486,9 +526,9 @@ def q52_null_counts(spark, table):
     return prepare.null_counts(df)
 
 
-@query(f"""SELECT '{O}' || c AS iri, c AS label FROM (VALUES ('Work'),('Part'),('BigPart')) v(c)""")
+@query(f"SELECT DISTINCT {_B} || '/' || p_type AS iri, p_type AS label FROM part UNION SELECT {_B}, p_brand FROM part UNION SELECT '{O}Part', 'Part' FROM part")
 def q53_discover_classes(spark, table):
-    return facets.classes(ontology(spark), O + "Work")
+    return facets.classes(catalogue(table), O + "Part")
 
 
 @query("SELECT count(*) > 0 AS answer FROM region")
@@ -496,7 +536,7 @@ def q54_ask(spark, table):
     return ask(virtual(table, "region"), "ASK { ?x a o:Region }")
 
 
-@query("SELECT count(DISTINCT l_suppkey) AS n, min(l_linenumber)::bigint AS low, max(l_linenumber)::bigint AS high FROM lineitem")
+@query("SELECT count(DISTINCT l_suppkey) AS n, min(l_linenumber)::varchar AS low, max(l_linenumber)::varchar AS high FROM lineitem")
 def q55_aggregates(spark, table):
     return ask(virtual(table, "credit"), "SELECT (COUNT(DISTINCT ?p) AS ?n) (MIN(?o) AS ?low) (MAX(?o) AS ?high) WHERE { ?c o:by ?p ; o:order ?o }")
 
@@ -525,11 +565,6 @@ def q58_canonicalise(spark, table):
 # ------------------------------------------------------------------ vocabularies, limits, curation
 
 
-def plain(df: DataFrame, s, p: str, o, kind: str = "uri") -> DataFrame:
-    """One triple for each row."""
-    return df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
-
-
 @query("SELECT 'http://example.org/onto#' || r AS range, count(b) > 0 AS is_vocabulary FROM (VALUES ('Brand'), ('Type')) v(r) LEFT JOIN (SELECT DISTINCT 'Brand' AS k, p_brand AS b FROM part) ON k = r GROUP BY r")
 def q59_vocabularies(spark, table):
     """Brands are named individuals of their class, types are not."""
@@ -563,9 +598,81 @@ def q62_curated(spark, table):
     return prepare.curated(prepare.kept(marked), "p_brand", ["Brand#13", "Brand#24", "Brand#31"]).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
 
-@query("SELECT prop, domain FROM (VALUES ('size', 'Part'), ('size', 'Thing0'), ('big', 'Part'), ('big', 'Thing0'), ('sub', 'Part'), ('sub', 'Thing0')) v(prop, domain)")
+@query(f"""WITH p AS (SELECT '{PROP}' || n_nationkey AS prop, {_BRAND_OF} AS brand FROM nation), known AS (SELECT DISTINCT {_B} AS brand FROM part)
+SELECT prop, brand AS domain FROM p UNION SELECT prop, '{O}Part' FROM p WHERE brand IN (SELECT brand FROM known) UNION SELECT prop, '{O}Work' FROM p WHERE brand IN (SELECT brand FROM known)
+UNION SELECT '{PROP}region/1', d FROM region, (VALUES ('{O}Part'), ('{O}Work')) v(d) WHERE r_regionkey = 1 UNION SELECT '{PROP}' || n_nationkey, d FROM nation, (VALUES ('{O}Part'), ('{O}Work')) v(d) WHERE n_regionkey = 1 UNION SELECT '{O}offered', '_:offers' FROM part""")
 def q63_lifted_domains(spark, table):
     """Domains of a property hold for its sub-properties, and their super-classes are domains too."""
-    rows = [("size", T.DOMAIN, "Part"), ("big", T.DOMAIN, "Part"), ("sub", T.SUB_PROPERTY, "size"), ("Part", T.SUB_CLASS, "Thing0")]
-    schema = spark.createDataFrame([(*r, "uri", "", "") for r in rows], "s string, p string, o string, o_kind string, o_dt string, o_lang string")
-    return reason.lifted_schema(schema).where(F.col("p") == T.DOMAIN).select(F.col("s").alias("prop"), F.col("o").alias("domain"))
+    return reason.lifted_schema(catalogue(table)).where(F.col("p") == T.DOMAIN).select(F.col("s").alias("prop"), F.col("o").alias("domain"))
+
+
+# ------------------------------------------------------------------ equality, seeded paths, strategies
+
+_SAME = """e AS (SELECT 'customer/' || c_custkey AS a, 'supplier/' || s_suppkey AS b FROM customer JOIN supplier ON c_custkey = s_suppkey UNION SELECT 'supplier/' || x.s_suppkey, 'supplier/' || y.s_suppkey FROM supplier x JOIN supplier y ON y.s_suppkey = x.s_suppkey + 1 AND x.s_nationkey % 3 = y.s_nationkey % 3),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)"""
+
+
+def _same_people(table) -> DataFrame:
+    """Same-as links: a customer and a supplier of one number, and suppliers in a row of like nations."""
+    c, s = table("customer"), table("supplier")
+    name = lambda kind, col: F.concat(F.lit(f"{EX}{kind}/"), F.col(col).cast("string"))
+    after = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_suppkey").alias("next"), F.col("s_nationkey").alias("nation"))
+    return plain(c.join(s, F.col("c_custkey") == F.col("s_suppkey")), name("customer", "c_custkey"), T.SAME_AS, name("supplier", "s_suppkey")).union(plain(s.join(after, "s_suppkey").where("s_nationkey % 3 = nation % 3"), name("supplier", "s_suppkey"), T.SAME_AS, name("supplier", "next")))
+
+
+@query(f"""WITH RECURSIVE {_SAME} SELECT '{EX}' || r.a AS s, count(*) AS n FROM r JOIN orders ON r.b = 'customer/' || o_custkey WHERE r.a LIKE 'supplier%' GROUP BY 1""")
+def q64_equality_inference(spark, table):
+    """Orders that suppliers placed under any of their names: facts of one name are answered for the others."""
+    bought = spark.createDataFrame([(O + "buyer", T.INVERSE, O + "bought", "uri", "", "")], T.SCHEMA)
+    closed = reason.close(graph(table, "purchase").where(F.col("p") == O + "buyer").unionByName(_same_people(table)), bought)
+    asked = table("supplier").select(F.concat(F.lit(EX + "supplier/"), F.col("s_suppkey").cast("string")).alias("name"))
+    return closed.about(asked).where(F.col("p") == O + "bought").groupBy("s").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_SAME}, c AS (SELECT a, min('{EX}' || b) AS canonical FROM r GROUP BY a)
+SELECT 'different' AS rule, least('{EX}supplier/' || s_suppkey, '{EX}supplier/' || (s_suppkey + 2)) AS s, greatest('{EX}supplier/' || s_suppkey, '{EX}supplier/' || (s_suppkey + 2)) AS detail FROM supplier JOIN r ON r.a = 'supplier/' || s_suppkey AND r.b = 'supplier/' || (s_suppkey + 2)
+UNION SELECT 'disjoint', canonical, '{O}Vendor {O}Household' FROM c JOIN customer ON c.a = 'customer/' || c_custkey WHERE c_mktsegment = 'HOUSEHOLD'""")
+def q65_equality_violations(spark, table):
+    """Names said to differ that a chain of links makes one, and things of two disjoint classes under two names."""
+    name = lambda kind, c: F.concat(F.lit(f"{EX}{kind}/"), c.cast("string"))
+    s, c = table("supplier"), table("customer").where("c_mktsegment = 'HOUSEHOLD'")
+    data = _same_people(table).union(plain(s, name("supplier", F.col("s_suppkey")), T.OWL + "differentFrom", name("supplier", F.col("s_suppkey") + 2)))
+    data = data.union(plain(s, name("supplier", F.col("s_suppkey")), T.TYPE, F.lit(O + "Vendor"))).union(plain(c, name("customer", F.col("c_custkey")), T.TYPE, F.lit(O + "Household")))
+    return reason.violations(data, spark.createDataFrame([(O + "Vendor", T.DISJOINT, O + "Household", "uri", "", "")], T.SCHEMA))
+
+
+LIVES = TripleMap("lives", "customer", EX + "customer/{c_custkey}", rules=(Rule(O + "partOf", iri=EX + "nation/{c_nationkey}"),), key=("c_custkey",))
+
+
+def _places(table) -> MappedGraph:
+    """Customers within nations within regions."""
+    base = virtual(table, "nation", "region", "purchase")
+    return MappedGraph([*base.maps, LIVES], base.sources | {"customer": table("customer")}, MAPS)
+
+
+@query(f"SELECT '{EX}customer/' || c_custkey AS x FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 UNION SELECT '{EX}nation/' || n_nationkey FROM nation WHERE n_regionkey = 2 UNION SELECT '{EX}region/2'")
+def q66_path_from_constant(spark, table):
+    """All that lies within one region, walked from that region alone."""
+    return ask(_places(table), f"SELECT ?x WHERE {{ ?x o:partOf* <{EX}region/2> }}")
+
+
+@query("SELECT r_name AS region, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE year(o_orderdate) = 1996 GROUP BY r_name")
+def q67_path_from_solutions(spark, table):
+    """Orders of a year by region: the path starts from those orders' buyers."""
+    return ask(_places(table), 'SELECT ?region (COUNT(?x) AS ?orders) WHERE { ?x o:year "1996"^^xsd:gYear ; o:buyer ?c . ?c o:partOf+ ?r . ?r a o:Region ; rdfs:label ?region } GROUP BY ?region')
+
+
+@query("SELECT strategy, CASE WHEN strategy = 'blind' THEN 0 ELSE n END AS rows, strategy <> 'blind' OR n = 0 AS equal FROM (SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) l JOIN part ON l_partkey = p_partkey), (VALUES ('single'), ('naive'), ('optimised'), ('nested'), ('blind')) v(strategy)")
+def q68_strategies(spark, table):
+    """One question over two datasets under five strategies, each counted and hashed where its rows are."""
+    credits, parts = virtual(table, "credit"), virtual(table, "part")
+    both = MappedGraph([*credits.maps, *parts.maps], credits.sources | parts.sources, MAPS)
+    sets = {"": both, EX + "credits": credits, EX + "parts": parts}
+    what = "?c o:involves ?w . ?w rdfs:label ?name"
+    in_ = lambda name, text: ask({"": sets[EX + name]}, text)
+    inside = lambda text: ask(sets | {"": credits}, f"SELECT ?c ?w ?name WHERE {{ {text} }}")
+    found = federation.run(federation.strategies(
+        in_("credits", "SELECT ?c ?w WHERE { ?c o:involves ?w }"), in_("parts", "SELECT ?w ?name WHERE { ?w rdfs:label ?name }"), "w",
+        single=lambda: ask({"": both}, f"SELECT ?c ?w ?name WHERE {{ {what} }}"), nested=lambda: inside(f"?c o:involves ?w . SERVICE <{EX}parts> {{ ?w rdfs:label ?name }}"), blind=lambda: inside(what),
+    ), "single", spark)
+    return federation.table(spark, found).select("strategy", "rows", "equal")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.terms import RDF, SCHEMA, TRIPLE, XSD
@@ -24,14 +24,25 @@ def write_csv(df: DataFrame, path: str) -> None:
 AUTHOR_JSON = "name string, personal_name string, birth_date string, death_date string, remote_ids map<string,string>, alternate_names array<string>"
 
 
-def read_dump(spark: SparkSession, path: str, kind: str = "/type/author", schema: str = AUTHOR_JSON) -> DataFrame:
+def read_dump(spark: SparkSession, path: str, kind: str = "/type/author", schema: str = AUTHOR_JSON, needs: str = "", counters: Observation | None = None, measures: dict[str, Column] | None = None) -> DataFrame:
     """Records of one kind from a dump of lines type, key, revision, modified, JSON.
 
     Short lines and malformed JSON are skipped. gzip can't be split, so rows are dealt out anew.
+
+    needs: a text that a record's JSON has to contain, such as a key of an external id; it is looked for
+    in the raw text, so other records are neither moved nor parsed. counters: filled, when the records
+    are used, with what the whole dump holds: lines, records (of the kind), needed (of these, with the
+    text), and measures: aggregates over raw, the JSON of every record of the kind (else null). The dump
+    is read once for all of them.
     """
     part = F.split("value", "\t", 5)
-    lines = spark.read.text(path).select(part.alias("f")).where((F.size("f") == 5) & (F.get("f", F.lit(0)) == kind))
-    rows = lines.repartition(spark.sparkContext.defaultParallelism).select(F.get("f", F.lit(1)).alias("key"), F.from_json(F.get("f", F.lit(4)), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
+    lines = spark.read.text(path).select(part.alias("f"))
+    is_record = (F.size("f") == 5) & (F.get("f", F.lit(0)) == kind)
+    lines = lines.select(F.get("f", F.lit(1)).alias("key"), F.when(is_record, F.get("f", F.lit(4))).alias("raw"))
+    wanted = F.coalesce(F.contains("raw", F.lit(needs)), F.lit(False))
+    if counters is not None:
+        lines = lines.observe(counters, F.count(F.lit(1)).alias("lines"), F.count("raw").alias("records"), F.count_if(wanted).alias("needed"), *(c.alias(n) for n, c in (measures or {}).items()))
+    rows = lines.where(wanted).repartition(spark.sparkContext.defaultParallelism).select("key", F.from_json("raw", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
     return rows.where("j IS NOT NULL AND j._bad IS NULL").select("key", "j.*").drop("_bad")
 
 
@@ -58,15 +69,30 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_ntriples(spark.read.text(path)).distinct()
 
 
-def format_ntriples(triples: DataFrame) -> DataFrame:
-    """One column, value: N-Triples lines."""
+def _statement() -> Column:
+    """Subject, predicate and object of a triple as N-Triples writes them."""
     node = lambda c: F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
     text = F.col("o")
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         text = F.replace(text, F.lit(a), F.lit(b))
     literal = F.concat(F.lit('"'), text, F.lit('"'), F.when(F.col("o_lang") != "", F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt") != "", F.concat(F.lit("^^<"), "o_dt", F.lit(">"))).otherwise(""))
-    obj = F.when(F.col("o_kind") == "literal", literal).otherwise(node(F.col("o")))
-    return triples.select(F.concat_ws(" ", node(F.col("s")), node(F.col("p")), obj, F.lit(".")).alias("value"))
+    return F.concat_ws(" ", node(F.col("s")), node(F.col("p")), F.when(F.col("o_kind") == "literal", literal).otherwise(node(F.col("o"))))
+
+
+def format_ntriples(triples: DataFrame) -> DataFrame:
+    """One column, value: N-Triples lines."""
+    return triples.select(F.concat_ws(" ", _statement(), F.lit(".")).alias("value"))
+
+
+def format_nquads(quads: DataFrame, graph: str = "graph") -> DataFrame:
+    """N-Quads lines of triples with a column of graph IRIs; a null or empty one is the default graph."""
+    name = F.when(F.coalesce(F.col(graph), F.lit("")) != "", F.concat(F.lit("<"), F.col(graph), F.lit(">")))
+    return quads.select(F.concat_ws(" ", _statement(), name, F.lit(".")).alias("value"))
+
+
+def write_nquads(quads: DataFrame, path: str, graph: str = "graph") -> None:
+    """Distinct lines as text."""
+    format_nquads(quads, graph).distinct().write.mode("overwrite").text(path)
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ compared column by column. Look-ups in a file become left joins. Anything else i
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from tessera.operators.mapping import Join, Lookup, Rule, TripleMap
 from tessera.terms import TYPE
@@ -46,7 +47,9 @@ class _Reader:
         out = {}
         for p in call.get("parameters") or []:
             name, value = (p["parameter"], p["value"]) if isinstance(p, dict) else p
-            out[name.rpartition(":")[2]] = self.call(value) if isinstance(value, dict) else joined(str(value))
+            sql = [self.call(v) if isinstance(v, dict) else joined(str(v)) for v in (value if isinstance(value, list) else [value])]
+            key = name.rpartition(":")[2]
+            out |= {key if len(sql) == 1 else f"{key}{k}": v for k, v in enumerate(sql)}
         return out
 
     def call(self, call: dict) -> str:
@@ -57,6 +60,10 @@ class _Reader:
             return f"coalesce({args[0]}, '') {'=' if name == 'equal' else '<>'} coalesce({args[1]}, '')"
         if name == "isNull":
             return f"coalesce({args[0]}, '') = ''"
+        if name in ("boolean_and", "boolean_or"):
+            return f" {name[8:].upper()} ".join(f"({a})" for a in args)
+        if name == "boolean_not":
+            return f"NOT ({args[0]})"
         if name == "controls_if":
             return f"if({given['bool_b']}, {given['any_true']}, {given.get('any_false', 'null')})"
         if name == "string_substring":
@@ -79,7 +86,10 @@ class _Reader:
         when = self.call(extra["condition"]) if extra.get("condition") else None
         more = {"when": when, "datatype": self.iri(extra.get("datatype", "")), "lang": extra.get("language", "")}
         is_iri = extra.get("type") == "iri"
-        if isinstance(o, dict) and o.get("function", "").rpartition(":")[2] == "string_split":
+        name = o.get("function", "").rpartition(":")[2] if isinstance(o, dict) else ""
+        if name == "escape":
+            return self.escaped(predicate, o, is_iri, more)
+        if name == "string_split":
             value, separator = list(self.parameters(o).values())
             return Rule(predicate, sql=value, split=re.escape(separator.strip("'")), as_iri=is_iri, **more)
         if isinstance(o, dict) and "function" in o:
@@ -92,6 +102,15 @@ class _Reader:
             return Rule(predicate, iri=_PLACE.sub(r"{\1}", self.iri(text)), **more)
         return Rule(predicate, sql=joined(text), **more)
 
+    def escaped(self, predicate: str, o: dict, is_iri: bool, more: dict) -> Rule:
+        """escape() of a value, or of each piece of a split one."""
+        given = {(p["parameter"] if isinstance(p, dict) else p[0]).rpartition(":")[2]: p["value"] if isinstance(p, dict) else p[1] for p in o["parameters"]}
+        value, mode = given["valueParameter"], given.get("modeParameter", "url")
+        if mode != "url":
+            raise ValueError(f"unknown mode of escape: {mode}")
+        inner = self.rule(predicate, value, {}) if isinstance(value, dict) else Rule(predicate, sql=joined(str(value)))
+        return replace(inner, escape=True, as_iri=is_iri, **more)
+
     def join(self, predicate: str, o: dict) -> Join:
         on = []
         conditions = o.get("condition") or []
