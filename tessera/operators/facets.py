@@ -171,6 +171,47 @@ def counts(triples: DataFrame, state: State, props: list[str], label_props: list
     return values.join(base, "work").where(F.col("mask").bitwiseOR(own) == full).groupBy("prop", "value").agg(F.count("*").alias("n"))
 
 
+class Results:
+    """Facet results of a catalogue's dataset, kept by what they depend on.
+
+    Counts and total of a state are made in one pass, written, and used again for every state of the
+    same fingerprint, so for another page of it; a change of the dataset drops them. At most ``most``
+    states are kept, the latest used.
+    """
+
+    def __init__(self, catalog, dataset: str, props: list[str], label_props: list[str], most: int = 200):
+        self.catalog, self.dataset, self.props, self.label_props, self.most = catalog, dataset, props, label_props, most
+        self._kept: dict = {}
+        self._version = None
+
+    def _found(self, state: State) -> DataFrame:
+        """prop, value, n; the total of works is that of the empty prop."""
+        if self._version != self.catalog.version(self.dataset):
+            self._kept.clear()
+            self._version = self.catalog.version(self.dataset)
+        key = state.fingerprint()
+        found = self._kept.pop(key, None)
+        if found is None:
+            triples = self.catalog[self.dataset]
+            works = cut(instances(triples, state.root))
+            # a work's total is a value of a property that every work has and no facet restricts
+            every = works.select(F.col("work").alias("s"), F.lit("").alias("p"), F.lit("").alias("o"), F.lit("literal").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+            found = cut(counts(triples.unionByName(every), state, [*self.props, ""], self.label_props, works))
+        self._kept[key] = found
+        while len(self._kept) > self.most:
+            self._kept.pop(next(iter(self._kept)))
+        return found
+
+    def counts(self, state: State) -> DataFrame:
+        return self._found(state).where("prop <> ''")
+
+    def total(self, state: State) -> DataFrame:
+        return self._found(state).where("prop = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).withColumn("capped", F.col("total") > CAP)
+
+    def page(self, state: State) -> DataFrame:
+        return page(self.catalog[self.dataset], state, self.label_props)
+
+
 def counts_with_zero(values: DataFrame, counted: DataFrame) -> DataFrame:
     """All values (prop, value, label) with n, 0 where nothing is left; by count, then label."""
     return values.join(counted, ["prop", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).orderBy("prop", F.desc("n"), "label")

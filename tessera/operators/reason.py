@@ -18,7 +18,7 @@ from tessera import terms as T
 from tessera.operators import identity
 from tessera.operators.identity import canonicalise, components
 
-__all__ = ["Closed", "canonicalise", "close", "closure", "components", "cut", "edges_of", "infer", "lifted_schema", "list_members", "over_maximum", "reach", "same_as_components", "schema_closure", "turned", "violations"]
+__all__ = ["Closed", "canonicalise", "close", "closure", "components", "cut", "edges_of", "extend", "infer", "lifted_schema", "list_members", "over_maximum", "reach", "same_as_components", "schema_closure", "turned", "violations"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,8 +57,12 @@ def closure(edges: DataFrame, reflexive: DataFrame | None = None) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(a, b, depth): what the seeds (id) reach along edges (a, b), themselves in no step included.
 
-    Semi-naive from the seeds: what no seed reaches is never joined.
+    Semi-naive from the seeds: what no seed reaches is never joined. A few edges and seeds are walked on
+    the driver, so that a long chain takes no job for each of its links.
     """
+    found = _reach_by_hand(edges, seeds)
+    if found is not None:
+        return found
     edges = cut(edges.select("a", "b").distinct())
     front = known = cut(seeds.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct().withColumn("depth", F.lit(0)))
     depth = 0
@@ -71,6 +75,25 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         known = known.unionByName(front)
 
 
+def _reach_by_hand(edges: DataFrame, seeds: DataFrame) -> DataFrame | None:
+    few = [df.limit(BROADCAST_ROWS + 1) for df in (edges.select("a", "b"), seeds.select("id"))]
+    if any(df.count() > BROADCAST_ROWS for df in few):
+        return None
+    next_: dict = {}
+    for a, b in few[0].collect():
+        next_.setdefault(a, set()).add(b)
+    rows: list = []
+    for a in {r.id for r in few[1].collect()}:
+        depth, seen, front = 0, {a}, [a]
+        while front and len(rows) <= LOCAL_PAIRS:
+            rows += [(a, b, depth) for b in front]
+            depth, front = depth + 1, [b for x in front for b in next_.get(x, ()) if b not in seen and not seen.add(b)]
+    if len(rows) > LOCAL_PAIRS:
+        return None
+    a, b, depth = zip(*rows, strict=True) if rows else ((), (), ())
+    return edges.sparkSession.createDataFrame(pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "depth": pa.array(depth, pa.int32())}))
+
+
 def turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
@@ -221,6 +244,7 @@ class Closed:
 
     triples: DataFrame
     canonical: DataFrame | None = None
+    schema: DataFrame | None = None  # under canonical names
 
     def export(self) -> DataFrame:
         """Every fact under every name."""
@@ -238,6 +262,38 @@ def infer(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Da
     return close(data, schema, include_thing).export()
 
 
+def _spread(x: DataFrame, rules: Rules) -> DataFrame:
+    """Each triple once for every property that it holds for; no literal becomes a subject."""
+    met = x.select(*T.TRIPLE).join(rules.implied, "p", "left").where("coalesce(_turned, '') = '' OR o_kind <> 'literal'")
+    turn = lambda a, b: F.when(F.col("_turned") == "turned", b).otherwise(F.col(a)).alias(a)
+    return met.select(turn("s", F.col("o")), F.coalesce("_q", "p").alias("p"), turn("o", F.col("s")), turn("o_kind", F.lit("uri")), turn("o_dt", F.lit("")), turn("o_lang", F.lit("")))
+
+
+def _typed(out: DataFrame, rules: Rules, include_thing: bool) -> DataFrame:
+    """Triples with the classes that they give their ends, and those above the classes they state."""
+    place, super_ = F.coalesce("_place", F.lit("")), F.coalesce("_super", F.lit(""))
+    met = out.join(rules.says, "p", "left").where("coalesce(_place, '') <> 'o' OR o_kind <> 'literal'")
+    met = met.withColumn("_k", F.when((place == "") & (F.col("p") == T.TYPE), F.col("o"))).join(rules.above, "_k", "left")
+    kind = F.when(super_ != "", super_).when(place != "", F.col("_class"))  # the class of a triple that is made
+    keep = lambda c, new: F.when(kind.isNotNull(), F.lit(new)).otherwise(F.col(c)).alias(c)
+    made = met.select(F.when(place == "o", F.col("o")).otherwise(F.col("s")).alias("s"), keep("p", T.TYPE), F.coalesce(kind, "o").alias("o"), keep("o_kind", "uri"), keep("o_dt", ""), keep("o_lang", ""))
+    if include_thing:
+        made = made.unionByName(_pairs(out.select(F.col("s").alias("a"), F.lit(T.THING).alias("b")), T.TYPE))
+    return made.distinct()
+
+
+def _pairs(pairs: DataFrame, p: str) -> DataFrame:
+    """Triples of a property from (a, b)."""
+    return pairs.select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+
+
+def _ruled(schema: DataFrame, facts: DataFrame, canonical: DataFrame) -> bool:
+    """Is a name that was replaced one of a class or property?"""
+    named = canonical.where("id <> canonical").select("id")
+    used = schema.select(F.explode(F.array("s", "p", "o")).alias("id")).union(facts.select(F.col("p").alias("id"))).distinct()
+    return not used.join(named, "id", "left_semi").isEmpty()
+
+
 def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Closed:
     """data and all that follows: sub-properties, inverses, transitive properties, domains and ranges,
     super-classes, members of a named union of classes, and what holds of one name of a thing holds of
@@ -247,13 +303,6 @@ def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Cl
     links merge components: facts move to the representative, and only facts that a merge or a transitive
     property makes go through the rules again.
     """
-
-    def spread(x):
-        """Each triple once for every property that it holds for; no literal becomes a subject."""
-        met = x.select(*T.TRIPLE).join(rules.implied, "p", "left").where("coalesce(_turned, '') = '' OR o_kind <> 'literal'")
-        turn = lambda a, b: F.when(F.col("_turned") == "turned", b).otherwise(F.col(a)).alias(a)
-        return met.select(turn("s", F.col("o")), F.coalesce("_q", "p").alias("p"), turn("o", F.col("s")), turn("o_kind", F.lit("uri")), turn("o_dt", F.lit("")), turn("o_lang", F.lit("")))
-
     schema = held(schema)
     canonical = None
     stated = edges_of(schema, T.SAME_AS).where("a <> b")
@@ -262,7 +311,7 @@ def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Cl
         schema = held(cut(identity.canonicalise(schema, canonical, predicates=True)))
         data = identity.canonicalise(data, canonical, predicates=True)
     rules = rules_of(schema)
-    out = spread(data)
+    out = _spread(data, rules)
     # what takes rounds is written first; data without any such fact goes straight on
     rounds = not out.where(F.col("p").isin(T.SAME_AS, *rules.transitive)).isEmpty()
     out = cut(out) if rounds else out
@@ -270,35 +319,70 @@ def close(data: DataFrame, schema: DataFrame, include_thing: bool = False) -> Cl
         links = edges_of(out, T.SAME_AS).where("a <> b")
         if not links.isEmpty():
             canonical = identity.merge(canonical, links)
-            named = canonical.where("id <> canonical").select("id")
             # equal classes or properties are those of the schema, too, and their facts have to be met anew
-            ruled = schema.select(F.explode(F.array("s", "p", "o")).alias("id")).union(out.select(F.col("p").alias("id"))).distinct()
-            anew = not ruled.join(named, "id", "left_semi").isEmpty()
+            anew = _ruled(schema, out, canonical)
             out = identity.canonicalise(out, canonical, predicates=anew)
             if anew:
                 schema = held(cut(identity.canonicalise(schema, canonical, predicates=True)))
                 rules = rules_of(schema)
-                out = spread(out)
+                out = _spread(out, rules)
             out = cut(out.where((F.col("p") != T.SAME_AS) | (F.col("s") != F.col("o"))))
             continue
         edges = {p: edges_of(out, p) for p in rules.transitive}
-        far = [closure(e).select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")) for p, e in edges.items() if not e.isEmpty()]
+        far = [_pairs(closure(e), p) for p, e in edges.items() if not e.isEmpty()]
         if not far:
             break
         new = cut(functools.reduce(DataFrame.unionByName, far).join(out, ["s", "p", "o"], "left_anti").select(*T.TRIPLE))
         if new.isEmpty():
             break
-        out = out.unionByName(cut(spread(new)))
-    place, super_ = F.coalesce("_place", F.lit("")), F.coalesce("_super", F.lit(""))
-    met = out.join(rules.says, "p", "left").where("coalesce(_place, '') <> 'o' OR o_kind <> 'literal'")
-    met = met.withColumn("_k", F.when((place == "") & (F.col("p") == T.TYPE), F.col("o"))).join(rules.above, "_k", "left")
-    kind = F.when(super_ != "", super_).when(place != "", F.col("_class"))  # the class of a triple that is made
-    keep = lambda c, new: F.when(kind.isNotNull(), F.lit(new)).otherwise(F.col(c)).alias(c)
-    made = met.select(F.when(place == "o", F.col("o")).otherwise(F.col("s")).alias("s"), keep("p", T.TYPE), F.coalesce(kind, "o").alias("o"), keep("o_kind", "uri"), keep("o_dt", ""), keep("o_lang", ""))
-    if include_thing:
-        made = made.unionByName(out.select("s", F.lit(T.TYPE).alias("p"), F.lit(T.THING).alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
-    made = made.distinct()
-    return Closed(made, canonical)
+        out = out.unionByName(cut(_spread(new, rules)))
+    return Closed(_typed(out, rules, include_thing), canonical, schema)
+
+
+def _without(rows: DataFrame, known: DataFrame) -> DataFrame:
+    return rows.select(*T.TRIPLE).distinct().join(known, T.TRIPLE, "left_anti").select(*T.TRIPLE)
+
+
+def extend(closed: Closed, more: DataFrame, schema: DataFrame, include_thing: bool = False) -> Closed:
+    """The closure of what was closed with more facts, from the new facts alone.
+
+    Rules meet only what is new; a transitive property joins new links with known ones; a same-as link
+    moves the facts of the names that it merges. If a merged name is one of a class or property, all is
+    closed again.
+    """
+    whole = lambda: close(closed.export().unionByName(more.select(*T.TRIPLE)), schema, include_thing)
+    canonical, base, rules = closed.canonical, closed.triples, rules_of(closed.schema)
+    fresh = more if canonical is None else identity.canonicalise(more, canonical, predicates=True)
+    delta = cut(_without(_spread(fresh, rules), base))
+    while True:
+        links = edges_of(delta, T.SAME_AS).where("a <> b")
+        if not links.isEmpty():
+            moved = identity.merge(None, links)  # of representatives
+            if _ruled(closed.schema, base.unionByName(delta), moved):
+                return whole()
+            canonical = identity.merge(canonical, links)
+            names = moved.where("id <> canonical").select("id")
+            of = lambda c: F.col(c) == F.col("id")
+            touched = cut(base.join(names, of("s"), "left_semi").unionByName(base.join(names, of("o") & (F.col("o_kind") != "literal"), "left_semi")).distinct())
+            base = cut(_without(base, touched))
+            renamed = identity.canonicalise(delta.unionByName(touched), moved)
+            delta = cut(_without(renamed.where((F.col("p") != T.SAME_AS) | (F.col("s") != F.col("o"))), base))
+            continue
+        found = []
+        for p in rules.transitive:
+            new, old = edges_of(delta, p), edges_of(base, p)
+            if new.isEmpty():
+                continue
+            known = old.union(new)
+            step = lambda x, y: x.select("a", F.col("b").alias("m")).join(y.withColumnRenamed("a", "m"), "m").select("a", "b")
+            found.append(_pairs(step(new, known).union(step(known, new)).distinct().join(known, ["a", "b"], "left_anti"), p))
+        if not found:
+            break
+        far = cut(_without(_without(_spread(functools.reduce(DataFrame.unionByName, found), rules), base), delta))
+        if far.isEmpty():
+            break
+        delta = cut(delta.unionByName(far))
+    return Closed(base.unionByName(_without(_typed(delta, rules, include_thing), base)), canonical, closed.schema)
 
 
 def same_as_components(triples: DataFrame) -> DataFrame:

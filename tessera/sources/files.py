@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -216,13 +217,44 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Catalog:
-    """Named datasets of triples: load (append as a set), replace, drop, count."""
+    """Named datasets of triples: load (append as a set), replace, drop, count.
+
+    A dataset may be kept closed under a schema: what is loaded then is inferred from at once, and the
+    rest is left alone. Each change gives a dataset a new version.
+    """
 
     def __init__(self):
         self._sets: dict[str, DataFrame] = {}
+        self._closed: dict = {}
+        self._versions: dict[str, int] = {}
+
+    def version(self, name: str) -> int:
+        return self._versions.get(name, 0)
+
+    def _changed(self, name: str) -> None:
+        self._versions[name] = self.version(name) + 1
+
+    def close(self, name: str, schema: DataFrame) -> None:
+        """Close a dataset under a schema, and keep it so as more is loaded."""
+        from tessera.operators import reason
+
+        closed = reason.close(self._sets[name], schema)
+        self._closed[name] = schema, replace(closed, triples=reason.cut(closed.triples))
+        self._changed(name)
+
+    def closed(self, name: str):
+        """The closed form of a dataset (canonical facts, components)."""
+        return self._closed[name][1]
 
     def load(self, name: str, triples: DataFrame, mode: str = "append") -> DataFrame:
+        from tessera.operators import reason
+
         new = triples.select(*TRIPLE)
+        if name in self._closed:
+            schema, old = self._closed[name]
+            closed = reason.extend(old, new, schema) if mode == "append" else reason.close(new, schema)
+            self._closed[name] = schema, replace(closed, triples=reason.cut(closed.triples))
+        self._changed(name)
         if mode == "append" and name in self._sets:
             new = self._sets[name].unionByName(new)
         self._sets[name] = new.distinct()
@@ -230,6 +262,8 @@ class Catalog:
 
     def drop_all(self, name: str) -> None:
         self._sets[name] = self._sets[name].limit(0)
+        self._closed.pop(name, None)
+        self._changed(name)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._sets[name]
@@ -243,4 +277,6 @@ class Catalog:
 
     def open(self, spark: SparkSession, name: str, path: str) -> DataFrame:
         self._sets[name] = spark.read.parquet(path).select(*TRIPLE)
+        self._closed.pop(name, None)
+        self._changed(name)
         return self._sets[name]

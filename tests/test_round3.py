@@ -436,3 +436,68 @@ def test_strategies_are_measured_without_their_rows(spark, tmp_path):
     assert by["single"].rows == 50 and by["nested"].rows == 100 and all(m.jobs > 0 and m.input_bytes > 0 for m in found)
     assert by["naive"].shuffle_bytes > by["optimised"].shuffle_bytes
     assert {r.strategy: r.rows for r in federation.table(spark, found).collect()} == {m.strategy: m.rows for m in found}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_extended_closure_equals_a_new_one(spark, seed):
+    r = random.Random(seed)
+    things, props, classes = [E + x for x in "abcdefghij"], [E + "p" + x for x in "123"], [E + "C" + x for x in "123"]
+    schema = triples(spark, [(props[0], T.SUB_PROPERTY, props[1]), (props[2], T.INVERSE, props[1]), (props[0], T.DOMAIN, classes[0]), (props[1], T.RANGE, classes[1]), (classes[0], T.SUB_CLASS, classes[2]), (props[1], T.TYPE, T.TRANSITIVE)])
+    fact = lambda: (r.choice(things), r.choice(props), r.choice(things)) if r.random() < 0.8 else (r.choice(things), T.TYPE, r.choice(classes))
+    first, more = [fact() for _ in range(9)], [fact() for _ in range(3)]
+    if seed:
+        first.append((things[0], T.SAME_AS, things[1]))
+    if seed > 1:
+        more.append((things[1], T.SAME_AS, things[2 if seed == 2 else 9]))
+    if seed == 3:
+        more.append((classes[0], T.SAME_AS, classes[1]))
+    old = reason.close(triples(spark, first), schema)
+    got, want = reason.extend(old, triples(spark, more), schema), reason.close(triples(spark, first + more), schema)
+    rows = lambda df: sorted((x.s, x.p, x.o) for x in df.collect() if x.p != T.SAME_AS)
+    assert rows(got.triples) == rows(want.triples)
+    names = lambda c: {} if c is None else {x.id: x.canonical for x in c.collect()}
+    assert names(got.canonical) == names(want.canonical)
+
+
+def test_a_closed_dataset_stays_closed_and_only_new_facts_meet_the_rules(spark, monkeypatch):
+    from tessera.sources.files import Catalog
+
+    schema = triples(spark, [(E + "p", T.DOMAIN, E + "D"), (E + "D", T.SUB_CLASS, E + "Top")])
+    cat = Catalog()
+    cat.load("a", triples(spark, [(f"{E}s{k}", E + "p", E + "o") for k in range(200)]))
+    cat.close("a", schema)
+    seen = []
+    spread = reason._spread
+    monkeypatch.setattr(reason, "_spread", lambda x, rules: (seen.append(x.count()), spread(x, rules))[1])
+    version = cat.version("a")
+    cat.load("a", triples(spark, [(E + "new", E + "p", E + "o"), (E + "s0", E + "p", E + "o")]))
+    assert seen == [2] and cat.version("a") > version
+    assert cat.closed("a").triples.where(F.col("p") == T.TYPE).count() == 402
+
+
+def test_facet_results_are_kept_until_a_load(spark):
+    from tessera.operators import facets
+    from tessera.sources.files import Catalog
+
+    rows = [(f"{E}w{k}", T.TYPE, E + "W") for k in range(60)] + [(f"{E}w{k}", E + "c", f"{E}c{k % 4}") for k in range(60)] + [(f"{E}w{k}", E + "d", f"{E}d{k % 3}") for k in range(0, 60, 2)]
+    cat = Catalog()
+    cat.load("a", triples(spark, rows))
+    results = facets.Results(cat, "a", [E + "c", E + "d"], [T.LABEL])
+    state = facets.State(E + "W", facets=(facets.Facet(E + "c", "enum", (E + "c1", E + "c2")),))
+
+    def look(s):
+        spark.sparkContext.setJobGroup("facets", "facets")
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("facets"))
+        frames = results.counts(s), results.total(s)
+        made = len(spark.sparkContext.statusTracker().getJobIdsForGroup("facets")) - before
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return made, sorted(map(tuple, frames[0].collect())), tuple(frames[1].first())
+
+    jobs, counted, total = look(state)
+    triples_ = cat["a"]
+    assert jobs > 0 and counted == sorted(map(tuple, facets.counts(triples_, state, [E + "c", E + "d"], [T.LABEL]).collect()))
+    assert total == tuple(facets.total(triples_, state, [T.LABEL]).first()) == (30, False)
+    assert look(facets.State(E + "W", 2, facets=state.facets)) == (0, counted, total)  # another page: no job at all
+    cat.load("a", triples(spark, [(E + "x", T.TYPE, E + "W"), (E + "x", E + "c", E + "c1")]))
+    jobs, counted, total = look(state)
+    assert jobs > 0 and total == (31, False) and (E + "c", E + "c1", 16) in counted
