@@ -153,7 +153,7 @@ def ends_of(rows: DataFrame, t: Pattern) -> DataFrame:
 
 
 class Engine:
-    """Evaluates algebra over named datasets (triples, or mapped graphs); '' is the default one."""
+    """Evaluates algebra over named datasets: triples, mapped graphs, or endpoints; '' is the default one."""
 
     def __init__(self, datasets: dict):
         self.datasets = datasets
@@ -259,6 +259,12 @@ class Engine:
         kind = node[0]
         if kind == "bgp":
             return self.bgp(data, list(node[1])), frozenset()
+        if kind in ("join", "left") and node[2][0] == "service" and hasattr(self.datasets.get(node[2][1]), "answers"):
+            a, ma = self.run(node[1], data)
+            a = cut(a)  # its keys are asked for, then it is joined
+            b, mb = self.asked(node[2], a, ma)
+            free = (ma | mb) - ((set(a.columns) - ma) | (set(b.columns) - mb)) if kind == "join" else ma | mb | (set(b.columns) - set(a.columns))
+            return compatible_join(a, b, "inner" if kind == "join" else "left", ma, mb), free
         if kind == "join":
             (a, ma), (b, mb) = self.run(node[1], data), self.run(node[2], data)
             return compatible_join(a, b, "inner", ma, mb), (ma | mb) - ((set(a.columns) - ma) | (set(b.columns) - mb))
@@ -302,12 +308,32 @@ class Engine:
             rows = [tuple((t.value, t.kind, t.dt, t.lang) for t in row) for row in node[2]]
             spec = ", ".join(f"`{v}` struct<value:string,kind:string,dt:string,lang:string>" for v in node[1])
             return data.sparkSession.createDataFrame(rows, spec), frozenset()
+        if kind == "service" and hasattr(self.datasets.get(node[1]), "answers"):
+            return self.asked(node, data.sparkSession.range(1).select(F.lit(1).alias("_one")), frozenset())
         if kind == "service":
             return self.run(node[2], self.datasets[node[1]])
         if kind == "empty":
             return data.sparkSession.range(1).select(F.lit(1).alias("_one")), frozenset()
         raise ValueError(kind)
 
+    def asked(self, node: tuple, known: DataFrame, maybe: frozenset) -> tuple[DataFrame, frozenset]:
+        """What an endpoint answers for the solutions so far (bind join); a failed batch is an error.
+
+        Bindings of blank nodes are not sent, as they mean nothing elsewhere.
+        """
+        from tessera.plans.text import group, variables
+
+        names = variables(node[2])
+        bound = [c for c in known.columns if c in names and c not in maybe]
+        keys = known.select(*bound).distinct() if bound else known.sparkSession.range(1)
+        for c in bound:
+            keys = keys.where(F.col(c)["kind"] != "bnode")
+        got = cut(self.datasets[node[1]].answers(keys, group(node[2]), names))
+        failed = got.where("error IS NOT NULL").select("error").limit(1).collect()
+        if failed:
+            raise ValueError(f"SERVICE <{node[1]}>: {failed[0].error}")
+        return got.drop("error"), frozenset(names) - frozenset(bound)
+
     # expressions -----------------------------------------------------------
 
     def truth(self, e: tuple) -> Column:

@@ -114,3 +114,84 @@ def test_a_failing_facet_leaves_the_others(spark):
     got = facets.counts_each(broken, facets.State(E + "C"), [E + "p", E + "bad"], [T.LABEL])
     assert [tuple(r) for r in got[E + "p"].collect()] == [(E + "p", E + "a", 1)]
     assert got[E + "bad"].collect() == []
+
+
+class Graph(BaseHTTPRequestHandler):
+    """An endpoint over four labels: answers VALUES ?n for one pattern, and remembers what it was asked."""
+
+    asked: list = []
+    names = {E + "n1": "One", E + "n2": "Two", E + "n3": 'Thr"ee', E + "n9": "Nine"}
+
+    def log_message(self, *_):
+        pass
+
+    def do_GET(self):
+        import re
+
+        query = parse_qs(urlparse(self.path).query)["query"][0]
+        Graph.asked.append(query)
+        if "broken" in query:
+            self.send_response(500)
+            self.end_headers()
+            return
+        keys = re.findall(r"\(<([^>]*)>\)", query) or list(self.names)
+        rows = [{"n": {"type": "uri", "value": k}, "label": {"type": "literal", "value": self.names[k], "xml:lang": "en"}} for k in keys if k in self.names]
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"head": {"vars": ["n", "label"]}, "results": {"bindings": rows}}).encode())
+
+
+def test_service_on_an_endpoint_is_a_bind_join(spark, monkeypatch):
+    from tessera.plans import sparql
+    from tessera.plans.algebra import Engine
+
+    server = HTTPServer(("127.0.0.1", 0), Graph)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        end = web.Endpoint(f"http://127.0.0.1:{server.server_port}/")
+        data = spark.createDataFrame([(f"{E}p{k}", E + "from", f"{E}n{k % 4}", "uri", "", "") for k in range(40)], SCHEMA)
+        engine = Engine({"": data, E + "names": end})
+        out = sparql.query(engine, f"SELECT ?p ?label WHERE {{ ?p <{E}from> ?n . SERVICE <{E}names> {{ ?n <{T.LABEL}> ?label }} }}")
+        want = sorted((f"{E}p{k}", Graph.names[f"{E}n{k % 4}"]) for k in range(40) if k % 4)
+        assert sorted(map(tuple, out.collect())) == want
+        assert Graph.asked and all("VALUES (?n)" in q and E + "n9" not in q for q in Graph.asked)
+        lone = sparql.query(engine, f"SELECT ?p ?label WHERE {{ ?p <{E}from> ?n OPTIONAL {{ SERVICE <{E}names> {{ ?n <{T.LABEL}> ?label }} }} }}")
+        assert sorted((r.p, r.label or "") for r in lone.collect()) == sorted([*want, *((f"{E}p{k}", "") for k in range(0, 40, 4))])
+        alone = sparql.query(engine, f"SELECT ?label WHERE {{ SERVICE <{E}names> {{ ?n <{T.LABEL}> ?label }} }}")
+        assert sorted(r.label for r in alone.collect()) == sorted(Graph.names.values())
+        keys = spark.createDataFrame([((E + "broken", "uri", "", ""),), ((E + "n1", "uri", "", ""),)], "n struct<value:string,kind:string,dt:string,lang:string>")
+        rows = end.answers(keys.repartition(1), "?n ?p ?label .", ["n", "label"], batch=1, waits=()).collect()
+        assert sorted((r.label and r.label.value, bool(r.error)) for r in rows if r.error is None) == [("One", False)] and sum(bool(r.error) for r in rows) == 1
+        monkeypatch.setattr(web, "WAITS", ())
+        broken = spark.createDataFrame([(E + "p", E + "from", E + "broken", "uri", "", "")], SCHEMA)
+        with pytest.raises(ValueError, match="SERVICE"):
+            sparql.query(Engine({"": broken, E + "names": web.Endpoint(end.url, 5)}), f"SELECT ?p WHERE {{ ?p <{E}from> ?n . SERVICE <{E}names> {{ ?n <{T.LABEL}> ?label }} }}").collect()
+    finally:
+        server.shutdown()
+
+
+def test_failed_keys_are_counted(spark, address):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    authors = spark.createDataFrame([("A1", "One"), ("A2", "Two"), ("A3", None)], "key string, name string")
+    assert web.search_works(authors, address, waits=(0,), counters=seen).count() == 2
+    assert seen.get == {"works": 2, "failed": 1}
+
+
+def test_normalise_equals_unicode_data_without_python(spark):
+    import random
+    import re
+    import unicodedata
+
+    def fold(t):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", (t or "").lower()) if not unicodedata.combining(x))
+        return re.sub(" +", " ", re.sub("[^a-z0-9 ]+", " ", plain)).strip()
+
+    r = random.Random(1)
+    odd = [chr(k) for k in range(0x250)] + list("ﬁﬀ½①Ａｚ𝐀𝟘ﷺİıßæøŁΣς́̈𐀀日本Ⅷ㎏™é가ǅ")
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 12))) for _ in range(600)] + odd + [None, "", "  Émile  O'Brien-Žák "]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", scalar.normalise(F.col("t")).alias("n"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {x.k: x.n for x in df.collect()}
+    assert [t for k, t in enumerate(texts) if got[k] != fold(t)] == []
