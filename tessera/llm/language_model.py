@@ -10,7 +10,8 @@ time, and the state is carried from one window to the next until the document en
 Weights start at the counts' distribution. Tasks go on from there by truncated backpropagation, each
 over the training documents it reads, and their weights are averaged by the tokens they saw; first
 over a part of the documents (by a hash of the id), then from that average over all the others. So
-every training document is learnt from once, in as many tasks as the table has.
+every training document is learnt from once, in as many tasks as the table has. How rows are dealt to
+tasks is part of the fit: another number of files or splits gives slightly other weights, and scores.
 
 Words that few documents use are not sent to every worker: a worker knows the ``KNOWN`` most
 frequent ones, others are counted for a document by a join.
@@ -36,12 +37,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import in_fold, ship, written
 
 FLOOR = 0.1
-CLASSES, PER_CLASS, BUCKETS = 12, 12, 16
+CLASSES, PER_CLASS, BUCKETS = 32, 32, 64
 WORDS = CLASSES * PER_CLASS
 KNOWN = 50_000
 #: Texts that are split together.
 TEXTS = 1000
-STATE, STEPS = 12, 32
+STATE, STEPS = 32, 32
 #: Lanes of documents that are scored, or learnt from, side by side.
 LANES, LEARNING = 256, 256
 #: Documents longer than LONG go first among those of HELD tokens, so that few lanes are left alone.
