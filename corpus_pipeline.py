@@ -2,6 +2,18 @@
 
 Toxic documents go; one document of each near-duplicate class stays; documents that hold benchmark
 windows go; secrets are masked in the texts; what is left is encoded to token ids.
+
+Edge cases of the stages, each on what its predecessor kept; columns of documents that a stage doesn't
+know pass through all but the last:
+
+* toxicity: a null or empty text is scored as empty; a null id is in no fold and its label is not used.
+* near_dedup: null texts and null ids are in no class and stay; rows that share an id share a class, and
+  of equal rows with such an id one stays.
+* decontamination: a text without words is never contaminated; a null item of the benchmark has none.
+* secrets: a null text stays null; spans that overlap are masked as one.
+* byte_bpe: a null text is encoded as empty; rows with equal ids are encoded row by row.
+
+An empty table goes through all stages and gives an empty result of the same columns.
 """
 
 from __future__ import annotations
@@ -10,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontaminate, near_dup, secrets, toxicity
-from tessera.llm.common import shared_dir, table, written
+from tessera.llm.common import discard, shared_dir, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -49,7 +61,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, one after another."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), shared_dir(spark))
+        path = shared_dir(spark)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:  # what the stage has read is not read again
+            discard(spark, before)
+        before = path
     return docs
