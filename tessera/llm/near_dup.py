@@ -343,7 +343,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the rows whose id is the smallest of the class.
 
-    Of equal rows that repeat such an id one stays; rows without an id stay.
+    Rows that repeat an id stay or go together; rows without an id stay.
     """
     gone = fresh("gone", docs.columns)
     dropped = classes(docs).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()

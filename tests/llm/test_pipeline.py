@@ -38,3 +38,25 @@ def test_pipeline(spark):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, DIR).collect()}
     assert got == want and 100 < len(got) < len(rows)
     assert os.path.exists(DIR) and [s for s, _ in corpus_pipeline.STAGES][0] == "toxicity"
+
+
+def test_pipeline_on_edge_cases(spark, tmp_path):
+    """Null texts and ids, empty texts, repeated rows and extra columns; then an empty table."""
+    import corpus_pipeline
+
+    words = "the of and in to a is that it for on was with as by at from his her they".split()
+    prose = lambda k: " ".join(f"{words[(k * 7 + i * (k + 3)) % 20]}{(k * 31 + i) % 97}" for i in range(40))
+    rows = [(k, prose(k), "en", "s", 1, f"x{k}") for k in range(12)] + [(20, None, "en", "s", 0, "n"), (21, "", None, None, None, None), (None, prose(40), "en", "s", 1, "i"), (3, prose(3), "en", "s", 1, "again"), (30, prose(5), "en", "s", 1, "copy"), (31, "word " * 60_000, "en", "s", 1, "long")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone string"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted((r.doc_id for r in got), key=lambda x: (x is None, x))
+    assert ids == sorted([*range(12), 3, 20, 21, 31]) + [None]
+    assert all(r.n_tokens == 0 for r in got if r.doc_id in (20, 21)) and all(r.n_tokens > 0 for r in got if r.doc_id not in (20, 21))
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert empty.count() == 0 and "n_tokens" in empty.columns
