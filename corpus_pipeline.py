@@ -7,8 +7,8 @@ Edge cases of the stages, each on what its predecessor kept; columns of document
 know pass through all but the last:
 
 * toxicity: a null or empty text is scored as empty; a null id is in no fold and its label is not used.
-* near_dedup: null texts and null ids are in no class and stay; rows that share an id share a class, and
-  of equal rows with such an id one stays.
+* near_dedup: null texts and null ids are in no class and stay; rows that share an id share a class,
+  and stay or go together.
 * decontamination: a text without words is never contaminated; a null item of the benchmark has none.
 * secrets: a null text stays null; spans that overlap are masked as one.
 * byte_bpe: a null text is encoded as empty; rows with equal ids are encoded row by row.
