@@ -294,3 +294,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         return batch.filter(pa.array(keep))
 
     return arrow_map(docs, over, docs.schema, rows=2000)
+
+
+#: The rows of judge() by a join of windows, in DuckDB's SQL.
+ORACLE = r"""
+WITH tidy AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id::VARCHAR AS item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM tidy, sizes WHERE len(w) >= n)),
+hits AS (SELECT id, p.n, i, item_id FROM places p JOIN windows q ON p.n = q.n AND p.s = q.s),
+covered AS (SELECT id, count(DISTINCT k) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT id, n, i FROM hits)) GROUP BY id),
+told AS (SELECT id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT id, item_id FROM hits) GROUP BY id)
+SELECT tidy.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM tidy LEFT JOIN covered ON covered.id = tidy.id LEFT JOIN told ON told.id = tidy.id
+"""

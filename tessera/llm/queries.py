@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tessera.llm import decontaminate as _tests
 from tessera.llm import fill_middle as _middle
 from tessera.llm import url_filter as _urls
+from tessera.llm import vector_dup as _vectors
 from tessera.llm.common import table
 
 
@@ -110,4 +112,4 @@ QUERIES = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {"op6_url_filter": _urls.ORACLE, "op11_fill_middle": _middle.ORACLE}
+ORACLES: dict[str, str] = {"op5_decontaminate": _tests.ORACLE, "op6_url_filter": _urls.ORACLE, "op7_vector_dup": _vectors.ORACLE, "op11_fill_middle": _middle.ORACLE}

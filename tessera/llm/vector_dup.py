@@ -149,3 +149,21 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     out = lookup(good.select("vec_id", "key"), done, "key", "copies", total).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: The same rows by comparing all pairs of a label, in DuckDB's SQL.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+        AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
+  WHERE len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(id, r) AS (SELECT a, a FROM links UNION SELECT id, b FROM reach JOIN links ON r = a),
+least_of AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+many AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id)::BIGINT AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN many ON many.id = vec_id LEFT JOIN least_of ON least_of.id = vec_id
+"""

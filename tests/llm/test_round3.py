@@ -187,6 +187,20 @@ def test_queries_on_a_fixture(spark, tmp_path, name, brute):
     assert got(QUERIES[name](spark, str(tmp_path))) == sorted((brute(*x) for x in rows), key=repr)
 
 
+@pytest.mark.parametrize("name", ["op5_decontaminate", "op6_url_filter", "op7_vector_dup", "op11_fill_middle"])
+def test_queries_against_their_sql(spark, name):
+    from tessera.llm.queries import ORACLES
+    from tests.test_oracle import DIR, TABLES, rows
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    want = rows(con.execute(ORACLES[name]).fetch_df())
+    found = QUERIES[name](spark, DIR).toPandas()
+    assert rows(found[[c for c in found.columns if c in want[0]]]) == want and len(want[1]) >= 50
+    assert set(found.columns) == set(want[0])
+
+
 # ------------------------------------------------------------------ suffix-array removal
 
 
