@@ -441,7 +441,7 @@ def lifted_schema(schema: DataFrame) -> DataFrame:
         own = edges_of(schema, p).select(F.col("a").alias("prop"), F.col("b").alias("class"))
         both = own.union(up_p.join(own.withColumnRenamed("prop", "b"), "b").select(F.col("a").alias("prop"), "class")).distinct()
         full = both.union(both.join(up_c.withColumnRenamed("a", "class"), "class").select("prop", F.col("b").alias("class"))).distinct()
-        out = out.unionByName(full.select(F.col("prop").alias("s"), F.lit(p).alias("p"), F.col("class").alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
+        out = out.unionByName(full.select(F.col("prop").alias("s"), F.lit(p).alias("p"), F.col("class").alias("o"), F.when(F.startswith("class", F.lit("_:")), "bnode").otherwise("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
     return out.distinct()
 
 

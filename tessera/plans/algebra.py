@@ -59,8 +59,10 @@ def _node(c: str) -> Column:
     return F.struct(F.col(c).alias("value"), F.when(F.col(c).startswith("_:"), "bnode").otherwise("uri").alias("kind"), F.lit("").alias("dt"), F.lit("").alias("lang"))
 
 
-def compatible_join(a: DataFrame, b: DataFrame, how: str = "inner", maybe_a: frozenset = frozenset(), maybe_b: frozenset = frozenset()) -> DataFrame:
-    """Join on shared variables; those that may be unbound on a side agree with anything where they are."""
+def compatible_join(a: DataFrame, b: DataFrame, how: str = "inner", maybe: frozenset = frozenset(), maybe_b: frozenset | None = None) -> DataFrame:
+    """Join on shared variables; those in maybe may be unbound and then agree with anything: in a, and in
+    b, unless maybe_b says which may be unbound there."""
+    maybe_a, maybe_b = maybe, maybe if maybe_b is None else maybe_b
     shared = [c for c in a.columns if c in b.columns]
     loose = [c for c in shared if c in maybe_a | maybe_b]
     tight = [c for c in shared if c not in maybe_a | maybe_b]
