@@ -7,6 +7,8 @@ types are vocabularies, and regions, nations and customers form a hierarchy.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,7 @@ from tessera.operators.mapping import Join, Rule, TripleMap
 from tessera.plans import sparql
 from tessera.plans.algebra import Engine
 from tessera.plans.unfold import MappedGraph
+from tessera.sources import files
 from tessera.sources.files import Catalog, format_ntriples, parse_ntriples
 
 EX = "http://example.org/"
@@ -676,3 +679,140 @@ def q68_strategies(spark, table):
         single=lambda: ask({"": both}, f"SELECT ?c ?w ?name WHERE {{ {what} }}"), nested=lambda: inside(f"?c o:involves ?w . SERVICE <{EX}parts> {{ ?w rdfs:label ?name }}"), blind=lambda: inside(what),
     ), "single", spark)
     return federation.table(spark, found).select("strategy", "rows", "equal")
+
+
+# ------------------------------------------------------------------ sources, filters and rules one by one
+
+
+def _scratch(spark) -> str:
+    """A fresh folder name in the session's shared checkpoint folder."""
+    reason.cut(spark.range(1))  # sets one where there is none
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey::varchar AS id, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN 'says \"hi\", twice' ELSE c_mktsegment END AS segment FROM customer")
+def q69_csv_round_trip(spark, table):
+    """A relation written as CSV and scanned again: quotes, separators, empty cells."""
+    path = _scratch(spark)
+    files.write_csv(table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN 'says \"hi\", twice' ELSE c_mktsegment END").alias("segment")), path)
+    return files.read_csv(spark, path, ["id", "name", "segment"])
+
+
+@query("SELECT '/authors/OL' || c_custkey AS key, c_name AS name, 'Q' || c_custkey AS wikidata FROM customer WHERE c_custkey % 3 = 0")
+def q70_dump_prefilter(spark, table):
+    """Records of a dump with an external id, other records and kinds left in the raw text."""
+    path = _scratch(spark)
+    ids = F.create_map(F.when(F.col("c_custkey") % 3 == 0, "wikidata").otherwise("viaf"), F.concat(F.lit("Q"), F.col("c_custkey").cast("string")))
+    record = F.to_json(F.struct(F.col("c_name").alias("name"), ids.alias("remote_ids")))
+    kind = F.when(F.col("c_custkey") >= 0, "/type/author")
+    lines = table("customer").select(F.concat_ws("\t", kind, F.concat(F.lit("/authors/OL"), F.col("c_custkey").cast("string")), F.lit("1"), F.lit("2020"), record).alias("value"))
+    lines.union(table("part").select(F.concat_ws("\t", F.lit("/type/work"), F.lit("/works/W"), F.lit("1"), F.lit("2020"), F.lit('{"remote_ids": {"wikidata": "no"}}')))).write.text(path)
+    found = files.read_dump(spark, path, needs='"wikidata"')
+    return found.select("key", "name", F.col("remote_ids")["wikidata"].alias("wikidata"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey WHEN o_orderkey % 4 = 1 THEN -o_custkey END::int AS n FROM orders")
+def q71_tolerant_int(spark, table):
+    """Whole numbers of cells, null where a cell is none."""
+    cell = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat(' ', o_custkey, ' ') WHEN 1 THEN concat('-', o_custkey) WHEN 2 THEN concat(o_custkey, '?') END")
+    return table("orders").select("o_orderkey", scalar.tolerant_int(cell).alias("n"))
+
+
+@query("SELECT count(*) AS links, count(DISTINCT (l_partkey, l_suppkey)) AS offers FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)")
+def q72_composite_key_join(spark, table):
+    """A reference joined on two columns at once: credits to offers of a part by a supplier."""
+    offer = TripleMap("offer", "offers", EX + "offer/{o_part}/{o_supp}", (O + "Offer",), key=("o_part", "o_supp"))
+    credit = TripleMap("credit2", "lineitem", CREDIT.subject, joins=(Join(O + "offer", "offer", (("l_partkey", "o_part"), ("l_suppkey", "o_supp"))),))
+    offers = table("lineitem").select(F.col("l_partkey").alias("o_part"), F.col("l_suppkey").alias("o_supp")).distinct()
+    data = MappedGraph([offer, credit], {"lineitem": table("lineitem"), "offers": offers})
+    return ask(data, "SELECT (COUNT(?c) AS ?links) (COUNT(DISTINCT ?o) AS ?offers) WHERE { ?c o:offer ?o . ?o a o:Offer }")
+
+
+@query(f"SELECT '{EX}order/' || o_orderkey AS work FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1996")
+def q73_year_facet(spark, table):
+    state = facets.State(O + "Order", facets=(facets.Facet(O + "year", "year", low=1995, high=1996),))
+    return facets.matches(graph(table, "purchase"), state, [T.LABEL])
+
+
+@query(f"SELECT '{EX}part/' || p_partkey AS work FROM part WHERE contains(lower(p_name), 'bolt') AND p_size > 25")
+def q74_text_facet(spark, table):
+    state = facets.State(O + "Part", facets=(facets.Facet(T.LABEL, "text", value="BOLT"), facets.Facet(O + "big", "boolean", value="1")))
+    return facets.matches(graph(table, "part"), state, [T.LABEL])
+
+
+_TONGUE = "CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN '' ELSE 'Land ' || n_nationkey END"
+TONGUES = TripleMap("tongues", "nation", EX + "nation/{n_nationkey}", rules=(Rule(T.LABEL, column="n_name", lang="en"), Rule(T.LABEL, column="n_german", lang="de"), Rule(O + "near", iri=EX + "region/{n_regionkey}")), key=("n_nationkey",))
+
+
+def _tongues(table) -> MappedGraph:
+    return MappedGraph([TONGUES], {"nation": table("nation").withColumn("n_german", F.expr("CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN '' ELSE concat('Land ', n_nationkey) END"))})
+
+
+@query(f"SELECT '{EX}nation/' || n_nationkey AS n, coalesce(nullif({_TONGUE}, ''), n_name) AS shown FROM nation")
+def q75_language_with_fallback(spark, table):
+    """The label in one language, else that in another; empty and missing cells have none."""
+    return ask(_tongues(table), 'SELECT ?n (COALESCE(?de, ?en) AS ?shown) WHERE { ?n rdfs:label ?en FILTER(LANG(?en) = "en") OPTIONAL { ?n rdfs:label ?de FILTER(LANG(?de) = "de") } }')
+
+
+@query(f"SELECT p, count(*) AS n FROM (SELECT '{O}near' AS p FROM nation) GROUP BY p")
+def q76_is_iri(spark, table):
+    """Predicates whose objects are IRIs: a filter on the kind of a term."""
+    return ask(_tongues(table), "SELECT ?p (COUNT(?o) AS ?n) WHERE { ?s ?p ?o FILTER(ISIRI(?o) && !(ISBLANK(?o))) } GROUP BY ?p")
+
+
+@query("SELECT 'region/' || n_regionkey AS place, count(*) AS n FROM (SELECT c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY n_regionkey")
+def q77_transitive_inference(spark, table):
+    """A transitive property closed within inference: customers within regions."""
+    rule = spark.createDataFrame([(O + "partOf", T.TYPE, T.TRANSITIVE, "uri", "", "")], T.SCHEMA)
+    data = mapping.apply(LIVES, {"customer": table("customer")}).unionByName(graph(table, "nation").where(F.col("p") == O + "partOf"))
+    far = reason.infer(data, rule).where((F.col("p") == O + "partOf") & F.startswith("s", F.lit(EX + "customer/")) & F.startswith("o", F.lit(EX + "region/")))
+    return far.groupBy(F.replace("o", F.lit(EX), F.lit("")).alias("place")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT class, count(*) AS n FROM (SELECT '{EX}part/' || p_partkey AS s, unnest(['{O}Known', '{O}Part', {_B}, '{O}Work']) AS class FROM part) GROUP BY class UNION ALL SELECT '{T.THING}', count(*) FROM part")
+def q78_union_and_thing(spark, table):
+    """Members of the classes of a union are members of the union, and everything is a thing."""
+    schema = catalogue(table)
+    named = schema.unionByName(plain(table("part").limit(1), F.lit(O + "Known"), T.OWL + "unionOf", F.lit("_:cell1"), "bnode"))
+    data = plain(table("part"), F.concat(F.lit(EX + "part/"), F.col("p_partkey").cast("string")), T.TYPE, F.concat(F.lit(CLASS), T.encode(F.col("p_brand"))))
+    found = reason.infer(data, named, include_thing=True)
+    return found.where((F.col("p") == T.TYPE) & ~F.startswith("o", F.lit("_:"))).groupBy(F.col("o").alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand, p_type, count(*) AS n FROM part WHERE p_brand >= 'Brand#4' AND p_type <> 'PROMO' GROUP BY p_brand, p_type")
+def q79_unresolved_roles(spark, table):
+    """Roles that neither the exact nor the general look-up resolves, with their rows."""
+    look = table("part").where("p_brand < 'Brand#4'").select("p_brand", F.lit("").alias("p_type"), F.lit("g").alias("r")).union(table("part").where("p_type = 'PROMO'").select("p_brand", "p_type", F.lit("x"))).distinct()
+    return prepare.unresolved(prepare.resolve_roles(table("part"), look, "p_brand", "p_type", "r"), "p_brand", "p_type")
+
+
+@query("SELECT coalesce('http://example.org/g/' || o_orderstatus, '') AS graph, count(*) AS n, count(DISTINCT s) AS subjects FROM (SELECT o_orderkey AS s, o_orderstatus FROM orders) GROUP BY 1")
+def q80_quads_by_graph(spark, table):
+    """Quads written as text, a graph for each order status, and counted by the graph of their lines."""
+    quads = plain(table("orders").select("*"), F.concat(F.lit(EX + "order/"), F.col("o_orderkey").cast("string")), O + "status", F.col("o_orderstatus"), "literal").withColumn("graph", F.concat(F.lit(EX + "g/"), F.col("o")))
+    lines = files.format_nquads(quads).select("value", F.regexp_extract("value", r"<([^>]*)> \.$", 1).alias("graph"))
+    back = parse_ntriples(lines.select("value")).select("s", F.concat(F.lit(EX + "g/"), F.col("o")).alias("graph"))
+    subjects = back.groupBy("graph").agg(F.countDistinct("s").alias("subjects"))
+    return lines.groupBy("graph").agg(F.count("*").alias("n")).join(subjects, "graph")
+
+
+@query("SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) || ' e ' || c_custkey AS name FROM customer")
+def q81_normalise(spark, table):
+    """Names in lower case, without marks and signs, in the JVM."""
+    raw = F.concat(F.col("c_name"), F.lit(" É- "), F.col("c_custkey").cast("string"), F.lit(" ́!"))
+    return table("customer").select("c_custkey", scalar.normalise(raw).alias("name"))
+
+
+@query("SELECT p_partkey, 'OL' || p_partkey || 'A' AS key, p_partkey::varchar AS local FROM part")
+def q82_keys_and_local_names(spark, table):
+    """Keys without the prefix of their kind, and the last part of an IRI."""
+    n = F.col("p_partkey").cast("string")
+    key = F.concat(F.when(F.col("p_partkey") % 2 == 0, "/authors/OL").otherwise("/works/OL"), n, F.lit("A"))
+    iri = F.concat(F.when(F.col("p_partkey") % 2 == 0, O).otherwise(EX + "part/"), n)
+    return table("part").select("p_partkey", scalar.strip_key(key).alias("key"), T.local_name(iri).alias("local"))
+
+
+@query("SELECT p_name AS name, p_size::varchar AS size FROM part ORDER BY p_size DESC, p_name LIMIT 1")
+def q83_first_of_order(spark, table):
+    """The first solution of an order."""
+    return ask(virtual(table, "part"), "SELECT DISTINCT ?name ?size WHERE { ?x rdfs:label ?name ; o:size ?size } ORDER BY DESC(?size) ?name LIMIT 1")
