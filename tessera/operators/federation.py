@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +59,16 @@ def strategies(left: DataFrame, right: DataFrame, key: str, single: Callable[[],
 
 
 def _metrics(spark: SparkSession, group: str) -> dict[str, int]:
-    """Jobs of a job group, and what their stages read and shuffled."""
+    """Jobs of a job group, and what those of their stages read and shuffled that Spark still tells of."""
     tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
     jobs = list(tracker.getJobIdsForGroup(group))
     stages = {s for j in jobs if (info := tracker.getJobInfo(j)) for s in info.stageIds}
     out = {"jobs": len(jobs), "input_bytes": 0, "input_rows": 0, "shuffle_bytes": 0}
     for s in stages:
-        data = store.lastStageAttempt(s)
+        try:
+            data = store.lastStageAttempt(s)
+        except Py4JJavaError:  # never run, as its output was there already, or no longer kept in a long session
+            continue
         out["input_bytes"] += data.inputBytes()
         out["input_rows"] += data.inputRecords()
         out["shuffle_bytes"] += data.shuffleWriteBytes()
