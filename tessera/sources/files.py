@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import sizes
 from tessera.terms import RDF, SCHEMA, TRIPLE, XSD
 
 
@@ -257,7 +258,7 @@ class Catalog:
         self._changed(name)
         if mode == "append" and name in self._sets:
             new = self._sets[name].unionByName(new)
-        self._sets[name] = new.distinct()
+        self._sets[name] = sizes.distinct(new, "s", "o")
         return self._sets[name]
 
     def drop_all(self, name: str) -> None:
