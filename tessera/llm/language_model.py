@@ -58,10 +58,16 @@ SUMS = 64
 END = b""
 OUTPUTS = CLASSES + BUCKETS
 START = WORDS + BUCKETS
+#: The class of each output.
+CLASS_OF = np.append(np.repeat(np.arange(CLASSES), PER_CLASS), np.arange(CLASSES, OUTPUTS)).astype(np.int8)
+#: Rows whose softmax over classes stays in a core's cache.
+ROWS = 1024
+#: Runs of fewer rows are summed side by side.
+SIDE = 24
 
 
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, the number of each token's word, ends of the texts) of lower-cased (A-Z) texts.
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words in their order and END, the number of each token's word, ends of the texts) of lower-cased (A-Z) texts.
 
     Words stand between white space (ASCII); each text has one more token, its end; null is empty.
     """
@@ -70,16 +76,23 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     begins, flat = lists.offsets.to_numpy(), lists.values
     filled = pc.binary_length(flat).to_numpy() > 0
     before = np.append(0, np.cumsum(filled))[begins]
-    coded = flat.filter(pa.array(filled)).slice(before[0], before[-1] - before[0]).dictionary_encode()
-    words = pa.concat_arrays([coded.dictionary.cast(pa.large_binary()), pa.array([END], pa.large_binary())])
+    flat = flat.filter(pa.array(filled)).slice(before[0], before[-1] - before[0])
+    words = pa.concat_arrays([flat, pa.array([END.decode()], flat.type)])
     ends = np.cumsum(np.diff(before) + 1)
-    out = np.full(ends[-1] if len(ends) else 0, len(words) - 1, np.int32)
+    out = np.full(ends[-1] if len(ends) else 0, len(flat), np.int32)
     inner = np.ones(len(out), bool)
     inner[ends - 1] = False
-    out[inner] = coded.indices.to_numpy()
+    out[inner] = np.arange(len(flat), dtype=np.int32)
     return words, out, ends
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The same with distinct words, as bytes; END is the last."""
+    words, at, ends = tokens(texts)
+    coded = words.dictionary_encode()
+    return coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy()[at], ends
+
+
 def slices(batches) -> Iterable[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, TEXTS):
@@ -95,19 +108,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all rows of docs; '' is the end."""
 
     def over(batches):
-        held: dict = {}
+        held: list = []
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.large_binary()).cast(pa.large_string()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        def summed():
+            coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(), np.concatenate([n for _, n in held]), len(coded.dictionary))
+            return coded.dictionary, n.astype(np.int64)
+
+        def out(words, n):
+            return pa.RecordBatch.from_arrays([words.cast(pa.large_string()).cast(pa.string()), pa.array(n)], names=["word", "n"])
 
+        rows = 0
         for b in slices(batches):
             words, at, _ = split(b.column("text"))
-            for w, n in zip(words.to_pylist(), np.bincount(at, minlength=len(words)).tolist()):
-                held[w] = held.get(w, 0) + n
-            if len(held) > 1_000_000:
-                yield out()
-                held.clear()
-        yield out()
+            held.append((words, np.bincount(at, minlength=len(words))))
+            rows += len(words)
+            if rows > 1_000_000:
+                held, rows = [summed()], 0
+                if len(held[0][0]) > 1_000_000:
+                    yield out(*held.pop())
+        if held:
+            yield out(*summed())
 
     ship(docs.sparkSession)
     return docs.select("text").mapInArrow(over, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
@@ -202,6 +223,24 @@ def long_first(docs: Iterable[tuple[object, np.ndarray]]) -> Iterable[tuple[obje
     yield from sorted(held, key=lambda d: -max(LONG, len(d[1])))
 
 
+def run_sums(rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows, by where they begin: long runs one at a time, the others side by side."""
+    n = np.diff(np.append(begins, len(rows)))
+    by = np.argsort(-n, kind="stable")
+    n, begins = n[by], begins[by]
+    sums, ones, long = rows[begins], np.ones(n[0], rows.dtype), int((n >= SIDE).sum())
+    for k, (at, size) in enumerate(zip(begins[:long].tolist(), n[:long].tolist())):
+        np.matmul(ones[:size], rows[at : at + size], out=sums[k])
+    for j in range(1, SIDE):
+        left = int(np.searchsorted(-n, -j))
+        if left <= long:
+            break
+        sums[long:left] += rows[begins[long:left] + j]
+    out = np.empty_like(sums)
+    out[by] = sums
+    return out
+
+
 class Network:
     """A GRU with class-factored softmax; float32 weights in a dictionary.
 
@@ -227,87 +266,116 @@ class Network:
     def start_learning(self) -> None:
         self.step, self.m, self.v = 0, {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}
 
+    def gates(self, name: str) -> np.ndarray:
+        """The weights of table or u by gate: gate, input, state."""
+        return np.ascontiguousarray(self.p[name].reshape(-1, 3, STATE).transpose(1, 0, 2), np.float32)
+
     def window(self, x: np.ndarray, first: np.ndarray, h: np.ndarray, saved: list | None = None):
-        """(states, last state): the state after each step's input, which predicts its target."""
-        table, u, s = self.p["table"], self.p["u"], STATE
+        """(states, last state): the state after each step's input, which predicts its target.
+
+        Gates are the first axis, so that each is one block of memory. saved gets, by step, the states
+        before, what a state keeps of the one before, and what each change of a state changes in the
+        gates: as the last state enters them (by gate first), and in the new state's own input.
+        """
+        table, u, s, half = self.gates("table"), self.gates("u"), STATE, np.float32(0.5)
+        table[:2] *= half  # a logistic gate is half a tanh of half its input
+        u[:2] *= half
         states = np.ones((*x.shape, s + 1), np.float32)
         starts = first.any(1)
+        g, gh = np.empty((3, *h.shape), np.float32), np.empty((3, *h.shape), np.float32)
+        (z, r, n), zr = g, g[:2]
+        if saved is not None:
+            saved += np.empty((2, *x.shape, s), np.float32), np.empty((3, *x.shape, s), np.float32), np.empty((*x.shape, s), np.float32)
         for t in range(len(x)):
             if starts[t]:
                 h = h * ~first[t][:, None]
-            g, gh = table[x[t]], h @ u
-            zr = g[:, : 2 * s] + gh[:, : 2 * s]
-            zr *= np.float32(0.5)
+            table.take(x[t], 1, out=g, mode="clip")
+            np.matmul(h, u, out=gh)
+            zr += gh[:2]
             np.tanh(zr, out=zr)
             zr += 1
-            zr *= np.float32(0.5)
-            z, r = zr[:, :s], zr[:, s:]
-            n = gh[:, 2 * s :] * r
-            n += g[:, 2 * s :]
+            zr *= half
+            q = gh[2] * r
+            n += q
             np.tanh(n, out=n)
+            kept = h - n
+            kept *= z
             if saved is not None:
-                saved.append((h, zr, n, gh))
-            h = h - n
-            h *= z
-            h += n
+                (before, keep), into, own = saved
+                before[t], keep[t] = h, z
+                a, b, c, o = into[0, t], into[1, t], into[2, t], own[t]
+                np.subtract(1, z, out=q)
+                np.multiply(kept, q, out=a)
+                np.multiply(n, n, out=o)
+                np.subtract(1, o, out=o)
+                o *= q
+                np.multiply(o, r, out=c)
+                np.subtract(1, r, out=b)
+                b *= gh[2]
+                b *= c
+            h = np.add(kept, n, out=kept)
             states[t, :, :s] = h
         return states, h
 
     def outputs(self, h: np.ndarray, y: np.ndarray, learn: bool = False):
         """Natural log probabilities of targets y from states h (rows); with gradients if learn.
 
-        Rows are taken in the order of their classes; buckets are classes without words, the last.
+        Rows are taken some at a time for the softmax over classes, in the order of their classes for
+        those within; buckets are classes without words, the last.
         """
         wc, ww, n, grad, dh = self.p["wc"], self.p["ww"], len(y), None, None
-        cls = np.where(y < WORDS, y // PER_CLASS, y - WORDS + CLASSES)
-        rows = np.arange(n)
-        order = np.argsort(cls.astype(np.int8), kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(OUTPUTS + 1))
-        m, ordered = ends[CLASSES], h[order]
-        e = h @ wc
-        self._bound(e, wc)
-        lp = e[rows, cls]
-        np.exp(e, out=e)
-        total = e @ np.ones(OUTPUTS, np.float32)
-        lp -= np.log(total)
+        cls, rows, ones = CLASS_OF[y], np.arange(max(n, ROWS)), np.ones(OUTPUTS, np.float32)
+        lp = np.empty(n, np.result_type(h, wc))
+        if learn:
+            grad, dh = {"wc": np.zeros_like(wc), "ww": np.zeros_like(ww)}, np.empty((n, STATE), np.float32)
+        high, high_within, back = self._high(wc), self._high(ww), wc[:-1].T
+        for at in range(0, n, ROWS):
+            part = slice(at, at + ROWS)
+            hp, cp = h[part], cls[part]
+            e, here = hp @ wc, rows[: len(cp)]
+            if high:
+                np.minimum(e, HIGHEST, out=e)
+            own = e[here, cp]
+            np.exp(e, out=e)
+            total = e @ ones
+            lp[part] = own - np.log(total)
+            if learn:
+                e *= (1 / total)[:, None]
+                e[here, cp] -= 1
+                grad["wc"] += hp.T @ e
+                np.matmul(e, back, out=dh[part])
+        order = np.argsort(cls, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(cls, minlength=CLASSES)[:CLASSES])).tolist()
+        order = order[: ends[-1]]
+        ordered, word, own_lp = h[order], (y % PER_CLASS)[order], np.empty(ends[-1], np.float32)
+        ones = np.ones(PER_CLASS, np.float32)
         if learn:
-            share = 1 / total[:, None]
-            grad = {"wc": (h * share).T @ e, "ww": np.zeros_like(ww)}
-            dh = e @ wc[:-1].T
-            dh *= share
-            dh -= wc[:-1].T[cls]
-            within = np.empty((m, STATE), np.float32)
-        word, own_lp = (y % PER_CLASS)[order[:m]], np.empty(m, np.float32)
-        for c in range(OUTPUTS):
-            at = slice(ends[c], ends[c + 1])
-            hc = ordered[at]
-            if not len(hc):
+            within = np.empty((ends[-1], STATE), np.float32)
+        for c, (a, z) in enumerate(itertools.pairwise(ends)):
+            if a == z:
                 continue
+            hc, k, here = ordered[a:z], word[a:z], rows[: z - a]
+            inner = hc @ ww[c]
+            if high_within:
+                np.minimum(inner, HIGHEST, out=inner)
+            own = inner[here, k]
+            np.exp(inner, out=inner)
+            total = inner @ ones
+            own_lp[a:z] = own - np.log(total)
             if learn:
-                grad["wc"][:, c] -= hc.sum(0)
-            if c < CLASSES:
-                inner = hc @ ww[c]
-                self._bound(inner, ww[c])
-                k, here = word[at], rows[: len(hc)]
-                own_lp[at] = inner[here, k]
-                np.exp(inner, out=inner)
-                ti = inner @ np.ones(PER_CLASS, np.float32)
-                own_lp[at] -= np.log(ti)
-                if learn:
-                    inner /= ti[:, None]
-                    inner[here, k] -= 1
-                    grad["ww"][c] = hc.T @ inner
-                    within[at] = inner @ ww[c, :-1].T
-        lp[order[:m]] += own_lp
+                inner *= (1 / total)[:, None]
+                inner[here, k] -= 1
+                grad["ww"][c] = hc.T @ inner
+                np.matmul(inner, ww[c, :-1].T, out=within[a:z])
+        lp[order] += own_lp
         if learn:
-            dh[order[:m]] += within
+            dh[order] += within
         return lp, grad, dh
 
     @staticmethod
-    def _bound(logit: np.ndarray, w: np.ndarray) -> None:
-        """Keeps logits of weights that could make them too large (states are within 1) below HIGHEST."""
-        if np.abs(w).sum(0).max() > HIGHEST:
-            np.minimum(logit, HIGHEST, out=logit)
+    def _high(w: np.ndarray) -> bool:
+        """Whether logits of weights w could be above HIGHEST (states are within 1), and have to be bounded."""
+        return np.abs(w).sum(-2).max() > HIGHEST
 
     def learn(self, docs: Iterable[np.ndarray], rate: float) -> int:
         """Truncated backpropagation with Adam, once over docs; returns the number of tokens seen."""
@@ -327,30 +395,28 @@ class Network:
             else:
                 dstate = np.zeros((*x.shape, s), np.float32)
                 dstate[ok] = dho
-            dg, dgh = np.empty((*x.shape, 3 * s), np.float32), np.empty((*x.shape, 3 * s), np.float32)
-            carry, back = np.zeros_like(h), self.p["u"].T.copy()
-            starts = f.any(1)
+            (before, keep), into, own = saved
+            carry, back, starts = np.zeros_like(h), np.ascontiguousarray(self.gates("u").transpose(0, 2, 1)), f.any(1)
+            moved, d, u = np.empty((3, *h.shape), np.float32), np.empty((3, *h.shape), np.float32), np.zeros((3, s, s), np.float32)
+            inputs = np.empty((*x.shape, 3, s), np.float32)
             for t in range(len(x) - 1, -1, -1):
-                h0, zr, nn, gh = saved[t]
-                z, r = zr[:, :s], zr[:, s:]
-                d = dstate[t] + carry
-                keep = d * z
-                dn = (d - keep) * (1 - nn * nn)
-                slope = zr * (1 - zr)
-                dg[t, :, :s] = keep * (h0 - nn) * (1 - z)
-                dg[t, :, s : 2 * s] = dn * gh[:, 2 * s :] * slope[:, s:]
-                dg[t, :, 2 * s :] = dn
-                dgh[t, :, : 2 * s] = dg[t, :, : 2 * s]
-                dgh[t, :, 2 * s :] = dn * r
-                carry = keep + dgh[t] @ back
+                carry += dstate[t]
+                np.multiply(into[:, t], carry, out=d)
+                np.matmul(d, back, out=moved)
+                u += before[t].T @ d
+                np.multiply(own[t], carry, out=d[2])
+                inputs[t] = d.transpose(1, 0, 2)
+                carry *= keep[t]
+                for m in moved:
+                    carry += m
                 if starts[t]:
                     carry *= ~f[t][:, None]
+            grad["u"] = u.transpose(1, 0, 2).reshape(s, 3 * s)
             flat = x.ravel()
             order = np.argsort(flat.astype(np.int16), kind="stable")
             used, begin = np.unique(flat[order], return_index=True)
             grad["table"] = np.zeros_like(self.p["table"])
-            grad["table"][used] = np.add.reduceat(dg.reshape(-1, 3 * s)[order], begin, axis=0)
-            grad["u"] = np.concatenate([q[0] for q in saved]).T @ dgh.reshape(-1, 3 * s)
+            grad["table"][used] = run_sums(inputs.reshape(-1, 3 * s)[order], begin)
             self.step += 1
             norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values())) / n
             scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
@@ -368,8 +434,10 @@ class Network:
             h = h[: x.shape[1]] if stay is None else h[stay]
             states, h = self.window(x, f, h)
             ok = y >= 0
-            lp, _, _ = self.outputs(states[ok], y[ok])
-            for key, p in zip(keys, np.bincount(piece[ok], lp, len(keys)).tolist()):
+            if ok.all():
+                ok = ...
+            lp, _, _ = self.outputs(states[ok].reshape(-1, STATE + 1), y[ok].ravel())
+            for key, p in zip(keys, np.bincount(piece[ok].ravel(), lp, len(keys)).tolist()):
                 totals[key] = totals.get(key, 0.0) + p
             for key in ended:
                 yield key, totals.pop(key) / math.log(10)
@@ -390,18 +458,23 @@ class Network:
             at += size
 
 
-class Places(dict):
-    """Words' places: the rank of a known word, KNOWN and its bucket for another; emptied when large."""
+class Places:
+    """Words' places: the rank of a known word, KNOWN and its bucket for another."""
 
     last = None
 
     def __init__(self, stats: Statistics):
-        self.ranks = {w: k for k, w in enumerate(stats.known)}
-        own = {k: stats.ids[w] for w, k in self.ranks.items() if w in stats.ids}
+        self.known = pa.array(list(stats.known), pa.large_binary()).cast(pa.large_string())
+        self.buckets: dict[str, int] = {}
+        ranks = len(self.known)
         #: The output id and the base score (nan: not known here) of each place.
-        self.output = np.concatenate([np.array([own[k] if k in own else WORDS + bucket(w) for w, k in self.ranks.items()], np.int32), np.full(KNOWN - len(self.ranks), -1, np.int32), WORDS + np.arange(BUCKETS, dtype=np.int32)])
+        self.output = np.full(KNOWN + BUCKETS, -1, np.int32)
+        self.output[:ranks] = WORDS + self.bucket(self.known)
+        own = min(ranks, WORDS)
+        self.output[:own] = np.arange(own)
+        self.output[KNOWN:] = WORDS + np.arange(BUCKETS)
         self.base = np.full(KNOWN + BUCKETS, np.nan)
-        self.base[: len(self.ranks)] = [math.log10(c + FLOOR) for c in stats.known.values()]
+        self.base[:ranks] = [math.log10(c + FLOOR) for c in stats.known.values()]
 
     @classmethod
     def by(cls, stats: Statistics) -> Places:
@@ -410,15 +483,26 @@ class Places(dict):
             cls.last = (stats, cls(stats))
         return cls.last[1]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        k = self.ranks.get(word)
-        k = self[word] = KNOWN + bucket(word) if k is None else k
-        return k
+    def bucket(self, words: pa.Array) -> np.ndarray:
+        """The bucket of each of words; those of pairs of last characters met before are held, emptied when large."""
+        tails = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+        if len(self.buckets) > 400_000:
+            self.buckets.clear()
+        found = []
+        for tail in tails.dictionary.to_pylist():
+            b = self.buckets.get(tail)
+            if b is None:
+                b = self.buckets[tail] = bucket(tail.encode())
+            found.append(b)
+        return np.array(found, np.int32)[tails.indices.to_numpy()]
 
     def of(self, words: pa.Array) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words.to_pylist()), np.int32, len(words))
+        out = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy()
+        other = out < 0
+        if other.any():
+            out = out.copy()
+            out[other] = KNOWN + self.bucket(words.filter(pa.array(other)))
+        return out
 
 
 def _averaged(docs: DataFrame, net: Network, stats: Statistics, rate: float) -> Network:
@@ -434,7 +518,7 @@ def _averaged(docs: DataFrame, net: Network, stats: Statistics, rate: float) ->
 
         def coming():
             for b in slices(batches):
-                words, at, ends = split(b.column("text"))
+                words, at, ends = tokens(b.column("text"))
                 yield from np.split(places.output[places.of(words)][at], ends[:-1])
 
         seen = mine.learn(coming(), rate)
@@ -495,7 +579,7 @@ def score(docs: DataFrame, train_rows=None) -> DataFrame:
         def coming():
             nonlocal row
             for b in slices(batches):
-                words, at, ends = split(b.column("text"))
+                words, at, ends = tokens(b.column("text"))
                 places_ = places.of(words)
                 code, p = places.output[places_][at], places.base[places_][at]
                 far = np.isnan(p)
@@ -504,9 +588,11 @@ def score(docs: DataFrame, train_rows=None) -> DataFrame:
                 # a word's share of its bucket; the count of a word that is not known here is joined
                 share = np.where(code >= WORDS, p - in_bucket[np.maximum(code - WORDS, 0)], 0.0)
                 texts = np.repeat(np.arange(len(ends)), ends - begins)
-                rare, tf = np.unique(texts[far] * len(words) + at[far], return_counts=True)
+                coded = words.take(pa.array(at[far])).dictionary_encode()
+                words = coded.dictionary
+                rare, tf = np.unique(texts[far] * len(words) + coded.indices.to_numpy(), return_counts=True)
                 cut = np.searchsorted(rare, np.arange(len(ends) + 1) * len(words))
-                rare %= len(words)
+                rare %= max(len(words), 1)
                 sums = zip(b.column("doc_id").to_pylist(), (ends - begins).tolist(), np.add.reduceat(~far, begins, dtype=np.int64).tolist(), np.add.reduceat(p, begins).tolist(), np.add.reduceat(share, begins).tolist())
                 for k, (sum_, c) in enumerate(zip(sums, np.split(code, ends[:-1]))):
                     under_way[row] = (row, *sum_, words, rare[cut[k] : cut[k + 1]], tf[cut[k] : cut[k + 1]])
@@ -518,7 +604,7 @@ def score(docs: DataFrame, train_rows=None) -> DataFrame:
         def out():
             *plain, words, rare, tf = zip(*done)
             offsets = pa.array(np.append(0, np.cumsum([len(r) for r in rare])), pa.int32())
-            flat = pa.concat_arrays([w.take(pa.array(r)) for w, r in zip(words, rare)]).cast(pa.large_string()).cast(pa.string())
+            flat = pa.concat_arrays([w.take(pa.array(r)) for w, r in zip(words, rare)]).cast(pa.string())
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(plain, kinds)), pa.ListArray.from_arrays(offsets, flat), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tf), pa.int64()))], names=names)
 

@@ -274,6 +274,54 @@ def test_network_beats_counts_by_word_order(spark):
     assert sum(x.score for x in rows) > sum(x.base_score for x in rows) + 0.1 * sum(x.n_tokens for x in rows)
 
 
+def test_buckets_of_words_not_known_cost_no_python_a_word(monkeypatch):
+    """Words not known are looked up together: Python is run for pairs of last characters, not for words."""
+    known = {f"k{i}".encode(): 3000 - i for i in range(language_model.WORDS + 50)}
+    places = language_model.Places(language_model.Statistics(5000, 80, known, np.full(language_model.BUCKETS, 2.0), np.full(language_model.BUCKETS, 1.0)))
+    words = [f"{i}{end}" for i in range(2000) for end in ("ing", "ñé", "")] + ["k3", "é", "x", "", f"k{language_model.WORDS + 7}"]
+    calls, bucket = [], language_model.bucket
+    monkeypatch.setattr(language_model, "bucket", lambda w: calls.append(w) or bucket(w))
+    output = places.output[places.of(language_model.pa.array(words, language_model.pa.large_string()))]
+    assert output.tolist() == [3 if w == "k3" else language_model.WORDS + bucket(w.encode()) for w in words]
+    assert len(calls) <= len({w[-2:] for w in words})
+
+
+def test_sums_of_runs():
+    g = np.random.default_rng(5)
+    for sizes in ([1], [300], [1, 1, 1], [23, 24, 25, 1, 2, 700], g.integers(1, 40, 60)):
+        rows = g.normal(size=(sum(sizes), 6)).astype(np.float32)
+        begins = np.append(0, np.cumsum(sizes))[:-1]
+        want = [rows[a : a + n].sum(0) for a, n in zip(begins, sizes)]
+        assert language_model.run_sums(rows, begins) == pytest.approx(np.array(want), abs=1e-4)
+
+
+def test_network_against_plain_steps():
+    """Scores are those of the recurrence written down a step at a time."""
+    known = {f"k{i}".encode(): 3000 - i for i in range(language_model.WORDS)}
+    net = language_model.Network(language_model.Statistics(5000, 80, known, np.full(language_model.BUCKETS, 2.0), np.full(language_model.BUCKETS, 1.0)))
+    g, s, per = np.random.default_rng(2), language_model.STATE, language_model.PER_CLASS
+    net.p = {k: g.normal(0, 0.4, v.shape).astype(np.float32) for k, v in net.p.items()}
+    table, u, wc, ww = (net.p[k].astype(float) for k in net.NAMES)
+
+    def plain(doc):
+        h, x, total = np.zeros(s), language_model.START, 0.0
+        for y in doc:
+            a, b = table[x], h @ u
+            z, r = (1 / (1 + np.exp(-(a + b)[k * s : k * s + s])) for k in (0, 1))
+            n = np.tanh(a[2 * s :] + r * b[2 * s :])
+            h = (1 - z) * n + z * h
+            e, own = np.append(h, 1), y < language_model.WORDS
+            c = y // per if own else y - language_model.WORDS + language_model.CLASSES
+            total += (e @ wc)[c] - np.log(np.exp(e @ wc).sum())
+            if own:
+                total += (e @ ww[c])[y % per] - np.log(np.exp(e @ ww[c]).sum())
+            x = y
+        return total / np.log(10)
+
+    docs = [g.integers(0, language_model.START, n) for n in (70, 1, 33, 32)]
+    assert net.score(docs) == pytest.approx([plain(d) for d in docs], rel=1e-4)
+
+
 def test_network_learns_from_every_training_document(spark, monkeypatch):
     # a rate without the optimiser's memory shows each document's own share
     texts = [prose(k, 20) for k in range(60)]
